@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup
+from signalframe.llm import exact_dedup, secret_scan
 from signalframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op6_secret_scan": op6_secret_scan,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
