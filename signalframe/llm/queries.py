@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup, pii, secret_scan
+from signalframe.llm import exact_dedup, mixing, pii, secret_scan
 from signalframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -27,6 +31,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op6_secret_scan": op6_secret_scan,
+        "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
     }
