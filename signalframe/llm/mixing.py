@@ -75,7 +75,7 @@ def phases(blocks: Mapping, weights: Mapping, quantum: int) -> list[dict]:
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 32, quantum: int = 240, rows_per_group: int = 50_000, broadcast_sources: int = 200) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 32, quantum: int = 240, rows_per_group: int = 10_000, broadcast_sources: int = 200) -> DataFrame:
     """One row per row of docs: doc_id, source, block, slot, position; ordered by position, the sources mix to their weights.
 
     The rows of a source, in a random but repeatable order, form blocks of block_rows (the last may be shorter).

@@ -136,7 +136,7 @@ def candidate_edges(classes: DataFrame, runs: int, branches: float, bucket: int,
         part = materialize(paths.join(sizes, "path")) if level > 1 else materialize(paths.join(sizes, "path").join(classes.select("set_key", "sketch"), "set_key"))
         if level == depth:
             big = part.where(F.col("sets") > bucket)
-            big = ranked(big, ["path"], [F.col("set_key")], F.col("set_key"), 50_000, "rank").withColumns({"tile": F.floor(F.col("rank") / bucket), "tiles": F.ceil(F.col("sets") / bucket)})
+            big = ranked(big, ["path"], [F.col("set_key")], F.col("set_key"), 10_000, "rank").withColumns({"tile": F.floor(F.col("rank") / bucket), "tiles": F.ceil(F.col("sets") / bucket)})
             big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
             big = big.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "set_key", "sketch")
         else:
@@ -231,7 +231,7 @@ def near_duplicates(
     edges = candidate_edges(classes, runs, branches, bucket, depth, sketch_least(threshold))
     groups = materialize(components(edges))
     sized = groups.groupBy("component").agg(F.count("*").alias("sets"))
-    placed = ranked(groups, ["component"], [F.col("node")], F.col("node"), 50_000, "rank").join(sized, "component")
+    placed = ranked(groups, ["component"], [F.col("node")], F.col("node"), 10_000, "rank").join(sized, "component")
     placed = placed.select(F.col("node").alias("set_key"), "component", F.floor(F.col("rank") / tile).alias("tile"), F.ceil(F.col("sets") / tile).alias("tiles"))
     wanted = placed.join(chosen, "set_key")
     texts = source.select("row", "text").join(wanted, "row").dropDuplicates(["set_key"]).select("set_key", "component", "tile", "tiles", "copies", "text")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup, mixing, ngram_join, pii, secret_scan
-from signalframe.llm.common import documents
+from signalframe.llm import exact_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan
+from signalframe.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -34,6 +42,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_quality_rules": op4_quality_rules,
         "op5_ngram_join": op5_ngram_join,
         "op6_secret_scan": op6_secret_scan,
         "op8_mixing": op8_mixing,

@@ -69,9 +69,12 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[t
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte places of all words in order, and of each document its first word, with a last entry for their end."""
-    cut = SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte places of all words in order, and of each document its first word, with a last entry for their end.
+
+    between: of each byte value whether it lies between words.
+    """
+    cut = between[data]
     start = ~cut
     end = start.copy()
     edge = np.zeros(len(data) + 1, bool)
