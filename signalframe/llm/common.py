@@ -53,8 +53,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     same = F.col("_slice") == F.col("_s")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    numbered = cut.withColumn("_at", F.row_number().over(own.orderBy(*order)) - 1)
-    return numbered.join(starts, same).withColumn(out, F.col("_from") + F.col("_at")).drop("_slice", "_s", "_from", "_at", *[f"_k{i}" for i in range(len(keys))])
+    numbered = cut.withColumn("_in_slice", F.row_number().over(own.orderBy(*order)) - 1)
+    return numbered.join(starts, same).withColumn(out, F.col("_from") + F.col("_in_slice")).drop("_slice", "_s", "_from", "_in_slice", *[f"_k{i}" for i in range(len(keys))])
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan
+from signalframe.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan
 from signalframe.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -42,6 +47,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_packing": op2_packing,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_join": op5_ngram_join,
