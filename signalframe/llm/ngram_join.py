@@ -121,11 +121,34 @@ def likely(buckets: DataFrame, packs: int, least: float) -> DataFrame:
     return packed.groupBy("pack").applyInArrow(run, "a long, b long")
 
 
+def against_pivot(big: DataFrame, link: float, done: float) -> DataFrame:
+    """Rows of paths with many sets, each with its path's pivot and near: 1 if the sketches overlap by `link`, 2 if by `done`."""
+    pivots = big.groupBy("path").agg(F.min("set_key").alias("set_key"))
+    pivots = big.join(pivots, ["path", "set_key"]).dropDuplicates(["path"]).select(F.col("path").alias("_path"), F.col("set_key").alias("pivot"), F.col("sketch").alias("with"))
+    schema = "path long, set_key long, sketch binary, sets long, pivot long, near int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for own, other in zip(batch.column(2), batch.column(5), strict=True):
+                a, b = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                share = both / max(1, len(a) + len(b) - both)
+                near.append((share >= link) + (share >= done))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.int32())], names=["path", "set_key", "sketch", "sets", "pivot", "near"])
+
+    return big.join(pivots, F.col("path") == F.col("_path")).select("path", "set_key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
+
+
 def candidate_edges(classes: DataFrame, runs: int, branches: float, bucket: int, depth: int, least: float) -> DataFrame:
     """Edges between sets whose sketches are alike, from all runs of the recursion.
 
-    A path with one set ends. A path with up to `bucket` sets is compared by brute force. A larger one is split again,
-    up to `depth` times; what is larger then is compared in pairs of tiles, so no case is dropped.
+    A path with one set ends. A path with up to `bucket` sets is compared by brute force. In a larger one all sets are
+    first compared with a pivot, the one of the smallest key. Sets within 1 - link of it are joined to it; those within
+    1 - done, link <= threshold + done - 1, go no further: by the triangle inequality of the Jaccard distance whatever is
+    linked to them is joined to the pivot too. So a large group of near copies ends at its first path instead of being
+    split in vain. The rest is split again, up to `depth` times; what is larger then is compared in pairs of tiles, so
+    no case is dropped.
     """
     rows = classes.select(F.lit(0).cast("long").alias("path"), "set_key", "sketch")
     found = None
@@ -134,20 +157,18 @@ def candidate_edges(classes: DataFrame, runs: int, branches: float, bucket: int,
         paths = materialize(paths) if level > 1 else materialize(paths.drop("sketch"))
         sizes = paths.groupBy("path").agg(F.count("*").alias("sets")).where("sets > 1")
         part = materialize(paths.join(sizes, "path")) if level > 1 else materialize(paths.join(sizes, "path").join(classes.select("set_key", "sketch"), "set_key"))
-        if level == depth:
-            big = part.where(F.col("sets") > bucket)
-            big = ranked(big, ["path"], [F.col("set_key")], F.col("set_key"), 10_000, "rank").withColumns({"tile": F.floor(F.col("rank") / bucket), "tiles": F.ceil(F.col("sets") / bucket)})
-            big = big.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            big = big.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "set_key", "sketch")
-        else:
-            big = None
+        big = materialize(against_pivot(part.where(F.col("sets") > bucket).select("path", "set_key", "sketch", "sets"), least / 2, least))
+        edges = big.where("near > 0 and set_key <> pivot").select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"))
+        rows = big.where("near < 2")
         small = part.where(F.col("sets") <= bucket).select("path", "set_key", "sketch")
-        small = small.union(big) if big is not None else small
+        if level == depth:
+            tiles = ranked(rows, ["path"], [F.col("set_key")], F.col("set_key"), 10_000, "rank").withColumns({"tile": F.floor(F.col("rank") / bucket), "tiles": F.ceil(F.col("sets") / bucket)})
+            tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            small = small.union(tiles.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "set_key", "sketch"))
         packs = max(1, -(-small.count() // 8000))
-        edges = likely(small, packs, least)
+        edges = edges.union(likely(small, packs, least))
         found = edges if found is None else found.union(edges)
-        rows = part.where(F.col("sets") > bucket).select("path", "set_key", "sketch")
-        if level < depth and rows.isEmpty():
+        if rows.isEmpty():
             break
     return found
 
@@ -258,8 +279,8 @@ def near_duplicates(
 
 
 def sketch_least(threshold: float) -> float:
-    """Overlap of two sketches below which their sets cannot plausibly reach the threshold: five deviations under what the worst shape gives."""
-    return max(0.1, threshold * threshold - 0.2)
+    """Overlap of two sketches below which their sets cannot plausibly reach the threshold: well under what the worst shape gives."""
+    return max(0.1, threshold * threshold - 0.14)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
