@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan
+from signalframe.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from signalframe.llm.common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.substring_dedup(documents(spark, sf_dir)))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -37,6 +41,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(documents(spark, sf_dir)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -47,11 +55,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_packing": op2_packing,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op5_ngram_join": op5_ngram_join,
         "op6_secret_scan": op6_secret_scan,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
