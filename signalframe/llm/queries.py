@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from signalframe.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from signalframe.llm.common import documents, labels
 
@@ -65,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
