@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Of each span: code points, end exclusive.
 SPAN = "struct<start:int,end:int,rank:int,kind:string,value:string>"
-NONE = F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def with_spans(df: DataFrame, text: str, kinds: dict[str, tuple[int, str, str]]) -> DataFrame:
