@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalframe.plans import point_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+ALL = {**point_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:
     """Every registered query by name."""
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
