@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,33 +15,55 @@ from signalframe.llm.common import materialize, ranked
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
 #: A worker's dictionary of words and their ids starts anew at this size.
-MOST_WORDS = 200_000
+MOST_WORDS = 400_000
+TAIL = ".,;:!?"
 
 
-class Encoder:
-    """Token ids of whole texts from the ids of their words.
+class Encoder(dict):
+    """Token ids of words, and so of whole texts, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in a row. A word
-    that is not in the dictionary yet is given to the tokenizer.
+    The tokenizer drops white space and no token spans it, so a text's ids are those of its words in a row. A new word
+    goes through the tokenizer's own normalizer, pre-tokenizer and model. A word of ASCII letters and closing marks
+    comes out of the first two as those letters in lower case and those marks, so it goes to the model at once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text)])
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(TAIL)
+        if word.isascii() and core.isalpha():
+            ids = self._part(core.lower()) + (self._part(word[len(core) :]) if len(core) < len(word) else b"")
+        elif "<|" in word:  # may hold the name of a special token
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b"".join([self._part(part) for part, _ in self.split(self.normalize(word))])
+        self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        fresh = list(set(words).difference(self.known))
-        if fresh:
-            if len(self.known) + len(fresh) > MOST_WORDS:
-                self.known = {"": b""}
-                fresh = list(set(words) - {""})
-            for word, out in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(out.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.parts.clear()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool = False) -> DataFrame:
@@ -49,11 +72,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+                ids = encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
@@ -109,10 +132,10 @@ def sweep(lengths: Mapping[int, int], gaps: Mapping[int, int], capacity: int, op
     return moves, [(origin, first, count, gap) for gap, found in runs.items() for origin, first, count in found], opened
 
 
-def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, shrink: int = 8) -> DataFrame:
     """Add sequence_id and offset to pieces (any columns, with length from 1 to capacity).
 
-    Rounds of best fit over bands of lengths, each half as long as the one before: the pieces of a band are ranked within
+    Rounds of best fit over bands of lengths, each `shrink` times shorter than the one before: the pieces of a band are ranked within
     their length and the open sequences within their gap, which orders both without sorting all rows in one place. A sweep
     over the counts of lengths and gaps finds each length's successor gaps; ranks settle which piece gets which sequence;
     the gaps are updated and written, and the next round starts. The driver sees the counts of lengths and gaps only.
@@ -122,7 +145,7 @@ def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000) -
     counted = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     bins, out, opened, top = None, None, 0, capacity
     while top >= 1:
-        low = top // 2
+        low = top // shrink
         band = {length: n for length, n in counted.items() if low < length <= top}
         here = table.where((F.col("length") > low) & (F.col("length") <= top))
         top = low
