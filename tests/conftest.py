@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # time-outs would make empty batches for ever
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", tmp_path_factory.mktemp("checkpoints").as_uri())
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))

@@ -210,9 +210,9 @@ def test_stream_equals_batch(spark, tmp_path, machine):
         batch.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(DETECTED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     name = f"tracks_{machine.__name__}"
-    query = trackers.track_stream(stream, ["video"], machine).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query = trackers.track_stream(stream, ["video"], machine).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(120)
     finally:
         query.stop()
     key = lambda r: (r.video, r.frame, r.track_id, round(r.x, 6), r.missed)
@@ -224,9 +224,9 @@ def test_streaming_aggregates(spark, tmp_path):
     rows = spark.createDataFrame([(f"r{i % 2}", 0.1 * (1 + i % 3), i) for i in range(20)], "run_id string, seconds double, tracks int")
     rows.write.parquet(str(tmp_path / "frames"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "frames"))
-    query = trackers.running_metrics(stream).writeStream.format("memory").queryName("metrics").outputMode("complete").start()
+    query = trackers.running_metrics(stream).writeStream.format("memory").queryName("metrics").outputMode("complete").trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
+        assert query.awaitTermination(120)
     finally:
         query.stop()
     assert sorted(spark.table("metrics").collect()) == sorted(trackers.running_metrics(rows).collect())
