@@ -47,7 +47,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir), mixing.TARGETS)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 import bisect
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from signalframe.llm import mixing, packing, pii, quality_classifier, quality_rules, secret_scan
+from signalframe.llm import mixing, packing, pii, quality_classifier, quality_rules, queries, secret_scan
 
 from helpers import WORD, awkward, empty, frame, sentence
 
@@ -108,6 +109,50 @@ def test_mixing_stays_within_a_block_of_the_target(spark):
     assert mixing.mixed(docs.limit(50)).columns == docs.columns
 
 
+def test_mixing_keeps_one_block_of_exact_weights(spark):
+    blocks, weights = [3000, 900, 1500, 40], [10, 4, 7, 500]
+    plan = mixing.Schedule(blocks, weights)
+    slots = list(plan.walk([0] * 4, 0, sum(blocks)))
+    joined = []
+    for first, repeats, who, block, step in plan.pieces(600):  # the driver's steps over whole periods change nothing
+        assert first == len(joined) and repeats * len(who) <= 600
+        joined += [(s, b + k * n) for k in range(repeats) for s, b, n in zip(who, block, step, strict=True)]
+    assert [s for s, _ in joined] == slots and sorted(joined) == [(s, i) for s in range(4) for i in range(blocks[s])]
+    share, done = [Fraction(0)] * 4, [0] * 4
+    for s in slots:
+        room = Fraction(1)
+        while room:
+            last = [k for k in range(4) if share[k] < blocks[k]]
+            total = sum(weights[k] for k in last)
+            step = min([room, *[(blocks[k] - share[k]) * total / Fraction(weights[k]) for k in last]])
+            for k in last:
+                share[k] += step * weights[k] / total
+            room -= step
+        done[s] += 1
+        assert all(abs(d - x) < 1 for d, x in zip(done, share, strict=True))
+
+
+def test_mixing_weights_hold_for_many_sources_and_unequal_floats(spark):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.expr("case when id % 2 = 0 then 'big' else concat('s', id % 600) end").alias("source"))
+    rows = mixing.mix(docs, {"big": 300} | {f"s{k}": 1 for k in range(1, 600, 2)}, block_rows=4).collect()
+    at = sorted({r.slot: r.source for r in rows}.items())
+    assert [s for s, _ in at] == list(range(6000)) and len({r.position for r in rows}) == 24_000
+    done = 0
+    for n, (_, source) in enumerate(at, 1):
+        done += source == "big"
+        assert abs(done - n / 2) < 1
+    again = mixing.mix(docs.repartition(7), {"big": 300} | {f"s{k}": 1 for k in range(1, 600, 2)}, block_rows=4)
+    assert {(r.doc_id, r.position) for r in rows} == {(r.doc_id, r.position) for r in again.collect()}
+    assert mixing.whole({"a": 5, "b": 0.1, None: 3.5}) == {"a": 50, "b": 1, None: 35}
+
+
+def test_op8_mixes_to_stated_unequal_weights(spark, tmp_path):
+    docs = spark.range(6400).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 4).alias("source"), F.lit("x").alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    early = Counter(r.source for r in queries.op8_mixing(spark, str(tmp_path)).where("slot < 80").collect())
+    assert {s: round(n / 32) for s, n in early.items()} == {"src0": 29, "src1": 11, "src2": 20, "src3": 20}
+
+
 def test_shares_are_whole_and_complete():
     for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 1000, "b": 1}, {i: 1 for i in range(20)}):
         out = mixing.shares(weights, 240)
