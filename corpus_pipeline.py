@@ -29,13 +29,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which their sources mix to equal weights."""
-    return mixing.mixed(docs)
+    """All documents, in the order in which their sources mix to the stated target weights."""
+    return mixing.mixed(docs, mixing.TARGETS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token pieces and their places in sequences of at most 2048 tokens, which follow the mixed order.
+
+    Files keep no order of rows, so the positions are computed again; they depend on ids, sources and weights only.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), order=mixing.positions(docs, mixing.TARGETS))
 
 
 STAGES = [

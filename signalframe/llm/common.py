@@ -36,16 +36,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rows_per_group: int, out: str, n_rows: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rows_per_group: int, out: str, n_rows: int | None = None, top: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without a task that sees a whole key.
 
     Rows of a key are dealt by `spread` to as many slices as leave about rows_per_group rows in each;
     a slice is numbered by itself and starts where the counts of the slices before it end.
     The slice counts are one small row each, so only they are summed up in the order of a key.
+    With top, `spread` holds numbers from 0 to top and slices are ranges of it, so where `order` begins with it, ranks follow order throughout.
     """
     n_rows = df.count() if n_rows is None else n_rows
     slices = max(1, -(-n_rows // rows_per_group))
-    cut = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)))
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(slices)) if top is None else F.floor(spread / (top + 1) * slices))
     own = Window.partitionBy(*keys, "_slice")
     sizes = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -132,9 +132,12 @@ def sweep(lengths: Mapping[int, int], gaps: Mapping[int, int], capacity: int, op
     return moves, [(origin, first, count, gap) for gap, found in runs.items() for origin, first, count in found], opened
 
 
-def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, shrink: int = 8) -> DataFrame:
+def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, shrink: int = 8, at: str | None = None) -> DataFrame:
     """Add sequence_id and offset to pieces (any columns, with length from 1 to capacity).
 
+    at: a column of numbers from 0 that gives the pieces an order, or none. Pieces of a length then fill sequences in that
+    order, and sequences are numbered by their first piece in it.
+
     Rounds of best fit over bands of lengths, each `shrink` times shorter than the one before: the pieces of a band are ranked within
     their length and the open sequences within their gap, which orders both without sorting all rows in one place. A sweep
     over the counts of lengths and gaps finds each length's successor gaps; ranks settle which piece gets which sequence;
@@ -142,6 +145,7 @@ def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, s
     """
     spark = found.sparkSession
     table = materialize(found).withColumn("_row", F.monotonically_increasing_id())
+    order, spread, top = ([F.col("_row")], F.col("_row"), None) if at is None else ([F.col(at), F.col("piece"), F.col("_row")], F.col(at), table.agg(F.max(at)).first()[0] or 0)
     counted = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
     bins, out, opened, top = None, None, 0, capacity
     while top >= 1:
@@ -153,7 +157,7 @@ def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, s
             continue
         gaps = {} if bins is None else {r["gap"]: r["n"] for r in bins.groupBy("gap").agg(F.count("*").alias("n")).collect()}
         moves, closes, now = sweep(band, gaps, capacity, opened)
-        here = ranked(here, ["length"], [F.col("_row")], F.col("_row"), rows_per_group, "_rank", sum(band.values()))
+        here = ranked(here, ["length"], order, spread, rows_per_group, "_rank", sum(band.values()), top)
         moved = spark.createDataFrame(moves, "l long, first long, pieces long, each long, origin long, sequence long, at long")
         here = here.join(F.broadcast(moved), (F.col("length") == F.col("l")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("first") + F.col("pieces")))
         nth = F.col("_rank") - F.col("first")
@@ -172,10 +176,16 @@ def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, s
         placed = materialize(placed)
         out = placed if out is None else out.union(placed)
         opened = now
-    return table.drop("_row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}) if out is None else out
+    if out is None:
+        return table.drop("_row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    if at is None:
+        return out
+    least = materialize(out.groupBy(F.col("sequence_id").alias("_id")).agg(F.min(F.struct(at, "piece")).alias("_least")).select("_id", "_least.*").withColumn("_all", F.lit(0)))
+    least = ranked(least, ["_all"], [F.col(at), F.col("piece"), F.col("_id")], F.col(at), rows_per_group, "_number", opened, top)
+    return out.join(least.select("_id", "_number"), F.col("sequence_id") == F.col("_id")).withColumn("sequence_id", F.col("_number").cast("long")).drop("_id", "_number")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order: DataFrame | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian, if asked for).
 
     A document is its text's ids and then end_id. Only a document longer than capacity is cut, into pieces of capacity
@@ -183,5 +193,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
 
     A null or empty text is end_id alone. Rows that repeat an id are packed each by itself; a null id is an id like
     others. Empty input gives no rows. Other columns are not read.
+
+    order: one row (_id, _position) for each id of docs, as mixing.positions gives them. Documents then fill sequences in
+    the order of their positions as far as best fit leaves a choice, and the sequences are numbered by their least position.
     """
-    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), capacity)
+    found = pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
+    if order is None:
+        return pack(found, capacity)
+    placed = found.join(order, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return pack(placed, capacity, at="_position").drop("_position")

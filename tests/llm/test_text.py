@@ -264,6 +264,20 @@ def test_classifier_edges(spark):
     assert quality_classifier.quality_classifier(empty(spark), labels).count() == 0
 
 
+def test_packing_stage_follows_the_mixed_order(spark, tmp_path):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 3).alias("source"), F.expr("repeat('word ', 100 + cast(id % 7 as int) * 150)").alias("text"))
+    now = corpus_pipeline.materialize(corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)))
+    at = {r.doc_id: r.position for r in mixing.mix(docs, mixing.TARGETS).collect()}
+    early = Counter(i % 3 for i in sorted(at, key=at.get)[:320])
+    assert early[0] > early[2] > early[1]
+    rows = corpus_pipeline.packing_stage(spark, now.repartition(5), str(tmp_path)).collect()
+    least = defaultdict(lambda: 10**9)
+    for r in rows:
+        least[r.sequence_id] = min(least[r.sequence_id], at[r.doc_id])
+    assert [least[k] for k in range(len(least))] == sorted(least.values())
+    assert len(least) > 100 and len(rows) == 600
+
+
 def test_pipeline_stages_hand_on_documents(spark, tmp_path):
     texts, grades = corpus()
     texts += [texts[2]] * 3 + [texts[3] + " more"] + awkward()
