@@ -254,6 +254,21 @@ def test_classifier_on_held_out_rows(spark):
     assert mean((0, 0)) < mean((1, 1)) < mean((1, 0))
 
 
+def test_classifier_learns_rare_toxic_wording():
+    r = np.random.default_rng(0)
+    common, rare = np.arange(100, 400), np.int32(7)
+    grades = np.array([1 if i % 100 == 0 else 2 for i in range(1200)])
+    places = [np.unique(np.append(r.choice(common, 20), [rare] * int(g == 1))).astype(np.int32) for g in grades]
+    shape = np.zeros((len(grades), 9))
+    rarer = [x if i < 800 else x[x != rare] for i, x in enumerate(places)]  # eight labelled documents hold the wording
+    weights, cuts = quality_classifier.learn(rarer, shape, grades, 3, 18, 5.0, 2)
+    tail = quality_classifier.sigmoid(quality_classifier.Examples(places, shape, 18).scores(weights) - cuts[-1])
+    assert tail[800:][grades[800:] == 1].max() < tail[800:][grades[800:] == 2].min()
+    cut = quality_classifier.calibrate(tail, grades == 2, 0.02)
+    assert (tail[grades == 2] >= cut).mean() >= 0.98 and (tail[grades == 1] < cut).all()
+    assert quality_classifier.calibrate(tail, np.ones(len(tail), bool), 0.02) == 0.5
+
+
 def test_classifier_edges(spark):
     nothing = labelled(spark, [], [])
     assert all(r.kept and r.tail_probability is None for r in quality_classifier.quality_classifier(frame(spark, awkward()), nothing).collect())
