@@ -60,9 +60,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The rows of docs that exact_dedup keeps, with all their columns, whatever other texts their ids have."""
+    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")) & (digest == F.col("_digest")), "left_anti")
 
 
 ORACLE = """

@@ -31,6 +31,12 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.keep_one(frame(spark, ["x", "x", "y"])).columns == frame(spark, ["x"]).columns
 
 
+def test_keep_one_keeps_unique_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "a"), (None, "b"), (None, None), (1, "a"), (2, "c"), (2, "d"), (3, "c"), (4, "")]
+    kept = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "b"), (1, "a"), (2, "d"), (3, "c"), (4, "")]
+
+
 def test_misra_gries_keeps_every_frequent_digest(spark):
     values = ["a"] * 50 + ["b"] * 40 + [f"c{i}" for i in range(110)]
     random.Random(1).shuffle(values)
