@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; only where none is named, as in tests, a folder of our own."""
+    """A new path in the folder that the cluster shares; only a local session that names none, as in tests, gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/signalframe-{uuid.uuid4().hex}"
@@ -25,7 +31,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables whose readers have all been written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(name for n in count() if (name := f"{stem}{n or ''}") not in taken)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,25 +80,56 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     return numbered.join(starts, same).withColumn(out, F.col("_from") + F.col("_in_slice")).drop("_slice", "_s", "_from", "_in_slice", *[f"_k{i}" for i in range(len(keys))])
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components, b < a, no more than one for each node of a partition: union-find within each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            at = x
+            while parent[at] != at:
+                at = parent[at]
+            while parent[x] != at:
+                parent[x], x = at, parent[x]
+            return at
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+        moved = [x for x in parent if root(x) != x]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(moved, pa.int64()), "b": pa.array([root(x) for x in moved], pa.int64())})
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Connected components of edges (a, b): one row (node, component) for each node, component its smallest node.
+    """Connected components of edges (a, b) of longs: one row (node, component) for each node, component its smallest node.
 
-    Alternating large-star and small-star steps, each one a grouping by node whose result is written to the
-    shared folder; the number of rounds is logarithmic in the longest path. Nothing is collected.
+    Every partition contracts its edges to stars first. Where these are not disjoint, alternating large-star and small-star
+    steps follow, each one a grouping by node whose result is written to the shared folder; the number of rounds is
+    logarithmic in the longest path. Nothing is collected. Edges from a node to itself count for nothing. No end within
+    max_rounds is an error. The result is a materialized table.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    total = None
+    now = materialize(contracted(edges.where("a <> b")))
     for _ in range(max_rounds):
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("root")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).where("ups + root > 1").isEmpty():
+            break
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(new.where("a <> b"))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
-        if seen == total and seen[0] == seen[2]:
-            break
-        total = seen
+        before, now = now, materialize(new.where("a <> b"))
+        discard(before)
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots))
+    discard(now)
+    return out

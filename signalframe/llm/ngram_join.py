@@ -3,211 +3,251 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import components, materialize, ranked
+from signalframe.llm.common import components, discard, fresh, materialize, ranked
 from signalframe.llm.tokens import ODD, mix, shingle_sets, slices
 
-SETS = "row long, doc_id {id}, set_key long, n long, sketch binary"
-ROWS = "path long, set_key long, sketch binary"
+SETS = "row binary, doc_id {id}, set_key binary, n long, sketch binary"
+ROWS = "path long, run int, key long, sketch binary"
+EDGES = "a long, b long, run int"
 
 
-def sketched(docs: DataFrame, id_type: str, words: int, sketch: int) -> DataFrame:
-    """row, doc_id, a key of its shingle set, the set's size and its `sketch` smallest hashes."""
-    schema = SETS.format(id=id_type)
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of the SHA-256 of a row's id and text; rows that share them are the same row repeated."""
+    content = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.when(F.col(id_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.unhex(F.substring(F.sha2(content, 256), 1, 32))
+
+
+def sketched(source: DataFrame, id_type: str, words: int, sketch: int) -> DataFrame:
+    """row, doc_id, the digest of its shingle set, the set's size and 32 bits of each of its `sketch` smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch, 2):
                 sets = list(shingle_sets(data, offsets, words))
-                sizes = np.array([len(x) for x in sets], np.uint64)
-                keys = np.array([np.bitwise_xor.reduce(mix(x)) for x in sets], np.uint64)
-                keys = np.where(sizes > 0, mix(keys + sizes * ODD), np.uint64(0))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(keys.view(np.int64)), pa.array(sizes.astype(np.int64)), pa.array([x[:sketch].tobytes() for x in sets], pa.binary())],
-                    names=["row", "doc_id", "set_key", "n", "sketch"],
-                )
+                columns = [pa.array([sha256(x).digest()[:16] for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x[:sketch].astype(np.uint32).tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *columns], names=["row", "doc_id", "set_key", "n", "sketch"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
+    return source.mapInArrow(run, SETS.format(id=id_type))
 
 
-def choose(rows: DataFrame, runs: int, branches: float) -> DataFrame:
-    """Follow each row's path by the tokens of its sketch that the path samples, about `branches` of them a run.
+def choose(rows: DataFrame, runs: range | None, branches: float) -> DataFrame:
+    """Follow each row's path by the tokens of its sketch that the path samples, about `branches` of them.
 
-    Rows of one path sample alike, so sets that share a sampled token stay together. `runs` starts that many
-    independent runs (only at the root, path 0).
+    Rows of one path sample alike, so sets that share a sampled token stay together. At the root, `runs` are the numbers
+    of the independent runs to start; further down a row goes on in its own run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            index, found = [], []
-            for i, (path, raw) in enumerate(zip(paths, batch.column(2), strict=True)):
-                tokens = np.frombuffer(raw.as_py(), np.uint64)
+            index, found, of = [], [], []
+            for i, (path, number, raw) in enumerate(zip(paths, batch.column(1).to_pylist(), batch.column(3), strict=True)):
+                tokens = np.frombuffer(raw.as_py(), np.uint32).astype(np.uint64)
                 share = min(1.0, branches / max(1, len(tokens)))
-                starts = mix(np.array([path], np.uint64) + np.arange(1, runs + 1, dtype=np.uint64) * ODD)
-                new = mix(tokens[None, :] ^ starts[:, None]).ravel()
-                new = new[(new >> np.uint64(11)) < np.uint64(share * 2**53)] if share < 1 else new
-                found.append(mix(new * ODD))
-                index.append(np.full(len(new), i))
+                numbers = np.array([number] if runs is None else runs, np.int32)
+                starts = mix(path + numbers.astype(np.uint64) * ODD + ODD)
+                new = mix(mix(tokens * ODD)[None, :] ^ starts[:, None])
+                hit = (new >> np.uint64(11)) < np.uint64(share * 2**53) if share < 1 else np.ones(new.shape, bool)
+                found.append(mix(new[hit] * ODD))
+                of.append(numbers[np.nonzero(hit)[0]])
+                index.append(np.full(len(found[-1]), i))
             if index:
                 take = pa.array(np.concatenate(index))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["path", "set_key", "sketch"])
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(of)), batch.column(2).take(take), batch.column(3).take(take)]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "run", "key", "sketch"])
 
-    return rows.select("path", "set_key", "sketch").mapInArrow(run, ROWS)
+    return rows.select("path", "run", "key", "sketch").mapInArrow(run, ROWS)
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     n = len(links)
-    fresh, out = np.ones(n, bool), []
-    for root in range(n):
-        if fresh[root]:
-            fresh[root] = False
+    left, out = np.ones(n, bool), []
+    for root in np.flatnonzero(links.any(1)).tolist():
+        if left[root]:
+            left[root] = False
             queue = [root]
             while queue:
                 at = queue.pop()
-                near = np.flatnonzero(links[at] & fresh)
-                fresh[near] = False
+                near = np.flatnonzero(links[at] & left)
+                left[near] = False
                 out += [(at, int(x)) for x in near]
                 queue += near.tolist()
     return out
 
 
-def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sorted sets, in column blocks of at most `width` tokens."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count > 1)
-    place = np.full(len(count), -1)
-    place[shared] = np.arange(len(shared))
-    column = place[token]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of rows with each of columns (rows again if None), `width` tokens at a time."""
+    sides = [rows] if columns is None else [rows, columns]
+    flat = [np.concatenate(side) for side in sides]
+    if columns is None:
+        token, count = np.unique(flat[0], return_counts=True)
+        shared = token[count > 1]
+    else:
+        shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    out = np.zeros((len(rows), len(sides[-1])), np.float32)
+    if not len(shared):
+        return out
+    placed = []
+    for side, tokens in zip(sides, flat, strict=True):
+        at = np.minimum(np.searchsorted(shared, tokens), len(shared) - 1)
+        keep = shared[at] == tokens
+        at, owner = at[keep], np.repeat(np.arange(len(side)), [len(x) for x in side])[keep]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], owner[order], len(side)))
     for a in range(0, len(shared), width):
-        lo, hi = np.searchsorted(column, (a, a + width))
-        part = np.zeros((len(sets), width), np.float32)
-        part[owner[lo:hi], column[lo:hi] - a] = 1
-        out += part @ part.T
+        parts = []
+        for at, owner, n in placed:
+            lo, hi = np.searchsorted(at, (a, a + width))
+            part = np.zeros((n, min(width, len(shared) - a)), np.float32)
+            part[owner[lo:hi], at[lo:hi] - a] = 1
+            parts.append(part)
+        out += parts[0] @ parts[-1].T
     return out
 
 
 def likely(buckets: DataFrame, packs: int, least: float) -> DataFrame:
-    """Edges (a, b) that join, within each bucket (path), the sets whose sketches overlap by `least` or more: a spanning forest of them."""
+    """Edges (a, b, run) that join, within each bucket (path), the sets whose sketches overlap by `least` or more: a spanning forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        paths = table.column("path").to_numpy()
-        keys = table.column("set_key").to_numpy()
+        paths, keys, runs = (table.column(c).to_numpy() for c in ("path", "key", "run"))
         order = np.argsort(paths, kind="stable")
-        cuts = np.flatnonzero(np.diff(paths[order])) + 1
         sketches = table.column("sketch").to_pylist()
-        seen: set[tuple[int, int]] = set()
-        for members in np.split(order, cuts):
-            sets = [np.frombuffer(sketches[i], np.uint64) for i in members]
+        seen: set[tuple[int, int, int]] = set()
+        for members in np.split(order, np.flatnonzero(np.diff(paths[order])) + 1):
+            sets = [np.frombuffer(sketches[i], np.uint32) for i in members]
             size = np.array([len(x) for x in sets], np.float32)
             inter = overlaps(sets)
-            for i, j in forest(inter >= least * (size[:, None] + size[None, :] - inter)):
-                a, b = int(keys[members[i]]), int(keys[members[j]])
+            links = inter >= least * (size[:, None] + size[None, :] - inter)
+            np.fill_diagonal(links, False)
+            for i, j in forest(links):
+                a, b = sorted((int(keys[members[i]]), int(keys[members[j]])))
                 if a != b:
-                    seen.add((min(a, b), max(a, b)))
-        return pa.table({"a": pa.array([a for a, _ in seen], pa.int64()), "b": pa.array([b for _, b in seen], pa.int64())})
+                    seen.add((a, b, int(runs[members[0]])))
+        return pa.table({c: pa.array([x[i] for x in seen], k) for i, (c, k) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("run", pa.int32())))})
 
-    packed = buckets.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(packs)))
-    return packed.groupBy("pack").applyInArrow(run, "a long, b long")
+    return buckets.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(packs))).groupBy("pack").applyInArrow(run, EDGES)
 
 
 def against_pivot(big: DataFrame, link: float, done: float) -> DataFrame:
     """Rows of paths with many sets, each with its path's pivot and near: 1 if the sketches overlap by `link`, 2 if by `done`."""
-    pivots = big.groupBy("path").agg(F.min("set_key").alias("set_key"))
-    pivots = big.join(pivots, ["path", "set_key"]).dropDuplicates(["path"]).select(F.col("path").alias("_path"), F.col("set_key").alias("pivot"), F.col("sketch").alias("with"))
-    schema = "path long, set_key long, sketch binary, sets long, pivot long, near int"
+    pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "key"), "key", "sketch")).alias("pivot"))
+    pivots = pivots.select(F.col("path").alias("_path"), F.col("pivot.key").alias("pivot"), F.col("pivot.sketch").alias("with"))
+    schema = "path long, run int, key long, sketch binary, sets long, pivot long, near int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
-            for own, other in zip(batch.column(2), batch.column(5), strict=True):
-                a, b = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
+            for own, other in zip(batch.column(3), batch.column(6), strict=True):
+                a, b = np.unique(np.frombuffer(own.as_py(), np.uint32)), np.unique(np.frombuffer(other.as_py(), np.uint32))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 share = both / max(1, len(a) + len(b) - both)
                 near.append((share >= link) + (share >= done))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near, pa.int32())], names=["path", "set_key", "sketch", "sets", "pivot", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.int32())], names=["path", "run", "key", "sketch", "sets", "pivot", "near"])
 
-    return big.join(pivots, F.col("path") == F.col("_path")).select("path", "set_key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
+    return big.join(pivots, F.col("path") == F.col("_path")).select("path", "run", "key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
 
 
-def candidate_edges(classes: DataFrame, runs: int, branches: float, bucket: int, depth: int, least: float) -> DataFrame:
-    """Edges between sets whose sketches are alike, from all runs of the recursion.
+def run_edges(sets: DataFrame, runs: range, branches: float, bucket: int, depth: int, least: float) -> list[DataFrame]:
+    """Materialized edges (a, b, run) between sets (key, sketch) whose sketches are alike, from some runs of the recursion.
 
     A path with one set ends. A path with up to `bucket` sets is compared by brute force. In a larger one all sets are
-    first compared with a pivot, the one of the smallest key. Sets within 1 - link of it are joined to it; those within
-    1 - done, link <= threshold + done - 1, go no further: by the triangle inequality of the Jaccard distance whatever is
-    linked to them is joined to the pivot too. So a large group of near copies ends at its first path instead of being
-    split in vain. The rest is split again, up to `depth` times; what is larger then is compared in pairs of tiles, so
-    no case is dropped.
+    first compared with a pivot. Those whose sketches overlap it by link = least / 2 are joined to it. If all are, the path
+    ends. Otherwise those that overlap it by 1 + link - least end: 1 - overlap is a distance, so whatever overlaps them by
+    `least` overlaps the pivot by link and is joined to it too. The rest is split again, up to `depth` times; what is larger
+    than a bucket then is compared in pairs of tiles, so no case is dropped.
     """
-    rows = classes.select(F.lit(0).cast("long").alias("path"), "set_key", "sketch")
-    found = None
+    link, out = least / 2, []
+    rows = sets.select(F.lit(0).cast("long").alias("path"), F.lit(0).alias("run"), "key", "sketch")
     for level in range(1, depth + 1):
-        paths = choose(rows, runs if level == 1 else 1, branches)
-        paths = materialize(paths) if level > 1 else materialize(paths.drop("sketch"))
+        paths = choose(rows, runs if level == 1 else None, branches)
+        paths = materialize(paths.drop("sketch") if level == 1 else paths)
         sizes = paths.groupBy("path").agg(F.count("*").alias("sets")).where("sets > 1")
-        part = materialize(paths.join(sizes, "path")) if level > 1 else materialize(paths.join(sizes, "path").join(classes.select("set_key", "sketch"), "set_key"))
-        big = materialize(against_pivot(part.where(F.col("sets") > bucket).select("path", "set_key", "sketch", "sets"), least / 2, least))
-        edges = big.where("near > 0 and set_key <> pivot").select(F.least("set_key", "pivot").alias("a"), F.greatest("set_key", "pivot").alias("b"))
-        rows = big.where("near < 2")
-        small = part.where(F.col("sets") <= bucket).select("path", "set_key", "sketch")
-        if level == depth:
-            tiles = ranked(rows, ["path"], [F.col("set_key")], F.col("set_key"), 10_000, "rank").withColumns({"tile": F.floor(F.col("rank") / bucket), "tiles": F.ceil(F.col("sets") / bucket)})
-            tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            small = small.union(tiles.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "set_key", "sketch"))
-        packs = max(1, -(-small.count() // 8000))
-        edges = edges.union(likely(small, packs, least))
-        found = edges if found is None else found.union(edges)
-        if rows.isEmpty():
+        part = paths.join(sizes, "path")
+        part = materialize(part.join(sets, "key") if level == 1 else part)
+        discard(paths)
+        small, most = part.agg(F.count_if(F.col("sets") <= bucket), F.max("sets")).first()
+        if small:
+            out.append(materialize(likely(part.where(F.col("sets") <= bucket), -(-small // 8000), least)))
+        if level > 1:
+            discard(judged)  # noqa: F821
+        if (most or 0) <= bucket:
+            discard(part)
             break
-    return found
+        judged = materialize(against_pivot(part.where(F.col("sets") > bucket), link, 1 + link - least))
+        discard(part)
+        out.append(materialize(judged.where("near > 0 and key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), "run")))
+        going = judged.groupBy("path").agg(F.min("near").alias("far")).where("far = 0").select("path")
+        rows = judged.where("near < 2").join(going, "path")
+    else:
+        rows = materialize(ranked(rows, ["path"], [F.col("key")], F.col("key"), 10_000, "rank"))
+        tiles = rows.withColumns({"tile": F.floor(F.col("rank") / 1024), "tiles": F.ceil(F.col("sets") / 1024)})
+        tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        tiles = tiles.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "run", "key", "sketch")
+        out.append(materialize(likely(tiles, max(1, -(-tiles.count() // 8000)), least)))
+        discard(judged, rows)
+    return out
+
+
+def missed(edges: DataFrame) -> float:
+    """Estimated share of the sets with an edge that no run has found, from how many runs found each (Chao's lower bound)."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key"), "run").distinct().groupBy("key").count()
+    seen, once, twice = ends.agg(F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
+    unseen = once * once / (2 * twice) if twice else once * (once - 1) / 2
+    return unseen / max(1, seen + unseen)
+
+
+def candidate_edges(sets: DataFrame, runs: int, recall: float, branches: float, bucket: int, depth: int, least: float, most_batches: int = 8) -> list[DataFrame]:
+    """Edges of batches of `runs` runs, repeated until the estimated share of the sets found reaches `recall`."""
+    out: list[DataFrame] = []
+    for batch in range(most_batches):
+        out += run_edges(sets, range(batch * runs, (batch + 1) * runs), branches, bucket, depth, least)
+        if not out or missed(reduce(DataFrame.union, out)) <= 1 - recall:
+            return out
+    raise RuntimeError(f"the recall of {recall} is not reached after {most_batches * runs} runs")
 
 
 def verified(members: DataFrame, packs: int, threshold: float) -> DataFrame:
     """Rows (a, b, links) from groups (pair of tiles of a candidate component): links of a set (b null) and forests of links."""
 
-    def sets_of(raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, np.uint64)
-
     def run(table: pa.Table) -> pa.Table:
         groups = table.column("group").to_numpy()
         order = np.argsort(groups, kind="stable")
-        cuts = np.flatnonzero(np.diff(groups[order])) + 1
-        keys, tiles = table.column("set_key").to_numpy(), table.column("tile").to_numpy()
-        copies, raw = table.column("copies").to_numpy(), table.column("shingles")
+        keys, tiles, copies = (table.column(c).to_numpy() for c in ("key", "tile", "copies"))
+        raw = table.column("shingles")
         cross = table.column("cross").to_numpy(zero_copy_only=False)
-        a, b, n = [], [], []
-        for at in np.split(order, cuts):
-            sets = [sets_of(raw[int(i)].as_py()) for i in at]
-            size = np.array([len(x) for x in sets], np.float64)
-            inter = overlaps(sets).astype(np.float64)
-            links = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
-            np.fill_diagonal(links, False)
-            if cross[at[0]]:
-                links &= tiles[at][:, None] != tiles[at][None, :]
-            total = links @ copies[at].astype(np.float64)
-            for i in np.flatnonzero(total):
-                a.append(int(keys[at[i]]))
-                b.append(None)
-                n.append(int(total[i]))
-            for i, j in forest(links):
-                a.append(int(keys[at[i]]))
-                b.append(int(keys[at[j]]))
-                n.append(0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64())})
-
-    packed = members.withColumn("pack", F.pmod(F.xxhash64("group"), F.lit(packs)))
-    return packed.groupBy("pack").applyInArrow(run, "a long, b long, links long")
+        out: list[tuple] = []
+        for at in np.split(order, np.flatnonzero(np.diff(groups[order])) + 1):
+            first = tiles[at] == tiles[at].min()
+            sides = [at[first], at[~first]] if cross[at[0]] else [at]
+            sets = [[np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in side] for side in sides]
+            if not all(sets):
+                continue
+            size = [np.array([len(x) for x in side], np.float64) for side in sets]
+            inter = overlaps(*sets).astype(np.float64)
+            links = inter >= threshold * (size[0][:, None] + size[-1][None, :] - inter) - 1e-9
+            if len(sides) == 1:
+                np.fill_diagonal(links, False)
+                square, nodes = links, at
+            else:
+                nodes = np.concatenate(sides)
+                n = len(sides[0])
+                square = np.zeros((len(nodes), len(nodes)), bool)
+                square[:n, n:], square[n:, :n] = links, links.T
+            total = square @ copies[nodes].astype(np.float64)
+            out += [(int(keys[nodes[i]]), None, int(total[i])) for i in np.flatnonzero(total)]
+            out += [(int(keys[nodes[i]]), int(keys[nodes[j]]), 0) for i, j in forest(square)]
+        return pa.table({c: pa.array([x[i] for x in out], pa.int64()) for i, c in enumerate(("a", "b", "links"))})
+
+    return members.withColumn("pack", F.pmod(F.xxhash64("group"), F.lit(packs))).groupBy("pack").applyInArrow(run, "a long, b long, links long")
 
 
 def shingles_of(texts: DataFrame, words: int) -> DataFrame:
@@ -224,11 +264,21 @@ def shingles_of(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, ", ".join([*[f"{c} {kinds[c]}" for c in names], "shingles binary"]))
 
 
+def members_of(source: DataFrame, classes: DataFrame, groups: DataFrame, words: int, tile: int, tile_shingles: int) -> DataFrame:
+    """The sets of each candidate component with their shingles, once, and their tile: up to `tile` sets and about tile_shingles shingles."""
+    placed = groups.select(F.col("node").alias("key"), "component").join(classes.select("key", "n", "copies", F.col("first.row").alias("row")), "key")
+    sized = placed.groupBy("component").agg(F.count("*").alias("sets"), F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(tile_shingles) / F.avg("n")))).cast("long").alias("tile_sets"))
+    wanted = ranked(placed, ["component"], [F.col("key")], F.col("key"), 10_000, "rank").join(sized, "component")
+    wanted = wanted.select("row", "key", "component", "copies", F.floor(F.col("rank") / F.col("tile_sets")).alias("tile"), F.ceil(F.col("sets") / F.col("tile_sets")).alias("tiles"))
+    texts = source.select("row", "text").join(wanted, "row").dropDuplicates(["key"]).select("key", "component", "tile", "tiles", "copies", "text")
+    return shingles_of(texts, words)
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,
-    runs: int = 6, branches: float = 2.0, bucket: int = 256, depth: int = 3, sketch: int = 128, tile: int = 512,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.99,
+    runs: int = 6, branches: float = 2.0, bucket: int = 256, depth: int = 4, sketch: int = 128, tile: int = 2048, tile_shingles: int = 1 << 21,
 ) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, class_size, n_links, kept.
+    """One row per row of docs: doc_id, class_id, class_size, n_links, kept, row (see row_key).
 
     Two documents are linked when the Jaccard similarity of their sets of `words`-word shingles is `threshold` or more.
     A class is a connected component of links; class_id is its smallest id, and that document is the one kept.
@@ -236,46 +286,47 @@ def near_duplicates(
 
     Documents of one shingle set are one set in the join. Each run of the chosen-path recursion samples about `branches`
     shared tokens of a set's sketch (its smallest hashes) at each level, so a pair at the threshold meets in a run with
-    probability of at least 0.7, and misses all six in fewer than one of a thousand cases. Sketches only choose the
-    candidate components; a link is decided by the whole sets. Components larger than a tile are compared in pairs of tiles.
+    probability of at least 0.7. Batches of `runs` runs are repeated until the estimated share of linked sets found reaches
+    `recall` (see missed). Sketches only choose the candidate components; a link is decided by the whole sets, each of
+    which is fetched once. Components larger than a tile are compared in pairs of tiles.
 
     A text without a word (or null) has no links. A text of fewer than `words` words has one shingle. Rows that repeat
-    an id with the same text are counted as copies and kept or not kept alike. Null ids come last. Empty input gives no rows.
+    an id with the same text are counted as copies and kept or not kept alike; rows that repeat an id with another text are
+    documents of their own. Null ids come last. Empty input gives no rows. Other columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(row_key(id_col, text_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sketched(source, id_type, words, sketch))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    reps = materialize(sets.groupBy("set_key").agg(F.min(order).alias("first"), F.count("*").alias("copies")))
-    chosen = reps.where("set_key <> 0").select(F.col("first.row").alias("row"), F.col("set_key"), "copies")
-    classes = materialize(sets.select("row", "set_key", "sketch").join(chosen.select("row", "set_key"), ["row", "set_key"]).dropDuplicates(["set_key"]).select("set_key", "sketch"))
-    edges = candidate_edges(classes, runs, branches, bucket, depth, sketch_least(threshold))
-    groups = materialize(components(edges))
-    sized = groups.groupBy("component").agg(F.count("*").alias("sets"))
-    placed = ranked(groups, ["component"], [F.col("node")], F.col("node"), 10_000, "rank").join(sized, "component")
-    placed = placed.select(F.col("node").alias("set_key"), "component", F.floor(F.col("rank") / tile).alias("tile"), F.ceil(F.col("sets") / tile).alias("tiles"))
-    wanted = placed.join(chosen, "set_key")
-    texts = source.select("row", "text").join(wanted, "row").dropDuplicates(["set_key"]).select("set_key", "component", "tile", "tiles", "copies", "text")
-    members = materialize(shingles_of(texts, words))
+    classes = sets.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()))
+    edges = candidate_edges(classes.select("key", "sketch"), runs, recall, branches, bucket, depth, sketch_least(threshold))
+    none = docs.sparkSession.createDataFrame([], EDGES)
+    groups = components(reduce(DataFrame.union, edges, none))
+    discard(*edges)
+    members = materialize(members_of(source, classes, groups, words, tile, tile_shingles))
+    discard(groups)
     low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    members = members.select(F.xxhash64("component", low, high).alias("group"), "set_key", "tile", (F.col("tile") != F.col("other")).alias("crosses"), "copies", "shingles", (low != high).alias("cross"))
-    volume = members.agg(F.sum(F.octet_length("shingles") + 64)).first()[0] or 0
-    judged = materialize(verified(members.drop("crosses"), max(1, -(-volume // (8 << 20))), threshold))
-    linked = judged.where("b is null").groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"))
-    classes_of = components(judged.where("b is not null").select("a", "b")).withColumnRenamed("node", "set_key")
-    per_set = reps.join(linked, "set_key", "left").join(classes_of, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select(F.xxhash64("component", low, high).alias("group"), "key", "tile", "copies", "shingles", (low != high).alias("cross"))
+    volume = members.agg(F.sum(F.octet_length("shingles") * F.col("tiles"))).first()[0] or 0
+    judged = materialize(verified(dealt, max(1, -(-volume // (8 << 20))), threshold))
+    discard(members)
+    found = components(judged.where("b is not null").select("a", "b"))
+    linked = judged.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    per_set = classes.select("set_key", "key", "copies", "first").join(linked, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     total = per_set.groupBy("component").agg(F.min("first").alias("top"), F.sum("copies").alias("class_size"))
-    per_set = per_set.join(total, "component").select("set_key", "top", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.select("row", "doc_id", "set_key").join(per_set, "set_key")
-    alone = F.col("set_key") == 0
-    return out.select(
+    per_set = materialize(per_set.join(total, "component").select("set_key", "top", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    discard(classes, judged, found)
+    alone = F.col("n") == 0
+    return sets.select("row", "doc_id", "set_key", "n").join(per_set, "set_key", "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         (alone | (F.col("row") == F.col("top.row"))).alias("kept"),
-    )
+        "row",
+    )
 
 
 def sketch_least(threshold: float) -> float:
@@ -284,6 +335,7 @@ def sketch_least(threshold: float) -> float:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns."""
-    dropped = near_duplicates(docs, id_col, text_col).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """The rows of docs that near_duplicates keeps, with all their columns; rows are told apart by id and text."""
+    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    dropped = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias(gone)).distinct()
+    return docs.withColumn(row, row_key(id_col, text_col)).join(dropped, F.col(row) == F.col(gone), "left_anti").drop(row)

@@ -35,7 +35,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(documents(spark, sf_dir))
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).drop("row")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

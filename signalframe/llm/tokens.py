@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,22 +36,22 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 class Prefix:
-    """Hashes of any stretches of a sequence of 64-bit codes, from two running sums of it."""
+    """Hashes of any stretches of a sequence of 64-bit codes, from a running sum of it.
+
+    Different stretches may share a hash (those of Thue-Morse strings do), so these hashes only route and sample; what is
+    called equal is compared by its bytes or by a cryptographic digest of them.
+    """
 
     BASE = 0xD6E8FEB86659FD93
-    BASE2 = 0xCA5A826395121157
 
-    def __init__(self, codes: np.ndarray, wide: bool = False):
+    def __init__(self, codes: np.ndarray):
         size = 1 << max(10, int(len(codes)).bit_length())
-        self.parts = []
-        for base in (self.BASE, self.BASE2)[: 1 + wide]:
-            sums = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(codes * powers(size, base)[: len(codes)], out=sums[1:])
-            self.parts.append((sums, powers(size, pow(base, -1, 1 << 64))))
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers(size, self.BASE)[: len(codes)], out=self.sums[1:])
+        self.inverse = powers(size, pow(self.BASE, -1, 1 << 64))
 
-    def hashes(self, start: np.ndarray, end: np.ndarray, part: int = 0) -> np.ndarray:
-        sums, inverse = self.parts[part]
-        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * ODD)
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * ODD)
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,10 +86,59 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
     return start, end, np.searchsorted(start, offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The little-endian 64-bit number of the eight bytes from each place on, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Longer stretches are hashed and compared one by one.
+SHORT = 64
+
+
+def codes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes: eight bytes a step through a scrambling that is not linear, BLAKE2b for long ones."""
+    size = end - start
+    code = mix(size.astype(np.uint64) * ODD)
+    view, live = eights(data), np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        code[live] = mix((code[live] ^ (view[start[live] + at] & LOW[np.minimum(size[live] - at, 8)])) * ODD)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        code[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return code
+
+
+def same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[i] bytes from a[i] on equal those from b[i] on, byte for byte."""
+    out = np.ones(len(a), bool)
+    view, live = eights(data), np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        live = live[(size[live] > at) & out[live]]
+        if not len(live):
+            break
+        mask = LOW[np.minimum(size[live] - at, 8)]
+        out[live] = (view[a[live] + at] & mask) == (view[b[live] + at] & mask)
+    for i in np.flatnonzero(size > SHORT).tolist():
+        out[i] = bool((data[a[i] : a[i] + size[i]] == data[b[i] : b[i] + size[i]]).all())
+    return out
+
+
+def joined(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` codes from each place on, in their order."""
+    out = np.full(len(at), size, np.uint64) * ODD
+    for k in range(size):
+        out = mix((out ^ codes[at + k]) * ODD)
+    return out
+
+
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, first): a 64-bit hash of each word, and of each document its first word, with a last entry."""
     start, end, first = words(data, offsets)
-    return Prefix(BYTE[data]).hashes(start, end), first
+    return codes_of(data, start, end), first
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -97,10 +147,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
     A text of fewer words has one shingle, all its words; a text without a word has none.
     """
     codes, first = word_codes(data, offsets)
-    prefix = Prefix(codes)
+    whole = joined(codes, np.arange(max(0, len(codes) - size + 1)), size)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if a == b:
             yield np.zeros(0, np.uint64)
+        elif b - a < size:
+            yield joined(codes, np.array([a]), b - a)
         else:
-            at = np.arange(a, max(a, b - size) + 1)
-            yield np.unique(prefix.hashes(at, np.minimum(at + size, b)))
+            yield np.unique(whole[a : b - size + 1])
