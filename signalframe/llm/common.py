@@ -106,15 +106,15 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 64, part_edges: int = 500_000) -> DataFrame:
     """Connected components of edges (a, b) of longs: one row (node, component) for each node, component its smallest node.
 
-    Every partition contracts its edges to stars first. Where these are not disjoint, alternating large-star and small-star
+    Parts of about part_edges edges are contracted to stars first. Where these are not disjoint, alternating large-star and small-star
     steps follow, each one a grouping by node whose result is written to the shared folder; the number of rounds is
     logarithmic in the longest path. Nothing is collected. Edges from a node to itself count for nothing. No end within
     max_rounds is an error. The result is a materialized table.
     """
-    now = materialize(contracted(edges.where("a <> b")))
+    now = materialize(contracted(edges.where("a <> b").coalesce(1 + edges.count() // part_edges)))
     for _ in range(max_rounds):
         ends = now.select(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("root")).union(now.select("b", F.lit(0), F.lit(1)))
         if ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).where("ups + root > 1").isEmpty():

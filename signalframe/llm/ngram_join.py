@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import components, discard, fresh, materialize, ranked
+from signalframe.llm.common import components, discard, fresh, materialize
 from signalframe.llm.tokens import ODD, mix, shingle_sets, slices
 
 SETS = "row binary, doc_id {id}, set_key binary, n long, sketch binary"
@@ -137,39 +137,53 @@ def likely(buckets: DataFrame, packs: int, least: float) -> DataFrame:
     return buckets.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(packs))).groupBy("pack").applyInArrow(run, EDGES)
 
 
-def against_pivot(big: DataFrame, link: float, done: float) -> DataFrame:
-    """Rows of paths with many sets, each with its path's pivot and near: 1 if the sketches overlap by `link`, 2 if by `done`."""
-    pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("path", "key"), "key", "sketch")).alias("pivot"))
+def against_pivot(big: DataFrame) -> DataFrame:
+    """Rows of paths with many sets, each with its path's pivot and the overlap of the two sketches.
+
+    The pivot is the set of the least hash, so the paths of one group of near copies, in all runs, mostly have the same one.
+    """
+    pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("key"), "key", "sketch")).alias("pivot"))
     pivots = pivots.select(F.col("path").alias("_path"), F.col("pivot.key").alias("pivot"), F.col("pivot.sketch").alias("with"))
-    schema = "path long, run int, key long, sketch binary, sets long, pivot long, near int"
+    schema = "path long, run int, key long, sketch binary, sets long, pivot long, overlap double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
+            shares = []
             for own, other in zip(batch.column(3), batch.column(6), strict=True):
                 a, b = np.unique(np.frombuffer(own.as_py(), np.uint32)), np.unique(np.frombuffer(other.as_py(), np.uint32))
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                share = both / max(1, len(a) + len(b) - both)
-                near.append((share >= link) + (share >= done))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(near, pa.int32())], names=["path", "run", "key", "sketch", "sets", "pivot", "near"])
+                shares.append(both / max(1, len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(shares, pa.float64())], names=["path", "run", "key", "sketch", "sets", "pivot", "overlap"])
 
     return big.join(pivots, F.col("path") == F.col("_path")).select("path", "run", "key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
 
 
-def run_edges(sets: DataFrame, runs: range, branches: float, bucket: int, depth: int, least: float) -> list[DataFrame]:
+def tiled(rows: DataFrame, bucket: int) -> DataFrame:
+    """The rows of each path dealt to tiles of about `bucket` sets, and each tile to its pairs with all tiles of the path."""
+    tiles = F.ceil(F.col("sets") / bucket).cast("int")
+    dealt = rows.withColumns({"tile": F.pmod(F.xxhash64("key"), tiles), "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
+    return dealt.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "run", "key", "sketch")
+
+
+def run_edges(sets: DataFrame, runs: range, branches: float, bucket: int, most_tiles: int, depth: int, least: float) -> list[DataFrame]:
     """Materialized edges (a, b, run) between sets (key, sketch) whose sketches are alike, from some runs of the recursion.
 
+    run is -1 where the sketches overlap by less than `least`, as those of a set and a pivot may.
+
     A path with one set ends. A path with up to `bucket` sets is compared by brute force. In a larger one all sets are
-    first compared with a pivot. Those whose sketches overlap it by link = least / 2 are joined to it. If all are, the path
-    ends. Otherwise those that overlap it by 1 + link - least end: 1 - overlap is a distance, so whatever overlaps them by
-    `least` overlaps the pivot by link and is joined to it too. The rest is split again, up to `depth` times; what is larger
-    than a bucket then is compared in pairs of tiles, so no case is dropped.
+    first compared with a pivot. Those whose sketches overlap it by link = least / 2 are joined to it; `far` is the largest
+    overlap of the others. 1 - overlap is a distance, so a set that overlaps the pivot by more than far + 1 - least overlaps
+    none of the others by `least`: it ends here, and so does a path without others. Of the rest, paths of up to most_tiles
+    buckets are compared in pairs of tiles and larger ones are split again, up to `depth` times; what is left then is
+    compared in pairs of tiles too, so no case is dropped.
     """
     link, out = least / 2, []
     rows = sets.select(F.lit(0).cast("long").alias("path"), F.lit(0).alias("run"), "key", "sketch")
+    done: list[DataFrame] = []
     for level in range(1, depth + 1):
         paths = choose(rows, runs if level == 1 else None, branches)
         paths = materialize(paths.drop("sketch") if level == 1 else paths)
+        discard(*done)
         sizes = paths.groupBy("path").agg(F.count("*").alias("sets")).where("sets > 1")
         part = paths.join(sizes, "path")
         part = materialize(part.join(sets, "key") if level == 1 else part)
@@ -177,39 +191,42 @@ def run_edges(sets: DataFrame, runs: range, branches: float, bucket: int, depth:
         small, most = part.agg(F.count_if(F.col("sets") <= bucket), F.max("sets")).first()
         if small:
             out.append(materialize(likely(part.where(F.col("sets") <= bucket), -(-small // 8000), least)))
-        if level > 1:
-            discard(judged)  # noqa: F821
         if (most or 0) <= bucket:
             discard(part)
-            break
-        judged = materialize(against_pivot(part.where(F.col("sets") > bucket), link, 1 + link - least))
+            return out
+        judged = materialize(against_pivot(part.where(F.col("sets") > bucket)))
         discard(part)
-        out.append(materialize(judged.where("near > 0 and key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), "run")))
-        going = judged.groupBy("path").agg(F.min("near").alias("far")).where("far = 0").select("path")
-        rows = judged.where("near < 2").join(going, "path")
-    else:
-        rows = materialize(ranked(rows, ["path"], [F.col("key")], F.col("key"), 10_000, "rank"))
-        tiles = rows.withColumns({"tile": F.floor(F.col("rank") / 1024), "tiles": F.ceil(F.col("sets") / 1024)})
-        tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        tiles = tiles.select(F.xxhash64("path", F.least("tile", "other"), F.greatest("tile", "other")).alias("path"), "run", "key", "sketch")
-        out.append(materialize(likely(tiles, max(1, -(-tiles.count() // 8000)), least)))
-        discard(judged, rows)
+        alike = F.when(F.col("overlap") >= least, F.col("run")).otherwise(-1)
+        out.append(materialize(judged.where((F.col("overlap") >= link) & (F.col("key") != F.col("pivot"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), alike.alias("run"))))
+        others = judged.where(F.col("overlap") < link).groupBy("path").agg(F.max("overlap").alias("far"))
+        rows = materialize(judged.join(others, "path").where(F.col("overlap") <= F.col("far") + (1 - least)).select("path", "run", "key", "sketch", "sets"))
+        discard(judged)
+        ending = rows if level == depth else rows.where(F.col("sets") <= most_tiles * bucket)
+        volume = ending.agg(F.sum(F.ceil(F.col("sets") / bucket))).first()[0]
+        if volume:
+            out.append(materialize(likely(tiled(ending, bucket), -(-volume // 8000), least)))
+        rows, done = rows.where(F.col("sets") > most_tiles * bucket), [rows]
+        if most <= most_tiles * bucket or level == depth:
+            discard(*done)
+            return out
     return out
 
 
 def missed(edges: DataFrame) -> float:
     """Estimated share of the sets with an edge that no run has found, from how many runs found each (Chao's lower bound)."""
-    ends = edges.select(F.explode(F.array("a", "b")).alias("key"), "run").distinct().groupBy("key").count()
-    seen, once, twice = ends.agg(F.count("*"), F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
+    runs = F.bit_or(F.expr("shiftleft(1L, run)"))
+    pairs = edges.where("run >= 0").groupBy("a", "b").agg(runs.alias("runs"))
+    found = pairs.select("a", "runs").union(pairs.select("b", "runs")).groupBy("a").agg(F.bit_count(F.bit_or("runs")).alias("n"))
+    seen, once, twice = found.agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
     unseen = once * once / (2 * twice) if twice else once * (once - 1) / 2
     return unseen / max(1, seen + unseen)
 
 
-def candidate_edges(sets: DataFrame, runs: int, recall: float, branches: float, bucket: int, depth: int, least: float, most_batches: int = 8) -> list[DataFrame]:
+def candidate_edges(sets: DataFrame, runs: int, recall: float, branches: float, bucket: int, most_tiles: int, depth: int, least: float, most_batches: int = 8) -> list[DataFrame]:
     """Edges of batches of `runs` runs, repeated until the estimated share of the sets found reaches `recall`."""
     out: list[DataFrame] = []
     for batch in range(most_batches):
-        out += run_edges(sets, range(batch * runs, (batch + 1) * runs), branches, bucket, depth, least)
+        out += run_edges(sets, range(batch * runs, (batch + 1) * runs), branches, bucket, most_tiles, depth, least)
         if not out or missed(reduce(DataFrame.union, out)) <= 1 - recall:
             return out
     raise RuntimeError(f"the recall of {recall} is not reached after {most_batches * runs} runs")
@@ -265,18 +282,18 @@ def shingles_of(texts: DataFrame, words: int) -> DataFrame:
 
 
 def members_of(source: DataFrame, classes: DataFrame, groups: DataFrame, words: int, tile: int, tile_shingles: int) -> DataFrame:
-    """The sets of each candidate component with their shingles, once, and their tile: up to `tile` sets and about tile_shingles shingles."""
+    """The sets of each candidate component with their shingles, once, and their tile: about `tile` sets and tile_shingles shingles at most."""
     placed = groups.select(F.col("node").alias("key"), "component").join(classes.select("key", "n", "copies", F.col("first.row").alias("row")), "key")
     sized = placed.groupBy("component").agg(F.count("*").alias("sets"), F.greatest(F.lit(1), F.least(F.lit(tile), F.floor(F.lit(tile_shingles) / F.avg("n")))).cast("long").alias("tile_sets"))
-    wanted = ranked(placed, ["component"], [F.col("key")], F.col("key"), 10_000, "rank").join(sized, "component")
-    wanted = wanted.select("row", "key", "component", "copies", F.floor(F.col("rank") / F.col("tile_sets")).alias("tile"), F.ceil(F.col("sets") / F.col("tile_sets")).alias("tiles"))
+    tiles = F.ceil(F.col("sets") / F.col("tile_sets"))
+    wanted = placed.join(sized, "component").select("row", "key", "component", "copies", F.pmod(F.xxhash64("key"), tiles).alias("tile"), tiles.alias("tiles"))
     texts = source.select("row", "text").join(wanted, "row").dropDuplicates(["key"]).select("key", "component", "tile", "tiles", "copies", "text")
     return shingles_of(texts, words)
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.99,
-    runs: int = 6, branches: float = 2.0, bucket: int = 256, depth: int = 4, sketch: int = 128, tile: int = 2048, tile_shingles: int = 1 << 21,
+    runs: int = 6, branches: float = 2.0, bucket: int = 1024, most_tiles: int = 8, depth: int = 4, sketch: int = 128, tile: int = 2048, tile_shingles: int = 1 << 21,
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, class_size, n_links, kept, row (see row_key).
 
@@ -300,7 +317,7 @@ def near_duplicates(
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     classes = sets.where("n > 0").groupBy("set_key").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("key", F.monotonically_increasing_id()))
-    edges = candidate_edges(classes.select("key", "sketch"), runs, recall, branches, bucket, depth, sketch_least(threshold))
+    edges = candidate_edges(classes.select("key", "sketch"), runs, recall, branches, bucket, most_tiles, depth, sketch_least(threshold))
     none = docs.sparkSession.createDataFrame([], EDGES)
     groups = components(reduce(DataFrame.union, edges, none))
     discard(*edges)

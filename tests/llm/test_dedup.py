@@ -152,7 +152,7 @@ def near_copies(seed, groups=6):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket": 2, "depth": 2, "tile": 3}])
+@pytest.mark.parametrize("options", [{}, {"bucket": 2, "most_tiles": 2, "depth": 2, "tile": 3}])
 def test_near_duplicates_match_all_pairs(spark, options):
     texts = awkward() + near_copies(7)
     found = ngram_join.near_duplicates(frame(spark, texts), **options).collect()
