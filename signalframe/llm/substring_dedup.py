@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.llm.tokens import words
-from signalframe.llm.windows import Shape, blocked, marked, pipeline
+from signalframe.llm.windows import Shape, blocked, marked, pipeline, spans_in
 
 SCHEMA = "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept_text string"
 
@@ -76,13 +76,14 @@ class Automaton:
 
 
 def earlier(length: int):
-    """The solver of substring_dedup: contexts of one anchor are a reference shard; its automaton takes all of them as streams."""
-
-    def again(found: dict) -> list:
-        out: list = [(None, False)] * len(found["items"])
-        anchor = found["anchor"]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]]) if len(anchor) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+    """The solver of substring_dedup: contexts of one anchor are a reference shard; all of them stream through its automaton."""
+
+    def again(found: dict) -> list[bytes]:
+        anchor, windows = found["anchor"], found["windows"].astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(windows)])
+        masks = np.zeros(int(cuts[-1]), bool)
+        groups = np.concatenate([np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1 if len(anchor) else 0)), [len(anchor)]])
+        for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
             if b - a < 2:
                 continue
             shard = [items.split() for items in found["items"][a:b]]
@@ -98,10 +99,8 @@ def earlier(length: int):
                         least[state] = at
             for i, states in enumerate(seen, a):
                 doc, start = int(found["doc"][i]), int(found["start"][i])
-                mask = np.array([least[s] < (doc, start + j) for j, s in enumerate(states)])
-                if mask.any():
-                    out[i] = (mask, False)
-        return out
+                masks[cuts[i] : cuts[i + 1]] = [least[s] < (doc, start + j) for j, s in enumerate(states)]
+        return spans_in(masks, cuts)
 
     return again
 
@@ -118,7 +117,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a word sequence that also starts earlier: in a document of a smaller id, or before in the same document. Windows are
     judged on the input. See signalframe.llm.windows for how the windows that may repeat are routed to reference shards;
     each shard is one suffix automaton, and the documents' contexts stream through it. An automaton of all references,
-    broadcast, would grow with the corpus; shards of one anchor hold at most `heavy` occurrences and go to one task each.
+    broadcast, would grow with the corpus; a shard holds the contexts of one anchor, or of one window of an anchor that
+    occurs more than `heavy` times, and goes to one task. Words are compared as bytes, not by hashes.
 
     A null text has no words. A null id comes before all others and is returned as null. Rows that repeat an id come at
     the same place in the order, so neither is earlier. Texts of fewer than `length` words stay whole. Empty input gives
@@ -130,11 +130,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def encode(data: np.ndarray, offsets: np.ndarray):
         start, end, _ = words(data, offsets)
         raw = data.tobytes()
-        return lambda a, b: raw[start[a] : end[b - 1]]
+        return lambda a, b: b" ".join(raw[start[a] : end[b - 1]].split())
 
     def finish(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         n_words, removed, kept = [], [], []
-        for _, data, offsets, first, covered in marked(table, verdicts, shape):
+        for data, offsets, first, covered in marked(table, verdicts, shape):
             raw = data.tobytes()
             for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
                 found, gone = raw[a:b].split(), covered[i:j]
@@ -145,7 +145,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == np.iinfo(np.int64).min), "n_words": pa.array(n_words, pa.int64()), "removed": spans, "kept_text": pa.array(kept, pa.string())})
 
-    return pipeline(rows, shape, encode, earlier(length), finish, SCHEMA, blocks)
+    return pipeline(rows, shape, encode, earlier(length), False, finish, SCHEMA, blocks)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from signalframe.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup
+from signalframe.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup, windows
 from signalframe.llm.substring_dedup import Automaton
 
 from helpers import WORD, awkward, empty, frame, sentence
@@ -95,6 +96,59 @@ def test_suffix_dedup_matches_plain_bytes(spark, heavy):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == plain_bytes(texts, 200)
 
 
+def thue_morse(n, a="a", b="b"):
+    """2 ** n letters; a polynomial hash modulo 2 ** 64 takes this string and its complement for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join(b if x else a for x in bits)
+
+
+def test_window_operators_compare_contents_not_hashes(spark):
+    words = sentence(21, 40).split()
+    texts = [" ".join([*words[:10], thue_morse(10, *x), *words[10:]]) for x in ("ab", "ba", "ab")]
+    texts += [sentence(22, 30) + thue_morse(12, *x) + sentence(23, 30) for x in ("cd", "dc")]
+    for heavy in (1, 100):
+        found = substring_dedup.digest(substring_dedup.substring_dedup(frame(spark, texts), heavy=heavy, block_bytes=500)).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == plain_windows(texts, 20)
+        found = suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, texts), heavy=heavy, block_bytes=3000)).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == plain_bytes(texts, 200)
+
+
+def test_window_operators_on_texts_longer_than_a_slice(spark):
+    part = sentence(31, 3000)
+    texts = [sentence(32, 60_000) + " " + part + " " + sentence(33, 9000), part + " \t" + sentence(34, 50), "z" * 700_000 + part, sentence(34, 50).replace(" ", "  ")]
+    found = substring_dedup.digest(substring_dedup.substring_dedup(frame(spark, texts), block_bytes=200_000)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found} == plain_windows(texts, 20)
+    found = {r.doc_id: r for r in suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, texts), block_bytes=200_000)).collect()}
+    size = len(part.encode())
+    assert found[2].n_removed >= size and found[3].n_removed >= 700_000 + size and found[1].n_removed >= size
+    assert found[4].n_removed == 0 and found[3].n_spans == 1
+
+
+def test_runs_and_spans_do_not_depend_on_chunks():
+    rng = np.random.default_rng(1)
+    codes, first = rng.integers(0, 3, 500).astype(np.uint64), np.array([0, 130, 135, 135, 420, 500])
+    for chunk in (1, 7, 64, 10_000):
+        covered = {}
+        for runs in windows.find_runs(codes, first, windows.Shape(9, 3, True, 5, chunk=chunk)):
+            for s, w, p in zip(runs.start.tolist(), runs.windows.tolist(), runs.place.tolist()):
+                covered |= {k: p for k in range(s, s + w)}
+        assert covered == {k: covered[k] for k in range(500) if any(a <= k and k + 9 <= b for a, b in zip(first[:-1], first[1:]))}
+        one = covered if chunk == 1 else one
+        assert one == covered
+    mask = np.array([1, 1, 0, 1, 1, 1, 0, 1], bool)
+    assert [np.frombuffer(x, "<i4").tolist() for x in windows.spans_in(mask, np.array([0, 4, 4, 7, 8]))] == [[0, 2, 3, 4], [], [0, 2], [0, 1]]
+
+
+def test_equal_groups_are_the_repeated_windows():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 3000).astype(np.uint8)
+    start = np.arange(3000 - 19)
+    count = Counter(data[a : a + 19].tobytes() for a in start)
+    found = suffix_dedup.equal_groups(data, start, np.zeros(len(start), np.int64), np.ones(len(start), np.int64), 19)
+    assert sorted(found.tolist()) == [a for a in start.tolist() if count[data[a : a + 19].tobytes()] > 1]
+    assert len(suffix_dedup.equal_groups(data, start, np.zeros(len(start), np.int64), np.full(len(start), 2), 19)) == len(start)
+
+
 def test_window_operators_edges(spark):
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
     assert suffix_dedup.suffix_dedup(empty(spark)).count() == 0
