@@ -14,29 +14,35 @@ from signalframe.llm.common import documents, labels, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier expects to be of the top grade."""
+    """Documents that the ordinal classifier expects to be of the top grade.
+
+    A null text is scored as an empty one; repeated ids stay if one of their rows does; without labels all rows stay.
+    """
     return quality_classifier.keep_good(docs, labels(spark, sf_dir))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text, the one of the largest id. Null counts as empty; rows that repeat an id and text stay together."""
     return exact_dedup.keep_one(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates, that of the smallest id: five-word shingles, similarity of 0.8 or more.
+
+    Texts without a word are in no group. Rows that repeat an id and text stay together; null ids come last.
+    """
     return ngram_join.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which their sources mix to the stated target weights."""
+    """All documents, in the order in which their sources mix to the stated target weights. A null source is a source; repeated ids share a place."""
     return mixing.mixed(docs, mixing.TARGETS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of at most 2048 tokens, which follow the mixed order.
 
-    Files keep no order of rows, so the positions are computed again; they depend on ids, sources and weights only.
+    A null text is the end token alone; rows that repeat an id are packed each by itself. Files keep no order of rows, so the positions are computed again; they depend on ids, sources and weights only.
     """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), order=mixing.positions(docs, mixing.TARGETS))
 

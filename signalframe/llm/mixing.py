@@ -11,27 +11,12 @@ from math import gcd, lcm
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import materialize, ranked
+from signalframe.llm.common import fresh, materialize, ranked
 
 #: Stated target weights of op8_mixing and of the pipeline's stage; any other source gets their mean.
 TARGETS = {"src0": 5, "src1": 2, "src2": 3.5}
 
 
-def shares(weights: Mapping, quantum: int) -> dict:
-    """Whole shares of the quantum in proportion to the weights by largest remainder, at least 1 each."""
-    total = sum(weights.values())
-    exact = {s: max(Fraction(1), Fraction(w) * quantum / total) for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    spare = quantum - sum(out.values())
-    for s in order[: max(0, spare)]:
-        out[s] += 1
-    while sum(out.values()) > quantum:
-        top = max(out, key=lambda s: (out[s], str(s)))
-        out[top] -= 1
-    return out
-
-
 class Schedule:
     """Earliest deadline first over the exact windows of all blocks.
 
@@ -179,5 +164,6 @@ def positions(docs: DataFrame, weights: Mapping | None = None, id_col: str = "do
 
 def mixed(docs: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The rows of docs, with all their columns, in mixed order. Ids must be unique; rows that repeat one share its place."""
-    at = positions(docs, weights, id_col, source_col)
-    return docs.join(at, F.col(id_col).eqNullSafe(F.col("_id"))).orderBy("_position", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    of, place = fresh(docs, "of"), fresh(docs, "place")
+    at = positions(docs, weights, id_col, source_col).select(F.col("_id").alias(of), F.col("_position").alias(place))
+    return docs.join(at, F.col(id_col).eqNullSafe(F.col(of))).orderBy(place, id_col).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -17,6 +18,17 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids b
 #: A worker's dictionary of words and their ids starts anew at this size.
 MOST_WORDS = 400_000
 TAIL = ".,;:!?"
+#: The normalizers and pre-tokenizers (fixed value of the tokenizer file) under which a text's ids are those of its words.
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer's steps are those above, so that it may be given a text's words one by one."""
+    spec = json.loads(tokenizer.to_str())
+    normalizer, split = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    steps = ([x["type"] for x in normalizer.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])])
+    return steps == STEPS and split["pretokenizers"][0]["pattern"] == {"Regex": SPLIT} and not split["pretokenizers"][1]["add_prefix_space"]
 
 
 class Encoder(dict):
@@ -24,7 +36,8 @@ class Encoder(dict):
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in a row. A new word
     goes through the tokenizer's own normalizer, pre-tokenizer and model. A word of ASCII letters and closing marks
-    comes out of the first two as those letters in lower case and those marks, so it goes to the model at once.
+    comes out of the first two as those letters in lower case and those marks, so it goes to the model at once. All that
+    holds for tokenizers of the known steps (see by_words); any other one gets texts whole.
     """
 
     def __init__(self, path: str):
@@ -32,6 +45,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = not by_words(self.tokenizer)
+        if self.whole:
+            return
         self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
@@ -54,6 +70,8 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > MOST_WORDS:
             self.clear()
             self.parts.clear()
@@ -132,6 +150,12 @@ def sweep(lengths: Mapping[int, int], gaps: Mapping[int, int], capacity: int, op
     return moves, [(origin, first, count, gap) for gap, found in runs.items() for origin, first, count in found], opened
 
 
+def numbered(runs: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """One row for each number from first to before first + sequences of each run, made in parts of `step`."""
+    parts = runs.where("sequences > 0").withColumn("part", F.explode(F.expr(f"sequence(0, (sequences - 1) div {step})")))
+    return parts.withColumn("number", F.explode(F.expr(f"sequence(first + part * {step}, first + least(sequences, (part + 1) * {step}) - 1)")))
+
+
 def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, shrink: int = 8, at: str | None = None) -> DataFrame:
     """Add sequence_id and offset to pieces (any columns, with length from 1 to capacity).
 
@@ -164,15 +188,15 @@ def pack(found: DataFrame, capacity: int = 2048, rows_per_group: int = 10_000, s
         here = here.withColumns({"_bin": F.col("sequence") + F.floor(nth / F.col("each")), "offset": F.col("at") + nth % F.col("each") * F.col("length")})
         columns = [*found.columns, "sequence_id", "offset"]
         placed = here.where("origin = 0").withColumn("sequence_id", F.col("_bin")).select(*columns)
-        closed = spark.createDataFrame(closes, "origin long, first long, sequences long, now long")
-        state = spark.range(opened, now).select(F.col("id").alias("bin"), F.lit(0).cast("long").alias("gap"), F.col("id").alias("_at"))
+        closed = spark.createDataFrame(closes, "origin long, first long, sequences long, now long").where("now > 0")
+        state = numbered(closed.where("origin = 0")).select(F.col("number").alias("bin"), F.col("now").alias("gap"))
         if bins is not None:
             open_bins = materialize(ranked(bins, ["gap"], [F.col("bin")], F.col("bin"), rows_per_group, "_at", sum(gaps.values())).select("bin", "gap", "_at"))
             old = here.where("origin > 0").join(open_bins.select("bin", F.col("gap").alias("_gap"), "_at"), (F.col("origin") == F.col("_gap")) & (F.col("_bin") == F.col("_at")))
             placed = placed.union(old.withColumn("sequence_id", F.col("bin")).select(*columns))
-            state = state.union(open_bins)
-        inside = (F.col("gap") == F.col("origin")) & (F.col("_at") >= F.col("first")) & (F.col("_at") < F.col("first") + F.col("sequences"))
-        bins = materialize(state.join(F.broadcast(closed), inside).where("now > 0").select("bin", F.col("now").alias("gap")))
+            inside = (F.col("gap") == F.col("origin")) & (F.col("_at") >= F.col("first")) & (F.col("_at") < F.col("first") + F.col("sequences"))
+            state = state.union(open_bins.join(F.broadcast(closed), inside).select("bin", F.col("now").alias("gap")))
+        bins = materialize(state)
         placed = materialize(placed)
         out = placed if out is None else out.union(placed)
         opened = now

@@ -17,19 +17,19 @@ LOCAL = "A-Za-z0-9._%+-"
 #: Fixed patterns, written so that each is found in time linear in the text; (rank, condition, pattern).
 KINDS = {
     "email": (0, "contains(text, '@')", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": (1, f"contains(text, '.') and {DIGIT}", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "ip": (1, f"contains(text, '.') and {DIGIT}", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (2, DIGIT, r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+"),
     "phone": (3, "contains(text, '+')", r"\+[0-9][\x20().0-9-]+[0-9]"),
     # High-recall generators of the method. Their candidates may overlap each other and the fixed kinds.
-    "mail_like": (4, "contains(text, '@') or text rlike '(?i)[\\\\[(]at[\\\\])]'", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?(?:@|(?i:\(at\)|\[at\]))\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|(?i:\(dot\)|\[dot\]))[A-Za-z0-9-]++)*+"),
-    "digits_like": (5, DIGIT, r"(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+(?![0-9A-Za-z])"),
+    "mail_like": (4, "contains(text, '@') or text rlike '(?i)[\\\\[(]at[\\\\])]'", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++\x20?(?:@|(?i:\(at\)|\[at\]))\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?(?i:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]++)*+"),
+    "digits_like": (5, DIGIT, r"(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+"),
 }
 BASE = ("email", "ip", "card", "phone")
 IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}"
 CONTEXT = r"(?i)mail|contact|phone|tel|call|mobile|fax|card|visa|credit|account|\bip\b|host|address"
 
 #: The features of a candidate; each is a small integer, so there are few cells and the trees are exact over them.
-FEATURES = ("like", "digits", "groups", "before", "after", "context", "dots", "letters")
+FEATURES = ("like", "digits", "groups", "before", "after", "dots", "letters")
 
 
 def digits_of(value: Column) -> Column:
@@ -52,7 +52,8 @@ def valid(kind: str, span: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, one array of valid spans for each fixed kind, their sorted union base, and the scored candidates like.
 
-    like has every generator candidate with its features and whether a valid base span lies over it (hit).
+    like has every generator candidate with its features, whether a valid base span lies over it (hit), and whether the
+    24 characters before it name a kind of personal data (named). A candidate that goes on in a word is none.
     """
     found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", KINDS)
     found = found.withColumns({k: F.filter(k, partial(valid, k)) for k in BASE})
@@ -71,23 +72,25 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             F.least(F.size(F.split(value, r"[\x20().-]+", -1)), F.lit(7)).alias("groups"),
             F.when(s["start"] == 0, 0).otherwise(place(before)).alias("before"),
             place(after).alias("after"),
-            near.rlike(CONTEXT).cast("int").alias("context"),
+            near.rlike(CONTEXT).alias("named"),
             F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(3)).alias("dots"),
             value.rlike("[A-Za-z]").cast("int").alias("letters"),
         )
 
-    return found.select("doc_id", *BASE, "base", F.transform(F.concat("mail_like", "digits_like"), features).alias("like"))
+    return found.select("doc_id", *BASE, "base", F.filter(F.transform(F.concat("mail_like", "digits_like"), features), lambda c: c["after"] != 2).alias("like"))
 
 
 def cells(found: DataFrame) -> list[dict]:
-    """Of each combination of features: candidates and hits in the training and in the calibration half of the rows.
+    """Of each combination of features, candidates and how many of them are named (hits).
 
-    All candidates count. There are at most 2 * 21 * 8 * 4 * 4 * 2 * 4 * 2 combinations, whatever the number of rows.
+    n and hits are of the training half of the rows, held_n and held_hits of those of the calibration half that no base
+    span touches, sure_n and sure_hits of those of the training half over which a base span lies.
+    All candidates count. There are at most 2 * 21 * 8 * 4 * 4 * 4 * 2 combinations, whatever the number of rows.
     """
     each = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("held"), F.explode("like").alias("c"))
-    hit = F.col("c.hit").cast("long")
+    parts = {"": F.col("held") == 0, "held_": (F.col("held") == 1) & ~F.col("c.hit"), "sure_": (F.col("held") == 0) & F.col("c.hit")}
     counts = each.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(
-        *[F.sum(F.when(F.col("held") == h, x).otherwise(0)).alias(name) for h, x, name in ((0, F.lit(1), "n"), (0, hit, "hits"), (1, F.lit(1), "held_n"), (1, hit, "held_hits"))]
+        *[F.count_if(here & more).alias(f"{part}{name}") for part, here in parts.items() for name, more in (("n", F.lit(True)), ("hits", F.col("c.named")))]
     )
     return sorted((r.asDict() for r in counts.collect()), key=lambda r: [r[f] for f in FEATURES])
 
@@ -143,24 +146,40 @@ def scores(model: Sequence[tuple], row) -> float | Column:
     return total
 
 
+def named_share(rows: Sequence[dict]) -> float:
+    """How often true personal data is named before: the share among the candidates under base spans; 1 without any."""
+    n = sum(r["sure_n"] for r in rows)
+    return max(sum(r["sure_hits"] for r in rows), 1) / n if n else 1.0
+
+
 def threshold(model: Sequence[tuple], rows: Sequence[dict], precision: float, least: int) -> float:
-    """The lowest score from which the held-out half, taken from the top down, has the wanted precision; inf if none has."""
+    """The lowest score from which the held-out candidates, from the top down, have the wanted precision; inf if none has.
+
+    Only some true ones are named, and nothing else tends to be, so their number is estimated as hits / named_share.
+    """
     best, n, hits = math.inf, 0, 0
+    share = named_share(rows)
     for score, total, good in sorted(((scores(model, r), r["held_n"], r["held_hits"]) for r in rows), reverse=True):
         n, hits = n + total, hits + good
-        if n >= least and hits >= precision * n:
+        if n >= least and hits >= precision * share * n:
             best = score
     return best
 
 
+def apart(spans: Column) -> Column:
+    """The spans without those that a span over them starts before."""
+    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["start"], -o["end"], o["rank"]) < F.struct(s["start"], -s["end"], s["rank"]))))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, least: int = 20, trees: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Valid matches of the fixed patterns are the base spans and always stay. High-recall generators propose further,
-    overlapping candidates (kinds mail_like and digits_like); trees boosted on the format and context features of all
-    candidates of the corpus, with a valid base span over a candidate as its label, score them. The threshold is
-    calibrated on the half of the rows that the trees have not seen, and a candidate above it that no base span
-    touches joins the spans. If no threshold reaches the precision over `least` candidates, only base spans remain.
+    overlapping candidates (kinds mail_like and digits_like); trees boosted on the format of all candidates of the corpus
+    and the characters around them score them. Their weak label, which no base rule decides, is whether the words just
+    before name a kind of personal data. The threshold is calibrated on the half of the rows that the trees have not seen
+    (see threshold), and a candidate above it that no base span touches joins the spans; of overlapping ones the one that
+    starts first does. If no threshold reaches the precision over `least` candidates, only base spans remain.
 
     A null text counts as empty: no spans. Rows that repeat an id are searched each by itself; a null id is an id like
     others. Empty input gives no rows. Only the named columns are read.
@@ -170,7 +189,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     model = boost([r for r in rows if r["n"]], trees) if any(r["n"] for r in rows) else []
     least_score = threshold(model, rows, precision, least) if model else math.inf
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    extra = none if least_score == math.inf else F.transform(F.filter("like", lambda c: ~c["hit"] & (scores(model, c) >= F.lit(least_score))), lambda c: c["span"])
+    extra = none if least_score == math.inf else apart(F.transform(F.filter("like", lambda c: ~c["hit"] & (scores(model, c) >= F.lit(least_score))), lambda c: c["span"]))
     return found.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],

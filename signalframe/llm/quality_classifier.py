@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalframe.llm.common import fresh
 from signalframe.llm.quality_rules import count_slice, labelled
 from signalframe.llm.tokens import BYTE, Prefix, mix, slices, words
 
-
-
 #: Hashed words are runs of ASCII letters and digits, in lower case, and of bytes outside ASCII.
 PLAIN = np.arange(256)
 BETWEEN = (PLAIN < 128) & ~np.isin(PLAIN, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
@@ -197,5 +196,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_tail: float | None = None) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns. Rows that repeat an id stay if one of them is kept."""
-    rejected = quality_classifier(docs, labels, id_col, text_col, least_tail).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("_rejected")), "left_anti")
+    gone = fresh(docs, "gone")
+    rejected = quality_classifier(docs, labels, id_col, text_col, least_tail).groupBy("doc_id").agg(F.max("kept").alias("any")).where(~F.col("any")).select(F.col("doc_id").alias(gone))
+    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col(gone)), "left_anti")

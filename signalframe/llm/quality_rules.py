@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import materialize
-from signalframe.llm.tokens import BYTE, ODD, Prefix, mix, slices, words
+from signalframe.llm.tokens import ODD, codes_of, joined, mix, same, slices, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_digits", "n_marks", "n_distinct")
@@ -34,6 +34,29 @@ STATISTICS = {
 }
 
 
+def alike(data: np.ndarray, start: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether stretch i has the bytes of stretch j."""
+    size = end[i] - start[i]
+    out = size == end[j] - start[j]
+    out[out] = same(data, start[i][out], start[j][out], size[out])
+    return out
+
+
+def groups(owner: np.ndarray, codes: np.ndarray, equal: Callable, key: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the first of each group of equal things of one document, and of each thing its group.
+
+    Things of one code are compared by equal(i, j), byte for byte; where codes ever collide, key(i) groups instead.
+    """
+    _, first, which = np.unique(mix(codes + (owner.astype(np.uint64) + np.uint64(1)) * ODD), return_index=True, return_inverse=True)
+    later = np.flatnonzero(first[which] != np.arange(len(which)))
+    before = first[which[later]]
+    if (owner[later] == owner[before]).all() and equal(later, before).all():
+        return first, which
+    seen: dict = {}
+    which = np.array([seen.setdefault((int(o), key(i)), len(seen)) for i, o in enumerate(owner)])
+    return np.unique(which, return_index=True)[1], which
+
+
 def count_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of each document of a slice."""
     docs = len(offsets) - 1
@@ -52,8 +75,6 @@ def count_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     in_word = np.cumsum(inside[:-1]).astype(bool)
     out = {"n_words": total, "word_chars": per_doc(in_word & ((data & 0xC0) != 0x80)), "n_symbols": per_doc(SYMBOLS[data])}
     out |= {"n_upper": per_doc(UPPER[data]), "n_digits": per_doc(DIGITS[data]), "n_marks": per_doc(MARKS[data])}
-    prefix = Prefix(BYTE[data])
-    salt = (np.arange(docs, dtype=np.uint64) + np.uint64(1)) * ODD
     # Lines: cut after each line feed and at the documents' edges.
     edges = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offsets[:-1]]))
     edges = edges[edges < len(data)]
@@ -64,14 +85,16 @@ def count_slice(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     edges, stops = edges[real], stops[real]
     line_owner = of_byte[edges]
     lines = np.bincount(line_owner, minlength=docs)
-    _, once = np.unique(mix(prefix.hashes(edges, stops) + salt[line_owner]), return_index=True)
+    raw = data.tobytes()
+    once, _ = groups(line_owner, codes_of(data, edges, stops), lambda i, j: alike(data, edges, stops, i, j), lambda i: raw[edges[i] : stops[i]])
     out |= {"n_lines": lines, "n_dup_lines": lines - np.bincount(line_owner[once], minlength=docs)}
-    codes = prefix.hashes(start, end)
-    _, once = np.unique(mix(codes + salt[owner]), return_index=True)
+    codes = codes_of(data, start, end)
+    once, _ = groups(owner, codes, lambda i, j: alike(data, start, end, i, j), lambda i: raw[start[i] : end[i]])
     out["n_distinct"] = np.bincount(owner[once], minlength=docs)
     at = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
-    _, which, count = np.unique(mix(Prefix(codes).hashes(at, at + 3) + salt[owner[at]]), return_inverse=True, return_counts=True)
-    again = at[count[which] > 1]
+    three = lambda i, j: np.logical_and.reduce([alike(data, start, end, at[i] + k, at[j] + k) for k in range(3)])
+    _, which = groups(owner[at], joined(codes, at, 3), three, lambda i: tuple(raw[start[at[i] + k] : end[at[i] + k]] for k in range(3)))
+    again = at[np.bincount(which)[which] > 1] if len(at) else at
     covered = np.zeros(len(owner), bool)
     for step in range(3):
         covered[again + step] = True
@@ -183,8 +206,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     sample = labelled(labels, id_col, max_labelled)
     values = [F.expr(sql).alias(name) for name, sql in STATISTICS.items()]
-    joined = stats.where(~base).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", *values).dropDuplicates(["doc_id"])
-    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toArrow()
+    seen = stats.where(~base).join(F.broadcast(sample), "doc_id").select("doc_id", F.struct("quality", *values).alias("row"))
+    rows = seen.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toArrow()
     table = {name: rows.column(name).to_numpy() for name in STATISTICS}
     rules = learn(table, rows.column("quality").to_numpy() == 0)
     verdict, number = emitted(rules)

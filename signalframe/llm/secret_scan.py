@@ -40,12 +40,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Of each candidate value's hash: distinct repositories and owners in the whole corpus.
+    """Of each candidate value's hash: distinct repositories and owners in the whole corpus, and how often it occurs (n).
 
     Grouping first by hash, owner and repository collapses a hot value before it moves.
     """
     values = found.select("owner", "repo", F.explode(F.expr("transform(concat(base, token), s -> sha2(s.value, 256))")).alias("hash"))
-    return values.distinct().groupBy("hash").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"))
+    once = values.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
+    return once.groupBy("hash").agg(F.count_distinct("repo").alias("repos"), F.count_distinct("owner").alias("owners"), F.sum("n").alias("n"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, max_repos: int = 5) -> DataFrame:
@@ -62,9 +63,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = materialize(candidates(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()))
     has = found.where(F.size("base") + F.size("token") > 0)
-    verdicts = ownership(has).select("hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    verdicts = materialize(ownership(has).select("hash", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"), "n"))
     each = has.select("row", F.explode(F.concat("base", "token")).alias("span")).withColumn("hash", F.sha2("span.value", 256))
-    judged = each.join(verdicts, "hash").groupBy("row").agg(F.collect_list(F.struct("span", "live")).alias("judged"))
+    # Fewer than 256 values can have more than one in 256 of the spans each: those are broadcast, so their spans stay where they are.
+    hot = F.broadcast(verdicts.where(F.col("n") * 256 > (verdicts.agg(F.sum("n")).first()[0] or 0)).drop("n"))
+    rest = each.join(hot.select("hash"), "hash", "left_anti").join(verdicts.drop("n"), "hash")
+    judged = each.join(hot, "hash").unionByName(rest).groupBy("row").agg(F.collect_list(F.struct("span", "live")).alias("judged"))
     out = found.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", F.expr(f"cast(array() as array<struct<span:{SPAN},live:boolean>>)")))
     spans = F.expr("array_sort(transform(filter(judged, j -> j.live or j.span.rank < 3), j -> j.span))")
     return out.select(

@@ -31,3 +31,21 @@ def sentence(seed, n):
 def awkward():
     long = sentence(3, 4000)
     return [None, "", " \t\n", "one", sentence(1, 60), sentence(1, 60), sentence(1, 60) + " end", long, long, sentence(2, 19), "\n\n" + sentence(1, 40), "a " * 300, "    x" * 30, sentence(5, 30) + "\n" + sentence(1, 45)]
+
+
+def plain_links(texts, size=5, least=0.8):
+    sets = {}
+    for i, t in enumerate(texts, 1):
+        w = WORD.findall(t or "")
+        sets[i] = {tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set()
+    links = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])} for i in sets}
+    classes = {}
+    for i in links:
+        if i not in classes:
+            stack = [i]
+            while stack:
+                at = stack.pop()
+                if at not in classes:
+                    classes[at] = i
+                    stack += links[at]
+    return {i: (classes[i], len(links[i])) for i in sets}

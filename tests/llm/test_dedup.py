@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 from signalframe.llm import exact_dedup, ngram_join, substring_dedup, suffix_dedup, windows
+from signalframe.llm.common import components
 from signalframe.llm.substring_dedup import Automaton
 
-from helpers import WORD, awkward, empty, frame, sentence
+from helpers import WORD, awkward, empty, frame, plain_links, sentence
 
 
 def test_exact_dedup_matches_plain_grouping(spark):
@@ -42,7 +43,7 @@ def test_misra_gries_keeps_every_frequent_digest(spark):
     values = ["a"] * 50 + ["b"] * 40 + [f"c{i}" for i in range(110)]
     random.Random(1).shuffle(values)
     digests = spark.createDataFrame([(v,) for v in values], "digest string").repartition(5)
-    found = {r.digest for r in exact_dedup.frequent(digests, "digest", 9).collect()}
+    found = {r.digest for r in exact_dedup.frequent(digests, "digest", 9, 200).collect()}
     assert {"a", "b"} <= found and len(found) <= 9
 
 
@@ -175,24 +176,6 @@ def test_automaton_states_tell_windows_apart():
         assert len(set(names.values())) == len(names)
 
 
-def plain_links(texts, size=5, least=0.8):
-    sets = {}
-    for i, t in enumerate(texts, 1):
-        w = WORD.findall(t or "")
-        sets[i] = {tuple(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} if w else set()
-    links = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])} for i in sets}
-    classes = {}
-    for i in links:
-        if i not in classes:
-            stack = [i]
-            while stack:
-                at = stack.pop()
-                if at not in classes:
-                    classes[at] = i
-                    stack += links[at]
-    return {i: (classes[i], len(links[i])) for i in sets}
-
-
 def near_copies(seed, groups=6):
     r = random.Random(seed)
     out = []
@@ -214,6 +197,36 @@ def test_near_duplicates_match_all_pairs(spark, options):
     assert all(r.kept == (r.doc_id == r.class_id) for r in found)
 
 
+def test_kept_rows_keep_their_columns_whatever_these_are_called(spark):
+    names = ("gone", "of", "row", "place", "_dropped", "_id", "_position", "_rejected", "text_sha256", "kept", "Gone1")
+    docs = frame(spark, ["x y", "x y", "z"]).drop("row", "kept").selectExpr("*", *[f"7 as {c}" for c in names])
+    for kept in (exact_dedup.keep_one(docs), ngram_join.keep_one(docs)):
+        assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"x y", "z"} and kept.count() == 2
+
+
+def test_near_duplicates_tell_repeated_ids_apart(spark):
+    a, b = sentence(41, 60), sentence(42, 60)
+    rows = [(1, a), (1, a), (1, b), (2, b + " end"), (None, a + " end"), (None, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.kept) for r in ngram_join.near_duplicates(docs).collect())
+    assert found == [(0, 0, 0, True), (0, 1, 2, False), (1, 1, 1, True), (1, 1, 2, True), (1, 1, 2, True), (2, 1, 1, False)]
+    assert sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs).collect()) == [(0, "other words here"), (1, a), (1, a), (1, b)]
+
+
+def test_recall_is_estimated_from_the_runs_that_found_a_set(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long, run int")
+    assert ngram_join.missed(edges([(1, 2, r) for r in range(6)] + [(3, 4, -1)])) == 0
+    assert ngram_join.missed(edges([(1, 2, 0), (3, 4, 1), (5, 6, 0), (5, 6, 1)])) == pytest.approx(4 / 10)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100 + 2 * i, 102 + 2 * i) for i in range(30)] + [(7, 7), (500, 500)]
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(7), part_edges=9).collect()
+    assert {r.node: r.component for r in found} == {i: 0 for i in range(41)} | {100 + 2 * i: 100 for i in range(31)}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a long, b long").repartition(7), max_rounds=1, part_edges=9)
+
+
 def test_near_duplicates_edges(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
     found = ngram_join.near_duplicates(frame(spark, [None, "", " "])).collect()
