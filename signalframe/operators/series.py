@@ -147,6 +147,24 @@ def paired(grid: DataFrame, left: str, right: str, key: str = "source_id") -> Da
     return a.join(b, [key, "k"])
 
 
+def axis_pairs(grid: DataFrame, key: str = "source_id") -> DataFrame:
+    """All pairs of two axes of each source on their common grid: left, right (by name), k, a, b."""
+    a = grid.select(key, "k", F.col("axis").alias("left"), F.col("value").alias("a"))
+    b = grid.select(key, "k", F.col("axis").alias("right"), F.col("value").alias("b"))
+    return a.join(b, [key, "k"]).where(F.col("left") < F.col("right"))
+
+
+def normalised_envelope(grid: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Values (k, value) divided by the median of the first 5 % of their series, of three at least; where that is none, by the largest."""
+    w = Window.partitionBy(*keys)
+    rows = grid.withColumns({"_i": F.row_number().over(w.orderBy("k")), "_n": F.count("*").over(w)})
+    first = F.when(F.col("_i") <= F.greatest(F.lit(3.0), F.bround(0.05 * F.col("_n"), 0)), F.col("value"))
+    scale = rows.groupBy(*keys).agg(F.percentile(first, F.lit(0.5)).alias("_s"), F.max(F.abs("value")).alias("_top"))
+    eps = 2.220446049250313e-16
+    by = F.when(F.col("_s") > eps, F.col("_s")).when(F.col("_top") > eps, F.col("_top"))
+    return rows.join(scale, keys).withColumn("value", F.col("value") / by).drop("_i", "_n", "_s", "_top")
+
+
 def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Errors of b against a: Pearson (null when flat), RMSE, by range, MAE, largest, median, bias, R squared."""
     e, a = F.col("b") - F.col("a"), F.col("a")

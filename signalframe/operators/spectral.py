@@ -118,3 +118,29 @@ def coherence(pairs: DataFrame, length: int, step: float, keys: list[str]) -> Da
     density = lambda c: F.col(c) * step / energy * F.when(2 * F.col("bin") == length, 1.0).otherwise(2.0)
     both = F.col("_aa") * F.col("_bb")
     return out.select(*keys, "bin", "segments", (F.col("bin") / (length * step)).alias("frequency"), density("_aa").alias("psd_a"), density("_bb").alias("psd_b"), F.when(both > 0, (F.col("_re") ** 2 + F.col("_im") ** 2) / both).alias("coherence"))
+
+
+def coherence_summary(curve: DataFrame, target: float, near: float, low: float, high: float, keys: list[str]) -> DataFrame:
+    """Coherence at the bin nearest to target, mean and largest within `near` of it, and mean, largest and bins of the band."""
+    f, c = F.col("frequency"), F.col("coherence")
+    around, inside = F.when(F.abs(f - target) <= near, c), F.when(f.between(low, high), c)
+    return curve.groupBy(*keys).agg(
+        F.min_by(c, F.struct(F.round(F.abs(f - target), 9), "bin")).alias("at_target"), F.avg(around).alias("near_mean"), F.max(around).alias("near_max"),
+        F.avg(inside).alias("band_mean"), F.max(inside).alias("band_max"), F.count_if(f.between(low, high)).alias("band_bins"),
+    )
+
+
+def against_reference(found: DataFrame, reference: str, within: float) -> DataFrame:
+    """Each harmonic of the reference axis beside that of every other axis of its source: error in percent, observable, preserved (within that error)."""
+    rows = found.select("source_id", "axis", "harmonic", "amplitude")
+    axes = rows.where(F.col("axis") != reference).select("source_id", "axis").distinct()
+    base = rows.where(F.col("axis") == reference).select("source_id", "harmonic", F.col("amplitude").alias("reference"))
+    out = axes.join(base, "source_id").join(rows, ["source_id", "axis", "harmonic"], "left")
+    error = 100.0 * F.abs(F.col("amplitude") - F.col("reference")) / F.col("reference")
+    return out.withColumns({"error": error, "observable": F.col("amplitude").isNotNull(), "preserved": F.coalesce(error <= within, F.lit(False))})
+
+
+def preserved(compared: DataFrame, keys: list[str]) -> DataFrame:
+    """How many reference harmonics are observable and preserved, and their shares in percent."""
+    out = compared.groupBy(*keys).agg(F.count("*").alias("harmonics"), F.count_if("observable").alias("observable"), F.count_if("preserved").alias("preserved"))
+    return out.withColumns({f"{c}_percent": 100.0 * F.col(c) / F.col("harmonics") for c in ("observable", "preserved")})

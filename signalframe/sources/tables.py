@@ -94,6 +94,32 @@ def classified(files: DataFrame, path: str = "path") -> DataFrame:
     return rows.select("path", method.alias("method"), video_id(F.element_at(F.split("path", "/"), -1), F.col("path")).alias("video_id")).where("method is not null")
 
 
+#: Fixed names of the methods' result files, and tokens of files that are none.
+RESULT_FILES = {"_lucas_kanade.csv": "lucas_kanade", "_farneback_dense.csv": "farneback", "_detectron2_results.csv": "detectron2"}
+CLASSICAL = ("opencv", "classical", "classic_seg")
+AUXILIARY = ("benchmark", "summary", "timeseries", "acceleration", "comparison", "metrics", "report")
+
+
+def result_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Distinct paths of the methods' result files with method and video id, by the fixed rules of their names.
+
+    Only CSV files count, and no auxiliary ones. The three suffixes come first; other files are classical results where the
+    path names that method and has a video id.
+    """
+    from signalframe.functions.scalars import video_id
+
+    rows = files.select(F.col(path).alias("path")).distinct()
+    lower = F.lower("path")
+    name = F.element_at(F.split(lower, "/"), -1)
+    rows = rows.where(F.endswith(lower, F.lit(".csv")) & ~name.rlike("|".join(AUXILIARY)) & ~F.contains(lower, F.lit("extraction_success_all_methods")))
+    ident = video_id(F.element_at(F.split("path", "/"), -1), F.col("path"))
+    method = F.when(F.lit(False), "")
+    for suffix, known in RESULT_FILES.items():
+        method = method.when(F.endswith(name, F.lit(suffix)), known)
+    method = method.when(lower.rlike("|".join(CLASSICAL)) & ident.isNotNull(), "opencv")
+    return rows.select("path", method.alias("method"), ident.alias("video_id")).where("method is not null")
+
+
 def inventory(spark: SparkSession, root: str, suffixes: Iterable[str]) -> DataFrame:
     """path, length and modification time of the files below root with one of the suffixes; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"))

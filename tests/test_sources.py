@@ -90,3 +90,22 @@ def test_scalars(spark):
         scalars.percent(F.lit(1), F.lit(0)).alias("z"), scalars.relative_error(F.lit(1.1), F.lit(1e-12)).alias("e"), scalars.frame_name(F.lit(7)).alias("name"), scalars.frame_number(F.lit("frame_000007.png")).alias("number"),
     ).first()
     assert tuple(values) == (True, False, False, None, 3.0, None, None, None, "frame_000007", 7)
+
+
+def test_result_files_follow_the_fixed_names(spark):
+    names = [
+        "/o/GX010129/GX010129_lucas_kanade.csv", "/o/gx010129_lucas_kanade_timeseries.csv", "/o/GX1_farneback_dense.csv", "/o/GX1_detectron2_results.csv", "/o/opencv/GX010130_frames.csv",
+        "/o/opencv/no_id.csv", "/o/GX2_results.csv", "/o/extraction_success_all_methods/GX3_lucas_kanade.csv", "/o/GX4_benchmark_lucas_kanade.csv", "/o/GX1_farneback_dense.csv", "/o/GX5_lucas_kanade.txt",
+    ]
+    found = sorted(tuple(r) for r in tables.result_files(spark.createDataFrame([(n,) for n in names], "path string")).collect())
+    assert found == [
+        ("/o/GX010129/GX010129_lucas_kanade.csv", "lucas_kanade", "GX010129"), ("/o/GX1_detectron2_results.csv", "detectron2", "GX1"),
+        ("/o/GX1_farneback_dense.csv", "farneback", "GX1"), ("/o/opencv/GX010130_frames.csv", "opencv", "GX010130"),
+    ]
+
+
+def test_success_words(spark):
+    from signalframe.operators.extraction import succeeded
+
+    rows = spark.createDataFrame([(x,) for x in (" OK ", "yes", "2", "0", "-1", "Detected", None, "true")], "c string")
+    assert [r[0] for r in rows.select(succeeded(F.col("c"))).collect()] == [True, False, True, False, False, True, False, True]
