@@ -51,32 +51,55 @@ def envelope(df: DataFrame, keys: list[str], index: str, value: str, taps: int =
 
 
 def butterworth(order: int, low: float | None, high: float | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections (b, a) of a low-pass (low None), high-pass (high None) or their cascade; cutoffs in cycles per sample."""
-    sections = []
-    for cutoff, kind in ((high, "low"), (low, "high")):
-        if cutoff is None:
-            continue
-        warped = math.tan(math.pi * cutoff)
-        for k in range(order // 2):
-            q = 2 * math.sin(math.pi * (2 * k + 1) / (2 * order))
-            norm = 1 + q * warped + warped * warped
-            b = np.array([1.0, 2.0, 1.0]) * warped * warped if kind == "low" else np.array([1.0, -2.0, 1.0])
-            sections.append((b / norm, np.array([1.0, 2 * (warped * warped - 1) / norm, (1 - q * warped + warped * warped) / norm])))
+    """Sections (b, a) of up to second order of a low-pass (low None), high-pass (high None) or band-pass; cutoffs in cycles per sample.
+
+    The poles of the prototype are mapped to the band and then to the unit circle; a band-pass has twice the order and gain 1
+    at the band's middle. An odd order has a first-order section.
+    """
+    prototype = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    if low is None:
+        poles, zeros, middle = math.tan(math.pi * high) * prototype, (-1, -1), 0.0
+    elif high is None:
+        poles, zeros, middle = math.tan(math.pi * low) / prototype, (1, 1), 0.5
+    else:
+        a, b = math.tan(math.pi * low), math.tan(math.pi * high)
+        half = prototype * (b - a) / 2
+        root = np.sqrt(half * half - a * b)
+        poles, zeros, middle = np.concatenate([half + root, half - root]), (1, -1), math.atan(math.sqrt(a * b)) / math.pi
+    poles = (1 + poles) / (1 - poles)
+    real = np.sort(poles[np.abs(poles.imag) < 1e-12].real)
+    pairs = [(p, p.conjugate()) for p in poles[poles.imag >= 1e-12]] + [tuple(real[i : i + 2]) for i in range(0, len(real), 2)]
+    at, sections = np.exp(-2j * np.pi * middle), []
+    for pair in pairs:
+        num, den = (np.pad(np.real(np.poly(x)), (0, 2 - len(pair))) for x in (zeros[: len(pair)], pair))
+        sections.append((num / abs(np.polyval(num[::-1], at) / np.polyval(den[::-1], at)), den))
     return sections
 
 
-def run_sections(x: np.ndarray, sections) -> np.ndarray:
+def run_sections(x: np.ndarray, sections, width: int = 64) -> np.ndarray:
+    """The sections one after the other, `width` samples at a time: within a stretch by its response to input and state, from stretch to stretch by the state."""
+    n = len(x)
+    if not n:
+        return x
     for b, a in sections:
         gain = b.sum() / a.sum() if abs(a.sum()) > 1e-12 else 0.0
-        y = np.empty_like(x)
-        # Start in the steady state of the first sample.
-        z1 = x[0] * (gain - b[0])
-        z2 = x[0] * (b[2] - a[2] * gain)
-        for i, v in enumerate(x):
-            out = b[0] * v + z1
-            z1, z2 = b[1] * v - a[1] * out + z2, b[2] * v - a[2] * out
-            y[i] = out
-        x = y
+        step, feed = np.array([[-a[1], 1.0], [-a[2], 0.0]]), np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+        powers = [np.eye(2)]
+        for _ in range(width):
+            powers.append(step @ powers[-1])
+        response = np.array([b[0], *[(p @ feed)[0] for p in powers[: width - 1]]])
+        lag = np.arange(width)[:, None] - np.arange(width)[None, :]
+        inner = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+        from_state = np.array([p[0] for p in powers[:width]])
+        to_state = np.array([powers[width - 1 - j] @ feed for j in range(width)])
+        rows = np.pad(x, (0, -n % width)).reshape(-1, width)
+        pushed = rows @ to_state
+        states = np.empty((len(rows), 2))
+        state = np.array([x[0] * (gain - b[0]), x[0] * (b[2] - a[2] * gain)])  # the steady state of the first sample
+        for i in range(len(rows)):
+            states[i] = state
+            state = powers[width] @ state + pushed[i]
+        x = (rows @ inner.T + states @ from_state.T).ravel()[:n]
     return x
 
 

@@ -232,3 +232,35 @@ def test_streaming_aggregates(spark, tmp_path):
     assert sorted(spark.table("metrics").collect()) == sorted(trackers.running_metrics(rows).collect())
     live = spark.createDataFrame([("s", i, float(i)) for i in range(30)], "source_id string, sec int, value double").select("source_id", F.timestamp_seconds("sec").alias("ts"), "value")
     assert {r.n for r in trackers.sliding_segments(live, "10 seconds", "5 seconds").collect()} == {5, 10}
+
+
+def gain(sections, frequency):
+    z = np.exp(-2j * np.pi * frequency)
+    return np.prod([np.polyval(b[::-1], z) / np.polyval(a[::-1], z) for b, a in sections])
+
+
+def test_butterworth_responses_are_those_of_the_design():
+    warp = lambda f: np.tan(np.pi * f)
+    for order in (1, 2, 3, 4, 5):
+        for f in (0.01, 0.05, 0.08, 0.1, 0.12, 0.2, 0.4):
+            low = 1 / np.sqrt(1 + (warp(f) / warp(0.1)) ** (2 * order))
+            high = 1 / np.sqrt(1 + (warp(0.1) / warp(f)) ** (2 * order))
+            band = 1 / np.sqrt(1 + ((warp(f) ** 2 - warp(0.08) * warp(0.12)) / (warp(f) * (warp(0.12) - warp(0.08)))) ** (2 * order))
+            assert np.isclose(abs(gain(filtering.butterworth(order, None, 0.1), f)), low, rtol=1e-6)
+            assert np.isclose(abs(gain(filtering.butterworth(order, 0.1, None), f)), high, rtol=1e-6)
+            assert np.isclose(abs(gain(filtering.butterworth(order, 0.08, 0.12), f)), band, rtol=1e-6, atol=1e-9)
+    assert abs(abs(gain(filtering.butterworth(2, 0.02, 0.4), np.arctan(np.sqrt(warp(0.02) * warp(0.4))) / np.pi)) - 1) < 1e-9
+
+
+def test_sections_in_stretches_equal_one_sample_after_the_other():
+    x = np.random.default_rng(5).normal(size=333)
+    sections = filtering.butterworth(3, 0.05, 0.2)
+    want = x
+    for b, a in sections:
+        level = b.sum() / a.sum()
+        z, out = [want[0] * (level - b[0]), want[0] * (b[2] - a[2] * level)], []
+        for v in want:
+            out.append(b[0] * v + z[0])
+            z = [b[1] * v - a[1] * out[-1] + z[1], b[2] * v - a[2] * out[-1]]
+        want = np.array(out)
+    assert np.allclose(filtering.run_sections(x, sections), want) and np.allclose(filtering.run_sections(x, sections, 7), want)
