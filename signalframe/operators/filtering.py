@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.operators.blocks import with_halo
@@ -23,6 +23,40 @@ def dot(df: DataFrame, keys: list[str], index: str, value: str, weights: list[fl
     return rows.where(~F.col("halo")).drop("block", "halo", "_around")
 
 
+def weighted_sum(values: Column, weights: Column) -> Column:
+    return F.aggregate(F.zip_with(values, weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def reflected(df: DataFrame, keys: list[str], index: str, value: str, weights: list[float], out: str, size: int = 100_000) -> DataFrame:
+    """As dot, but at a series' ends the missing neighbours are those on the other side, mirrored at the end sample; null in series too short for that."""
+    half = len(weights) // 2
+    w = Window.partitionBy(*keys, "block").orderBy(index)
+    rows = with_halo(df, index, size, half, half)
+    rows = rows.withColumns({"_x": F.collect_list(value).over(w.rowsBetween(-half, half)), "_l": half - F.count(value).over(w.rowsBetween(-half, -1)), "_r": half - F.count(value).over(w.rowsBetween(1, half))})
+    whole = F.expr("concat(reverse(slice(_x, 2, int(_l))), _x, reverse(slice(_x, int(size(_x) - _r), int(_r))))")
+    rows = rows.withColumn(out, F.when(F.size("_x") > F.greatest("_l", "_r"), weighted_sum(whole, F.array(*[F.lit(float(c)) for c in weights]))))
+    return rows.where(~F.col("halo")).drop("block", "halo", "_x", "_l", "_r")
+
+
+def fitted(df: DataFrame, keys: list[str], index: str, value: str, window: int, degree: int, out: str, derivative: int = 0, step: float = 1.0, size: int = 100_000) -> DataFrame:
+    """Savitzky-Golay filter: the least-squares polynomial of the `window` samples around each one, or its derivative.
+
+    At a series' ends the polynomial of the first or last `window` samples is evaluated off its middle. Null in shorter series.
+    """
+    half = window // 2
+    inverse = np.linalg.pinv(np.vander(np.arange(-half, half + 1), degree + 1, increasing=True))
+    at = np.arange(-half, half + 1)
+    powers = np.array([[math.perm(j, derivative) * float(o) ** (j - derivative) if j >= derivative else 0.0 for j in range(degree + 1)] for o in at])
+    table = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in powers @ inverse / step**derivative])
+    w = Window.partitionBy(*keys, "block").orderBy(index)
+    rows = with_halo(df, index, size, window - 1, window - 1)
+    rows = rows.withColumns({"_x": F.collect_list(value).over(w.rowsBetween(1 - window, window - 1)), "_p": F.count(value).over(w.rowsBetween(1 - window, -1))})
+    rows = rows.withColumn("_s", F.greatest(F.lit(1), F.least(F.col("_p") - half + 1, F.size("_x") - window + 1)).cast("int"))
+    values, weights = F.slice("_x", F.col("_s"), F.lit(window)), F.element_at(table, (F.col("_p") + 2 - F.col("_s")).cast("int"))
+    rows = rows.withColumn(out, F.when(F.size("_x") >= window, weighted_sum(values, weights)))
+    return rows.where(~F.col("halo")).drop("block", "halo", "_x", "_p", "_s")
+
+
 def savitzky_golay(window: int, degree: int, derivative: int = 0, step: float = 1.0) -> list[float]:
     """Weights of the middle sample of a least-squares polynomial over `window` samples, or of its derivative."""
     half = window // 2

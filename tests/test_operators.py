@@ -264,3 +264,21 @@ def test_sections_in_stretches_equal_one_sample_after_the_other():
             z = [b[1] * v - a[1] * out[-1] + z[1], b[2] * v - a[2] * out[-1]]
         want = np.array(out)
     assert np.allclose(filtering.run_sections(x, sections), want) and np.allclose(filtering.run_sections(x, sections, 7), want)
+
+
+@pytest.mark.parametrize("size", [17, 1000])
+def test_ends_are_reflected_or_fitted(spark, size):
+    x = np.random.default_rng(6).normal(size=60).cumsum()
+    df, keys = uniform(spark, x), ["source_id", "axis"]
+    weights = filtering.low_pass(9, 0.1)
+    found = ordered(filtering.reflected(df, keys, "idx", "value", weights, "s", size=size), "s")
+    assert np.allclose(found, np.convolve(np.pad(x, 4, mode="reflect"), weights[::-1], "valid"))
+    for derivative in (0, 1):
+        found = ordered(filtering.fitted(df, keys, "idx", "value", 7, 3, "s", derivative, 0.5, size=size), "s")
+        want = []
+        for i in range(60):
+            a = min(max(i - 3, 0), 53)
+            fit = np.polynomial.Polynomial.fit(np.arange(7) * 0.5, x[a : a + 7], 3)
+            want.append(fit.deriv(derivative)((i - a) * 0.5) if derivative else fit((i - a) * 0.5))
+        assert np.allclose(found, want)
+    assert np.isnan(ordered(filtering.fitted(uniform(spark, x[:5]), keys, "idx", "value", 7, 3, "s"), "s").astype(float)).all()
