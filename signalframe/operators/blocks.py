@@ -43,3 +43,12 @@ def cumulative(df: DataFrame, keys: list[str], index: str, value: str, out: str,
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_t")).withColumn("_from", F.coalesce(F.sum("_t").over(before), F.lit(0.0))).drop("_t")
     return rows.withColumn("_in", F.sum(value).over(inside)).join(totals, [*keys, "_block"]).withColumn(out, F.col("_in") + F.col("_from")).drop("_in", "_from", "_block")
+
+
+def previous(df: DataFrame, keys: list[str], index: str, out: str, size: int = 100_000) -> DataFrame:
+    """The index of the row before, within each key: within its block, else the largest of the last block before that has rows."""
+    rows = df.withColumn("_block", F.floor(F.col(index) / size))
+    before = rows.groupBy(*keys, "_block").agg(F.max(index).alias("_last"))
+    before = before.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")))
+    inside = F.lag(index).over(Window.partitionBy(*keys, "_block").orderBy(index))
+    return rows.withColumn("_in", inside).join(before, [*keys, "_block"]).withColumn(out, F.coalesce("_in", "_last")).drop("_in", "_last", "_block")

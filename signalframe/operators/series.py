@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,13 +178,32 @@ def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumns({"nrmse": F.when(F.col("_range") > 0, F.col("rmse") / F.col("_range")), "r2": F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))}).drop("_range", "_sse", "_sst")
 
 
-def lag_products(pairs: DataFrame, keys: list[str], max_lag: int) -> DataFrame:
-    """Normalised cross correlation of a and b (centred) at lags -max_lag .. max_lag of b behind a, by one equi-join per lag."""
-    w = Window.partitionBy(*keys)
-    rows = pairs.withColumns({c: F.col(c) - F.avg(c).over(w) for c in "ab"})
+def lag_products(pairs: DataFrame, keys: list[str], max_lag: int, size: int = 8192) -> DataFrame:
+    """Normalised cross correlation of a and b (centred) at lags -max_lag .. max_lag of b behind a.
+
+    Blocks of `size` indices, with b of max_lag more on both sides, give partial sums of all lags; these are summed up by lag.
+    """
+    means = pairs.groupBy(*keys).agg(*[F.avg(c).alias(f"_m{c}") for c in "ab"])
+    rows = pairs.join(means, keys).select(*keys, "k", *[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in "ab"])
     norm = rows.groupBy(*keys).agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("_norm"))
-    left = rows.select(*keys, "a", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), F.col("k")).withColumn("k", F.col("k") + F.col("lag"))
-    sums = left.join(rows.select(*keys, "k", "b"), [*keys, "k"]).groupBy(*keys, "lag").agg(F.sum(F.col("a") * F.col("b")).alias("_ab"), F.count("*").alias("n"))
+    size = max(size, 2 * max_lag)
+    kinds = dict(rows.dtypes)
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        block = key[-1].as_py()
+        at = part.column("k").to_numpy() - block * size
+        own = (at >= 0) & (at < size)
+        a, b = (part.column(c).fill_null(0.0).to_numpy() for c in "ab")
+        left = [np.bincount(at[own], w, size) for w in (a[own], None)]
+        right = [np.bincount(at + max_lag, w, size + 2 * max_lag) for w in (b, None)]
+        found = [(lag, int(round(n)), ab) for lag in range(-max_lag, max_lag + 1) for ab, n in [tuple(float(x @ y[max_lag + lag :][:size]) for x, y in zip(left, right, strict=True))] if n]
+        columns = {name: pa.repeat(value, len(found)) for name, value in zip(keys, key[:-1], strict=True)}
+        return pa.table(columns | {c: pa.array([x[i] for x in found], kind) for i, (c, kind) in enumerate((("lag", pa.int32()), ("n", pa.int64()), ("ab", pa.float64())))})
+
+    blocks = F.sequence(F.floor((F.col("k") - max_lag) / size), F.floor((F.col("k") + max_lag) / size))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "lag int, n long, ab double"])
+    parts = rows.withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").applyInArrow(run, schema)
+    sums = parts.groupBy(*keys, "lag").agg(F.sum("ab").alias("_ab"), F.sum("n").alias("n"))
     return sums.join(norm, keys).select(*keys, "lag", "n", F.when(F.col("_norm") > 0, F.col("_ab") / F.col("_norm")).alias("r"))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ def window_weight(kind: str, i: Column, n: Column) -> Column:
     return 0.5 - 0.5 * F.cos(2 * math.pi * i / (n if kind == "periodic" else F.greatest(n - 1, F.lit(1))))
 
 
+def hann(kind: str, i: np.ndarray, n: int) -> np.ndarray:
+    """window_weight for an array of places."""
+    return np.ones(len(i)) if kind == "none" else 0.5 - 0.5 * np.cos(2 * math.pi * i / (n if kind == "periodic" else max(n - 1, 1)))
+
+
 def prepared(grid: DataFrame, keys: list[str] = KEYS, detrend: str = "mean") -> DataFrame:
     """Samples i = 0 .. n - 1 of each uniform series (k, value) without their mean or linear trend."""
     w = Window.partitionBy(*keys)
@@ -35,15 +43,35 @@ def prepared(grid: DataFrame, keys: list[str] = KEYS, detrend: str = "mean") ->
 def spectrum(rows: DataFrame, step: float, low: float, high: float, kind: str = "periodic", keys: list[str] = KEYS) -> DataFrame:
     """Single-sided amplitudes of the bins with low <= frequency <= high: bin, frequency, amplitude, power.
 
-    The window's mean is divided out; bins other than 0 and the last of an even series count twice. One row per sample
-    and wanted bin is summed up where it is made, so keep the band narrow or the series short.
+    The window's mean is divided out; bins other than 0 and the last of an even series count twice. Each batch of samples
+    gives partial sums of its series' wanted bins where it is; these are summed up by bin, so a long series is no one task's.
     """
+    kinds = dict(rows.dtypes)
+    names = [*keys, "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.stack([batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in range(len(names))])
+            inverse = np.unique(codes, axis=1, return_inverse=True)[1].ravel()
+            i, x = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy(zero_copy_only=False)
+            index, bins, sums = [], [], []
+            for at in np.split(np.argsort(inverse, kind="stable"), np.cumsum(np.bincount(inverse))[:-1]):
+                n = batch.column(len(keys))[int(at[0])].as_py()
+                first, last = math.ceil(low * n * step), min(n // 2, math.floor(high * n * step))
+                weight = hann(kind, i[at], n)
+                for k in np.array_split(np.arange(first, last + 1), max(1, (last - first) // 128)) if first <= last else []:
+                    turn = 2 * math.pi * (k[:, None] * i[at] % n) / n
+                    sums.append(np.stack([np.cos(turn) @ (weight * x[at]), np.sin(turn) @ (weight * x[at]), np.full(len(k), weight.sum())]))
+                    bins.append(k)
+                    index.append(np.full(len(k), at[0]))
+            if bins:
+                keep = pa.array(np.concatenate(index))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(keep) for c in range(len(names))], pa.array(np.concatenate(bins)), *map(pa.array, np.concatenate(sums, axis=1))], names=[*names, "bin", "re", "im", "weight"])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "bin long, re double, im double, weight double"])
     n = F.col("n")
-    weight = window_weight(kind, F.col("i"), n)
-    first, last = F.ceil(low * n * step), F.least(F.floor(n / 2), F.floor(high * n * step))
-    wide = rows.withColumns({"_w": weight, "_a": first, "_b": last}).where("_a <= _b").withColumn("bin", F.explode(F.sequence("_a", "_b")))
-    turn = angle(F.col("bin"), F.col("i"), n)
-    sums = wide.groupBy(*keys, "n", "bin").agg(F.sum(F.col("_w") * F.col("x") * F.cos(turn)).alias("re"), F.sum(F.col("_w") * F.col("x") * F.sin(turn)).alias("im"), F.sum("_w").alias("weight"))
+    parts = rows.select(*names, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).where("x is not null").mapInArrow(run, schema)
+    sums = parts.groupBy(*names, "bin").agg(*[F.sum(c).alias(c) for c in ("re", "im", "weight")])
     single = (F.col("bin") == 0) | (2 * F.col("bin") == n)
     amplitude = F.hypot("re", "im") / F.col("weight") * F.when(single, 1.0).otherwise(2.0)
     return sums.select(*keys, "n", "bin", (F.col("bin") / (n * step)).alias("frequency"), amplitude.alias("amplitude"), (amplitude * amplitude).alias("power"))
@@ -107,13 +135,19 @@ def segments(pairs: DataFrame, length: int, keys: list[str]) -> DataFrame:
 def coherence(pairs: DataFrame, length: int, step: float, keys: list[str]) -> DataFrame:
     """Power densities and magnitude-squared coherence of a and b, averaged over Hann-windowed, centred segments."""
     rows = segments(pairs, length, keys)
-    w = Window.partitionBy(*keys, "segment")
-    rows = rows.withColumns({c: (F.col(c) - F.avg(c).over(w)) * window_weight("periodic", F.col("j"), F.lit(length)) for c in "ab"})
-    wide = rows.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(length // 2))))
-    turn = angle(F.col("bin"), F.col("j"), F.lit(length))
-    parts = wide.groupBy(*keys, "segment", "bin").agg(*[F.sum(F.col(c) * f(turn)).alias(f"{c}{p}") for c in "ab" for p, f in (("c", F.cos), ("s", F.sin))])
-    ac, as_, bc, bs = (F.col(c) for c in ("ac", "as", "bc", "bs"))
-    out = parts.groupBy(*keys, "bin").agg(F.count("*").alias("segments"), F.avg(ac * ac + as_ * as_).alias("_aa"), F.avg(bc * bc + bs * bs).alias("_bb"), F.avg(ac * bc + as_ * bs).alias("_re"), F.avg(as_ * bc - ac * bs).alias("_im"))
+    kinds = dict(rows.dtypes)
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        order = np.argsort(part.column("j").to_numpy())
+        weight = hann("periodic", np.arange(length), length)
+        x, y = (np.fft.rfft((v - v.mean()) * weight)[1:] for v in (part.column(c).to_numpy()[order] for c in "ab"))
+        cross = x.conj() * y
+        found = {"bin": np.arange(1, len(x) + 1), "aa": np.abs(x) ** 2, "bb": np.abs(y) ** 2, "re": cross.real, "im": cross.imag}
+        return pa.table({name: pa.repeat(value, len(x)) for name, value in zip(keys, key, strict=False)} | {c: pa.array(v) for c, v in found.items()})
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "bin long, aa double, bb double, re double, im double"])
+    parts = rows.groupBy(*keys, "segment").applyInArrow(run, schema)
+    out = parts.groupBy(*keys, "bin").agg(F.count("*").alias("segments"), *[F.avg(c).alias(f"_{c}") for c in ("aa", "bb", "re", "im")])
     energy = length * 3 / 8  # of the squared periodic Hann window
     density = lambda c: F.col(c) * step / energy * F.when(2 * F.col("bin") == length, 1.0).otherwise(2.0)
     both = F.col("_aa") * F.col("_bb")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalframe.operators.blocks import cumulative
+
 KEYS = ["source_id", "axis"]
 
 
@@ -20,13 +22,15 @@ def by_region(vectors: DataFrame, regions: DataFrame) -> DataFrame:
 
 def accumulated(by_frame: DataFrame) -> DataFrame:
     """Cumulative mean motion of each region along its frames."""
-    w = Window.partitionBy("roi").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return by_frame.withColumns({f"cum_{c}": F.sum(f"mean_{c}").over(w) for c in ("dx", "dy")})
+    out = by_frame
+    for c in ("dx", "dy"):
+        out = cumulative(out, ["roi"], "frame", f"mean_{c}", f"cum_{c}")
+    return out
 
 
-def region_summary(cumulative: DataFrame) -> DataFrame:
+def region_summary(by_frame: DataFrame) -> DataFrame:
     """Long table of half range, RMS and mean for each region and signal."""
-    rows = cumulative.unpivot(["frame", "roi"], ["mean_dx", "mean_dy", "mean_m", "cum_dx", "cum_dy"], "signal", "value")
+    rows = by_frame.unpivot(["frame", "roi"], ["mean_dx", "mean_dy", "mean_m", "cum_dx", "cum_dy"], "signal", "value")
     v = F.col("value")
     return rows.groupBy("roi", "signal").agg(((F.max(v) - F.min(v)) / 2).alias("amplitude"), F.sqrt(F.avg(v * v)).alias("rms"), F.avg(v).alias("mean"))
 

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked points of one recording: frame, t, point_id, x, y, dx, dy, jump_px, fb_error, status."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # serves the window and what groups by frame after it
     one = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax")
     rows = rows.withColumn("rn", F.row_number().over(one)).where("rn = 1")
     return rows.select(

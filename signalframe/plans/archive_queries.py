@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalframe.functions import scalars
 from signalframe.operators import masks, matching
+from signalframe.operators.blocks import previous, with_halo
 from signalframe.plans.adapters import DETECTIONS, PIXELS, RUNS, SIGNALS, detections, pixels, runs, signals, table
 from signalframe.plans.point_queries import rounded
 
@@ -136,14 +137,15 @@ def videos_top(spark, sf):
 
 def frame_gaps(spark, sf):
     frames = detections(spark, sf).where("score > 0.7").select("class_id", "frame").distinct()
-    gaps = frames.withColumn("gap", F.col("frame") - F.lag("frame").over(Window.partitionBy("class_id").orderBy("frame"))).where("gap is not null")
+    gaps = previous(frames, ["class_id"], "frame", "before").withColumn("gap", F.col("frame") - F.col("before")).where("gap is not null")
     return gaps.groupBy("class_id", "gap").agg(F.count("*").alias("n"))
 
 
 def frame_trails(spark, sf):
     rows = detections(spark, sf).where("score > 0.5")
-    trail = Window.partitionBy("class_id").orderBy("frame").rangeBetween(-4, 0)
-    return rounded(rows.groupBy("class_id", "frame").agg(F.count("*").alias("n"), F.avg("score").alias("s")).select("class_id", "frame", F.sum("n").over(trail).alias("trail"), F.avg("s").over(trail).alias("mean_score")), 6)
+    trail = Window.partitionBy("class_id", "block").orderBy("frame").rangeBetween(-4, 0)
+    counts = with_halo(rows.groupBy("class_id", "frame").agg(F.count("*").alias("n"), F.avg("score").alias("s")), "frame", 100_000, 4, 0)
+    return rounded(counts.select("class_id", "frame", "halo", F.sum("n").over(trail).alias("trail"), F.avg("s").over(trail).alias("mean_score")).where(~F.col("halo")).drop("halo"), 6)
 
 
 def nearest_track(spark, sf):
