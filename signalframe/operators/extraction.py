@@ -22,6 +22,18 @@ def label_class(label: Column) -> Column:
     return F.when(F.endswith(label, F.lit("_inner_pipe")), "inner_pipe").when(F.endswith(label, F.lit("_particle_bed")), "particle_bed")
 
 
+def shape_counts(shapes: DataFrame, points: Column, keys: list[str]) -> DataFrame:
+    """Of each frame the usable shapes of both classes (three points or more), those with fewer points, ignored labels, and whether it has no shape.
+
+    shapes has a label, null in the one row of a frame without shapes; points is the number of a shape's points.
+    """
+    some, kind, enough = F.col("label").isNotNull(), label_class(F.col("label")), F.coalesce(points, F.lit(0)) >= 3
+    return shapes.groupBy(*keys).agg(
+        *[F.count_if((kind == c) & enough).alias(f"{c}_shapes") for c in ("inner_pipe", "particle_bed")], F.count_if(kind.isNotNull() & ~enough).alias("short_shapes"),
+        F.count_if(some & kind.isNull()).alias("ignored_labels"), (F.count_if(some) == 0).alias("empty"),
+    )
+
+
 def roi_at_edge(regions: DataFrame, edges: DataFrame, offset: int, height: int, frame_width: int, frame_height: int) -> DataFrame:
     """Regions (frame, x, y, w, h) moved to offset below the bed edge (frame, edge) of their frame and kept inside it.
 

@@ -60,6 +60,13 @@ def overlap_counts(truth: DataFrame, predicted: DataFrame, total: int) -> DataFr
     })
 
 
+def temporal_overlap(frames: DataFrame, on: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and population deviation of the IoU of the foreground pixels (frame, px) of consecutive frames; 1.0 where both are empty."""
+    pairs = frames.select("frame", *keys).join(frames.select((F.col("frame") - 1).alias("frame")), "frame")
+    each = overlap_counts(on.select("frame", "px"), on.select((F.col("frame") - 1).alias("frame"), "px"), 0).select("frame", "iou")
+    return pairs.join(each, "frame", "left").groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(F.coalesce("iou", F.lit(1.0))).alias("mean_iou"), F.stddev_pop(F.coalesce("iou", F.lit(1.0))).alias("std_iou"))
+
+
 def edge_rows(pixels: DataFrame, expected: float, sigma: float) -> DataFrame:
     """Of each frame the row where the mean absolute vertical step, weighed by a prior around the expected row and smoothed over three rows, is largest."""
     column = Window.partitionBy("frame", "x").orderBy("y")

@@ -142,6 +142,27 @@ def resampled(signals: DataFrame, step: float, keys: list[str] = KEYS) -> DataFr
     return rows.select(*keys, "k", (F.col("k") * step).alias("t"), (F.col("value") + share * (F.col("_v") - F.col("value"))).alias("value"))
 
 
+def common_grid(signals: DataFrame, left: str, right: str, key: str = "source_id") -> DataFrame:
+    """Two axes of each source on the grid of their common interval: key, k, t, a, b.
+
+    The grid starts at the later start, ends by the earlier end and has the smaller of the two rates (one over the median
+    positive step); sources with fewer than three grid points fall away.
+    """
+    w = along([key, "axis"])
+    rows = signals.where(F.col("axis").isin(left, right)).withColumns({"_t": F.lead("t").over(w), "_v": F.lead("value").over(w)})
+    step = F.col("_t") - F.col("t")
+    sides = rows.groupBy(key, "axis").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.percentile(F.when(step > 0, step), F.lit(0.5)).alias("step"))
+    both = sides.groupBy(key).agg(F.max("start").alias("_start"), F.min("end").alias("_end"), (1 / F.max("step")).alias("_rate"), F.count("step").alias("_sides"))
+    both = both.withColumn("_top", F.floor((F.col("_end") - F.col("_start")) * F.col("_rate"))).where("_sides = 2 and _top >= 2")
+    place = lambda t: (F.col(t) - F.col("_start")) * F.col("_rate")
+    last = F.when(F.col("_t") >= F.col("_end"), F.floor(place("_t"))).otherwise(F.ceil(place("_t")) - 1)
+    rows = rows.where("_t > t").join(both, key).withColumns({"_a": F.greatest(F.ceil(place("t")), F.lit(0)), "_b": F.least(last, F.col("_top"))})
+    rows = rows.where("_a <= _b and t < _end").withColumn("k", F.explode(F.sequence("_a", "_b"))).withColumn("at", F.col("_start") + F.col("k") / F.col("_rate"))
+    value = F.col("value") + (F.col("at") - F.col("t")) / (F.col("_t") - F.col("t")) * (F.col("_v") - F.col("value"))
+    pick = lambda axis: F.max(F.when(F.col("axis") == axis, value))
+    return rows.groupBy(key, "k").agg(F.max("at").alias("t"), pick(left).alias("a"), pick(right).alias("b")).where("a is not null and b is not null")
+
+
 def paired(grid: DataFrame, left: str, right: str, key: str = "source_id") -> DataFrame:
     """Two axes of each source on their common grid: k, a, b."""
     a = grid.where(F.col("axis") == left).select(key, "k", F.col("value").alias("a"))

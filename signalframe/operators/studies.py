@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.operators.blocks import cumulative
+from signalframe.operators.series import resampled
+from signalframe.operators.spectral import dominant, prepared, spectrum
 
 KEYS = ["source_id", "axis"]
 
@@ -68,6 +70,43 @@ def downsampled(signals: DataFrame, factors: list[int], keys: list[str] = KEYS)
     return out.withColumns({"nyquist": F.col("rate") / 2, "kept_amplitude": F.when(reference > 0, 100 * F.col("amplitude") / reference)})
 
 
+def downsampled_dominant(grid: DataFrame, factors: list[int], step: float, keys: list[str] = KEYS) -> DataFrame:
+    """Of each series and factor that leaves three samples: rate, Nyquist frequency, resolution, dominant frequency and its distance from factor 1's."""
+    names = [*keys, "factor"]
+    rows = grid.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in factors]))).where("k % factor = 0")
+    rows = prepared(rows.withColumn("k", F.floor(F.col("k") / F.col("factor"))), names).where("n >= 3")
+    found = dominant(spectrum(rows, 1.0, 0.0, 0.5, keys=names), names).join(rows.groupBy(*names).agg(F.first("n").alias("n")), names)
+    rate = 1 / (step * F.col("factor"))
+    found = found.select(*names, "n", rate.alias("rate"), (rate / 2).alias("nyquist"), (rate / F.col("n")).alias("resolution"), (F.col("frequency") * rate).alias("dominant"))
+    reference = F.max(F.when(F.col("factor") == 1, F.col("dominant"))).over(Window.partitionBy(*keys))
+    return found.withColumn("difference", F.col("dominant") - reference)
+
+
+#: Fixed names of the columns of a segmentation result that are signals.
+SEGMENTATION = ("inner_pipe_center_y", "inner_pipe_center_x", "bed_edge_y", "bed_edge_y_smooth", "particle_bed_center_y", "particle_bed_center_x", "bed_center_y", "bed_center_x")
+
+
+def signal_summary(rows: DataFrame, keys: list[str], order: str, columns: tuple[str, ...] = SEGMENTATION) -> DataFrame:
+    """Of each recording and each signal column that rows has: half range and RMS against the first value, and the dominant frequency per frame.
+
+    Gaps are bridged linearly for the frequency, which is null for a signal of fewer than three frames.
+    """
+    names = [*keys, "signal"]
+    long = rows.unpivot([*keys, order], [c for c in columns if c in rows.columns], "signal", "value").where("value is not null")
+    first = long.groupBy(*names).agg(F.min_by("value", order).alias("_first"))
+    long = long.join(first, names).select(*names, F.col(order).cast("double").alias("t"), F.col(order).alias("idx"), (F.col("value") - F.col("_first")).alias("value"))
+    v = F.col("value")
+    size = long.groupBy(*names).agg(F.count("*").alias("n"), ((F.max(v) - F.min(v)) / 2).alias("amplitude"), F.sqrt(F.avg(v * v)).alias("rms"))
+    spectra = spectrum(prepared(resampled(long, 1.0, names), names).where("n >= 3"), 1.0, 0.0, 0.5, keys=names)
+    return size.join(dominant(spectra, names).select(*names, F.col("frequency").alias("dominant")), names, "left")
+
+
+def edge_metrics(rows: DataFrame, keys: list[str], order: str, value: str, jump: float = 20.0) -> DataFrame:
+    """Mean and population deviation of an edge, and its steps of more than `jump` between consecutive rows."""
+    step = F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    return rows.withColumn("_d", step).groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count_if(F.col("_d") > jump).alias("jumps"))
+
+
 def first_frame_gain(brightness: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
     """Gain that brings each frame to the brightness of its series' first frame."""
     first = F.min_by(value, frame).over(Window.partitionBy(*keys))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.plans import archive_queries, evaluation_queries, point_queries, series_queries, spectral_queries, study_queries
+from signalframe.plans import archive_queries, evaluation_queries, point_queries, recording_queries, series_queries, spectral_queries, study_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**point_queries.QUERIES, **series_queries.QUERIES, **archive_queries.QUERIES, **spectral_queries.QUERIES, **study_queries.QUERIES, **evaluation_queries.QUERIES}
+ALL = {**point_queries.QUERIES, **series_queries.QUERIES, **archive_queries.QUERIES, **spectral_queries.QUERIES, **study_queries.QUERIES, **evaluation_queries.QUERIES, **recording_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.scalars import finite, moment, number, or_null
@@ -60,6 +60,51 @@ def long_signals(archive: DataFrame) -> DataFrame:
     return rows.where(finite(F.col("t")) & finite(F.col("value")))
 
 
+def numbered(df: DataFrame, out: str = "idx") -> DataFrame:
+    """df with the place of each row, from 0 in the order of its files and splits; only one count a split is gathered."""
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(starts, "_part").withColumn(out, F.col("_from") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_from")
+
+
+def read_signal(spark: SparkSession, path: str, values: Iterable[str] = AXES, time_column: str | None = None, rate: float | None = None) -> DataFrame:
+    """t (seconds from the first), value of a comma-separated file: finite samples, the first of each time.
+
+    The value is the first known column of `values`. Time is time_column, else inferred; where there is none and a sample
+    rate is given, it is the row's place over the rate.
+    """
+    df = read_table(spark, path)
+    value = next((c for c in values if c in df.columns), None)
+    if value is None:
+        raise ValueError(f"{path}: none of {list(values)} is a column")
+    try:
+        if time_column and time_column not in df.columns:
+            raise ValueError(f"{path}: no column {time_column}")
+        time = number(F.col(time_column)) if time_column else infer_time(df)
+    except ValueError:
+        if not rate or rate <= 0:
+            raise
+        time = F.col("idx") / rate
+    rows = numbered(df).select("idx", time.alias("t"), number(F.col(value)).alias("value")).where(finite(F.col("t")) & finite(F.col("value")))
+    once = rows.groupBy("t").agg(F.min_by("value", "idx").alias("value"))
+    return once.crossJoin(once.agg(F.min("t").alias("_first"))).select((F.col("t") - F.col("_first")).alias("t"), "value")
+
+
+#: Fixed fields of an annotation file that the shapes need.
+ANNOTATION = "shapes array<struct<label: string, points: array<array<double>>, shape_type: string>>, imageHeight long, imageWidth long"
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per shape of the annotation files below path: frame (the file's name), label, points, height, width.
+
+    A file without shapes is one row with a null label, so that it is counted as empty.
+    """
+    rows = spark.read.schema(ANNOTATION).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1)
+    return rows.select(name.alias("frame"), F.explode_outer("shapes").alias("s"), F.col("imageHeight").alias("height"), F.col("imageWidth").alias("width")).select("frame", "s.label", "s.points", "height", "width")
+
+
 def infer_time(df: DataFrame, fps: float | None = None) -> Column:
     """Seconds from the first usable of: time_seconds, time or timestamp as numbers, day and time, frame / fps."""
     names = {c.lower(): c for c in df.columns}

@@ -159,7 +159,8 @@ def track(detections: DataFrame, keys: list[str], machine: Callable[[], object],
             out.insert(0, name, value)
         return out
 
-    return rows.groupBy(*names).applyInPandas(run, keyed_schema(rows, names))
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as few bytes here are much work
+    return rows.repartition(parts, *names).groupBy(*names).applyInPandas(run, keyed_schema(rows, names))
 
 
 def track_stream(detections: DataFrame, keys: list[str], machine: Callable[[], object], idle_ms: int = 600_000) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalframe.functions import scalars
+from signalframe.operators import extraction
 from signalframe.sources import tables
 
 
@@ -109,3 +110,26 @@ def test_success_words(spark):
 
     rows = spark.createDataFrame([(x,) for x in (" OK ", "yes", "2", "0", "-1", "Detected", None, "true")], "c string")
     assert [r[0] for r in rows.select(succeeded(F.col("c"))).collect()] == [True, False, True, False, False, True, False, True]
+
+
+def test_annotation_files_give_shapes(spark, tmp_path):
+    square = [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0]]
+    (tmp_path / "frame_1.json").write_text(json.dumps({"shapes": [{"label": "a_inner_pipe", "points": square}, {"label": "a_particle_bed", "points": square[:2]}, {"label": "dirt", "points": square}], "imageHeight": 9, "imageWidth": 8}))
+    (tmp_path / "frame_2.json").write_text(json.dumps({"shapes": [], "imageHeight": 9, "imageWidth": 8}))
+    rows = extraction.shape_counts(tables.read_shapes(spark, str(tmp_path)), F.size("points"), ["frame"])
+    found = {r["frame"]: tuple(r)[1:] for r in rows.collect()}
+    assert found == {"frame_1": (1, 0, 1, 1, False), "frame_2": (0, 0, 0, 0, True)}
+
+
+def test_signal_without_a_time_column_takes_the_rate(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("liny\n" + "\n".join(["1", "2", "x", "4"]))
+    with pytest.raises(ValueError):
+        tables.read_signal(spark, str(tmp_path / "a.csv"))
+    rows = tables.read_signal(spark, str(tmp_path / "a.csv"), rate=2.0)
+    assert sorted(map(tuple, rows.collect())) == [(0.0, 1.0), (0.5, 2.0), (1.5, 4.0)]
+
+
+def test_signal_keeps_the_first_of_each_time(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("time,linx,liny\n7,9,3\n5,9,1\n5,9,2\n6,9,\n")
+    rows = tables.read_signal(spark, str(tmp_path / "b.csv"), values=("liny",))
+    assert sorted(map(tuple, rows.collect())) == [(0.0, 1.0), (2.0, 3.0)]
