@@ -45,6 +45,43 @@ def cumulative(df: DataFrame, keys: list[str], index: str, value: str, out: str,
     return rows.withColumn("_in", F.sum(value).over(inside)).join(totals, [*keys, "_block"]).withColumn(out, F.col("_in") + F.col("_from")).drop("_in", "_from", "_block")
 
 
+def percentiles(df: DataFrame, keys: list[str], columns: list[str], shares: list[float], parts: int = 256) -> DataFrame:
+    """Exact percentiles for few groups of any size: keys, and of each column an array with the value of each share (null where all are null).
+
+    Values are counted first. Approximate quantiles cut each group's values into about `parts` buckets; the buckets' counts tell
+    which ones hold the wanted ranks, and only the values in these are ordered. The cuts need not be good for the result
+    to be exact. Both joins are with a few rows a group, so they become broadcast joins where these are small when run.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    names = [*[f"_k{i}" for i in range(len(keys))], "m"]
+    counts = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=False)], cells.alias("c")).select(*names[:-1], "c.*")
+    counts = counts.where("v is not null").groupBy(*names, "v").agg(F.count("*").alias("n"))
+
+    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        other = right.select(*[F.col(c).alias(f"_r{c}" if c in on else c) for c in right.columns])
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+        return left.join(other, same).drop(*[f"_r{c}" for c in on])
+
+    cuts = counts.groupBy(*names).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
+    placed = beside(counts, cuts, names).select(*names, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
+    whole = Window.partitionBy(*names)
+    sizes = placed.groupBy(*names, "bucket").agg(F.sum("n").alias("rows"))
+    sizes = sizes.withColumns({"total": F.sum("rows").over(whole), "first": F.sum("rows").over(whole.orderBy("bucket")) - F.col("rows")})
+    places = [(F.col("total") - 1) * F.lit(float(q)) for q in shares]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in places])))
+    wanted = sizes.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("rows")))).where(F.size("ranks") > 0)
+    rows = beside(placed, wanted.drop("rows"), [*names, "bucket"])
+    start = F.col("first") + F.sum("n").over(Window.partitionBy(*names, "bucket").orderBy("v")) - F.col("n")
+    rows = rows.withColumn("start", start).withColumn("rank", F.explode(F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))))
+    found = rows.groupBy(*names).agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    at = lambda r: F.element_at("at", r)
+    values = [F.when(F.floor(x) == F.ceil(x), at(F.floor(x))).otherwise((F.ceil(x) - x) * at(F.floor(x)) + (x - F.floor(x)) * at(F.ceil(x))) for x in places]
+    found = found.withColumn("values", F.array(*values))
+    return found.groupBy(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=False)]).agg(*[F.first(F.when(F.col("m") == i, F.col("values")), ignorenulls=True).alias(c) for i, c in enumerate(columns)])
+
+
 def previous(df: DataFrame, keys: list[str], index: str, out: str, size: int = 100_000) -> DataFrame:
     """The index of the row before, within each key: within its block, else the largest of the last block before that has rows."""
     rows = df.withColumn("_block", F.floor(F.col(index) / size))

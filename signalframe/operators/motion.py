@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.operators.blocks import first_rows
+from signalframe.operators.blocks import first_rows, percentiles
 
 
 def median(c) -> F.Column:
@@ -46,8 +46,10 @@ def diagnostics(points: DataFrame, ids: list[int], measures: tuple[str, ...] = (
 def point_statistics(points: DataFrame, good: DataFrame) -> DataFrame:
     """Of each point: rows, valid rows and share, error medians and maxima, first and last frame."""
     total = points.groupBy("point_id").agg(F.count("*").alias("n_rows"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
-    valid = good.groupBy("point_id").agg(F.count("*").alias("n_valid"), median("fb_error").alias("med_fb"), F.max("fb_error").alias("max_fb"), median("jump_px").alias("med_jump"), F.max("jump_px").alias("max_jump"))
-    return total.join(valid, "point_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0))).withColumn("valid_share", F.col("n_valid") / F.col("n_rows"))
+    valid = good.groupBy("point_id").agg(F.count("*").alias("n_valid"), F.max("fb_error").alias("max_fb"), F.max("jump_px").alias("max_jump"))
+    medians = percentiles(good, ["point_id"], ["fb_error", "jump_px"], [0.5]).select("point_id", F.col("fb_error")[0].alias("med_fb"), F.col("jump_px")[0].alias("med_jump"))
+    out = total.join(valid, "point_id", "left").join(medians, "point_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    return out.withColumn("valid_share", F.col("n_valid") / F.col("n_rows"))
 
 
 def motion_summary(points: DataFrame) -> DataFrame:

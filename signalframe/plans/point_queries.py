@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalframe.functions.scalars import percent
 from signalframe.operators import filters, motion
+from signalframe.operators.blocks import percentiles
 from signalframe.plans.adapters import DETECTIONS, POINTS, detections, points
 
 
@@ -105,8 +106,10 @@ def bed_detection(spark, sf):
 def detector_summary(spark, sf):
     rows = detections(spark, sf)
     objects = rows.groupBy("class_id").agg(
-        F.count("*").alias("objects"), F.count_distinct("frame").alias("frames"), F.avg("score").alias("mean_score"), motion.median("score").alias("med_score"), F.percentile("score", F.lit(0.95)).alias("p95_score")
+        F.count("*").alias("objects"), F.count_distinct("frame").alias("frames"), F.avg("score").alias("mean_score")
     )
+    scores = percentiles(rows, ["class_id"], ["score"], [0.5, 0.95]).select("class_id", F.col("score")[0].alias("med_score"), F.col("score")[1].alias("p95_score"))
+    objects = objects.join(scores, "class_id", "left")
     return rounded(objects.withColumn("per_frame", F.col("objects") / F.col("frames")))
 
 

@@ -282,3 +282,16 @@ def test_ends_are_reflected_or_fitted(spark, size):
             want.append(fit.deriv(derivative)((i - a) * 0.5) if derivative else fit((i - a) * 0.5))
         assert np.allclose(found, want)
     assert np.isnan(ordered(filtering.fitted(uniform(spark, x[:5]), keys, "idx", "value", 7, 3, "s"), "s").astype(float)).all()
+
+
+def test_percentiles_of_few_groups_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), None if i % 3 == 0 else float(i)) for g, n in ((1, 1), (2, 2), (3, 4000), (None, 900)) for i, v in enumerate(np.round(rng.exponential(size=n), 2 if g == 3 else 9))]
+    df = spark.createDataFrame([*rows, (9, None, None)], "g int, a double, b double")
+    shares = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r["g"]: r for r in blocks.percentiles(df, ["g"], ["a", "b"], shares, parts=16).collect()}
+    want = df.where("g is null or g <> 9").groupBy("g").agg(*[F.percentile(c, F.array(*[F.lit(q) for q in shares])).alias(c) for c in "ab"]).collect()
+    assert len(got) == len(want) == 4
+    for row in want:
+        for c in "ab":
+            assert got[row["g"]][c] == (None if row[c] is None else pytest.approx(row[c], rel=1e-12))
