@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from signalframe.llm.common import materialize, ranked
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, ids binary"
-#: A worker's dictionary of words and their ids starts anew at this size.
-MOST_WORDS = 400_000
-TAIL = ".,;:!?"
+#: A worker's dictionary of words and their ids starts a new generation at this size, and keeps the one before.
+MOST_WORDS = 300_000
+TAIL = ".,;:!?#$%&*"
+#: Letters that canonical composition leaves as they are and that have one lower case each.
+PLAIN = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "\xaa\xb5\xba")
 #: The normalizers and pre-tokenizers (fixed value of the tokenizer file) under which a text's ids are those of its words.
 STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -35,9 +38,9 @@ class Encoder(dict):
     """Token ids of words, and so of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in a row. A new word
-    goes through the tokenizer's own normalizer, pre-tokenizer and model. A word of ASCII letters and closing marks
-    comes out of the first two as those letters in lower case and those marks, so it goes to the model at once. All that
-    holds for tokenizers of the known steps (see by_words); any other one gets texts whole.
+    goes through the tokenizer's own normalizer, pre-tokenizer and model. A word of plain letters and closing marks
+    comes out of the first two as those letters in lower case, each as the pre-tokenizer writes it, and those marks, so it
+    goes to the model at once. All that holds for tokenizers of the known steps (see by_words); any other one gets texts whole.
     """
 
     def __init__(self, path: str):
@@ -51,6 +54,9 @@ class Encoder(dict):
         self.normalize, self.split = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.written = {ord(c): self.split(c.lower())[0][0] for c in PLAIN}
+        self.plain = re.compile(f"([{PLAIN}]+)([{re.escape(TAIL)}]*)").fullmatch
 
     def _part(self, text: str) -> bytes:
         ids = self.parts.get(text)
@@ -59,13 +65,17 @@ class Encoder(dict):
         return ids
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(TAIL)
-        if word.isascii() and core.isalpha():
-            ids = self._part(core.lower()) + (self._part(word[len(core) :]) if len(core) < len(word) else b"")
-        elif "<|" in word:  # may hold the name of a special token
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            ids = b"".join([self._part(part) for part, _ in self.split(self.normalize(word))])
+        ids = self.before.get(word)
+        if ids is None:
+            known = self.plain(word)
+            if known:
+                core, tail = known.groups()
+                ids = self._part(core.translate(self.written))
+                ids = ids + self._part(tail) if tail else ids
+            elif "<|" in word:  # may hold the name of a special token
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                ids = b"".join([self._part(part) for part, _ in self.split(self.normalize(word))])
         self[word] = ids
         return ids
 
@@ -73,6 +83,7 @@ class Encoder(dict):
         if self.whole:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > MOST_WORDS:
+            self.before = dict(self)
             self.clear()
             self.parts.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))

@@ -189,6 +189,16 @@ def test_packing_gives_unknown_tokenizers_whole_texts(tmp_path):
     assert ids == np.array(Tokenizer.from_file(str(tmp_path / "other.json")).encode("Hello WORLD", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_words_equal_whole_texts(monkeypatch):
+
+    monkeypatch.setattr(packing, "MOST_WORDS", 20)
+    whole, words = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    letters = " ".join(f"{c}{c}a a{c}" for c in map(chr, range(0xA1, 0x180)))
+    texts = [letters, "ÀÉ Ö. ß# a'b** İx µm ªº Ÿ e\u0301 É* <|endoftext|> #* a$#b 12* it's. ***", "Straße, Straße; straße*%", letters[::-1], "#" * 50]
+    for text in [*texts, *texts]:
+        assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_numbers_sequences_in_parts(spark):
     runs = spark.createDataFrame([(5, 3), (10, 0), (20, 7)], "first long, sequences long")
     assert sorted(r.number for r in packing.numbered(runs, 3).collect()) == [5, 6, 7, *range(20, 27)]
