@@ -129,6 +129,15 @@ def local_maxima(signals: DataFrame, value: str = "value", keys: list[str] = KEY
     return signals.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).where((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b")
 
 
+def maxima_or_top(signals: DataFrame, value: str = "value", keys: list[str] = KEYS, order: str = "idx") -> DataFrame:
+    """The local maxima; of a series that has none (constant, monotonic or under three samples), its first largest sample."""
+    w = along(keys, order)
+    rows = signals.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)})
+    rows = rows.withColumn("_peak", F.coalesce((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b")), F.lit(False)))
+    tops = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max("_peak").alias("_any"), F.max_by(order, F.struct(value, -F.col(order))).alias("_top"))
+    return rows.join(tops, keys).where(F.col("_peak") | (~F.col("_any") & (F.col(order) == F.col("_top")))).drop("_a", "_b", "_peak", "_any", "_top")
+
+
 def resampled(signals: DataFrame, step: float, keys: list[str] = KEYS) -> DataFrame:
     """Linear values at the times k * step, k a whole number, within each series; the last sample's own time is left out.
 
@@ -263,3 +272,43 @@ def decay_fit(envelopes: DataFrame, keys: list[str] = KEYS, low: float = 0.08, h
     rows = envelopes.withColumn("_top", F.max("value").over(Window.partitionBy(*keys))).where((F.col("value") > 0) & F.col("value").between(low * F.col("_top"), high * F.col("_top")))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(F.ln("value"), F.col("t")).alias("slope"), F.regr_r2(F.ln("value"), F.col("t")).alias("r2"))
     return out.withColumn("tau", F.when(F.col("slope") < 0, -1 / F.col("slope")))
+
+
+def free_decay_start(envelopes: DataFrame, fraction: float, least: float, keys: list[str] = KEYS) -> DataFrame:
+    """decay_start, or the time of the largest value where none is as low, and early enough that `least` of time remains.
+
+    Series of fewer than 8 samples start at their first time.
+    """
+    eps = 2.220446049250313e-16
+    ends = envelopes.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("t").alias("_first"), F.max("t").alias("_last"), F.max("value").alias("_high"), F.min_by("t", F.struct(-F.col("value"), F.col("t"))).alias("_top_t"))
+    low = F.when((F.col("t") >= F.col("_top_t")) & (F.col("value") <= F.greatest(fraction * F.col("_high"), F.lit(eps))), F.col("t"))
+    first = envelopes.join(ends, keys).groupBy(*keys).agg(F.min(low).alias("_low"), *[F.first(c).alias(c) for c in ("_n", "_first", "_last", "_top_t")])
+    capped = F.least(F.coalesce("_low", "_top_t"), F.col("_last") - least)
+    return first.select(*keys, F.when(F.col("_n") < 8, F.col("_first")).otherwise(capped).alias("start_t"))
+
+
+def free_decay_fit(envelopes: DataFrame, keys: list[str] = KEYS, low: float = 0.08, high: float = 0.98, least: int = 8) -> DataFrame:
+    """decay_fit where at least `least` values lie within [low, high] of the largest, else over all positive values; null where these are fewer."""
+    eps = 2.220446049250313e-16
+    rows = envelopes.where("value > 0 AND t IS NOT NULL")
+    rows = rows.join(rows.groupBy(*keys).agg(F.greatest(low * F.max("value"), F.lit(eps)).alias("_low"), (high * F.max("value")).alias("_high")), keys)
+    inside = F.col("value").between(F.col("_low"), F.greatest("_high", "_low"))
+    log, t = F.ln("value"), F.col("t")
+    near = F.when(inside, log)
+    out = rows.groupBy(*keys).agg(
+        F.count(near).alias("_in"), F.count("*").alias("_all"), F.regr_slope(near, t).alias("_slope"), F.regr_r2(near, t).alias("_r2"),
+        F.regr_slope(log, t).alias("_slope_all"), F.regr_r2(log, t).alias("_r2_all"),
+    )
+    pick = lambda a, b: F.when(F.col("_in") >= least, F.col(a)).when(F.col("_all") >= least, F.col(b))
+    out = out.select(*keys, pick("_in", "_all").alias("n"), pick("_slope", "_slope_all").alias("slope"), pick("_r2", "_r2_all").alias("r2"))
+    return out.withColumn("tau", F.when(F.col("slope") < -eps, -1 / F.col("slope")))
+
+
+def standardised_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a and b: their root mean squares, and of their standardised forms the correlation, its size, RMSE and MAE; null where one is flat."""
+    means = pairs.groupBy(*keys).agg(F.count("*").alias("n"), *[f(c).alias(f"_{f.__name__}_{c}") for c in "ab" for f in (F.avg, F.stddev_pop)], *[F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"rms_{c}") for c in "ab"])
+    z = {c: F.when(F.col(f"_stddev_pop_{c}") > 0, (F.col(c) - F.col(f"_avg_{c}")) / F.col(f"_stddev_pop_{c}")) for c in "ab"}
+    rows = pairs.join(means, keys).select(*keys, "n", "rms_a", "rms_b", z["a"].alias("a"), z["b"].alias("b"))
+    e = F.col("b") - F.col("a")
+    out = rows.groupBy(*keys, "n", "rms_a", "rms_b").agg(F.avg(F.col("a") * F.col("b")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse_z"), F.avg(F.abs(e)).alias("mae_z"))
+    return out.withColumn("abs_pearson", F.abs("pearson"))

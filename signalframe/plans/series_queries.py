@@ -167,6 +167,19 @@ def residual_autocorrelation(spark, sf):
     return rounded(rows.groupBy("source_id").agg(F.corr("e", "before").alias("r1")), 5)
 
 
+def series_peaks_or_top(spark, sf):
+    return select(series.maxima_or_top(signals(spark, sf)), "source_id", "axis", "idx", "value")
+
+
+def series_free_decay(spark, sf):
+    rows = signals(spark, sf)
+    return rounded(series.free_decay_start(rows, 0.3, 200.0).join(series.free_decay_fit(rows), series.KEYS), 4)
+
+
+def pair_standardised(spark, sf):
+    return rounded(series.standardised_metrics(pairs(spark, sf), ["source_id"]), 5)
+
+
 LAGS = f"""WITH {SIGNALS}, {GRID}, {PAIRS}, c AS (SELECT source_id, k, a - avg(a) OVER (PARTITION BY source_id) AS a, b - avg(b) OVER (PARTITION BY source_id) AS b FROM pairs),
 norms AS (SELECT source_id, sqrt(sum(a * a) * sum(b * b)) AS norm FROM c GROUP BY 1),
 products AS (SELECT l.source_id, lag, count(*) AS n, CASE WHEN any_value(norm) > 0 THEN sum(l.a * r.b) / any_value(norm) END AS r FROM c l, (SELECT unnest(range(-5, 6))::INT AS lag), c r, norms
@@ -219,5 +232,18 @@ QUERIES = {
         s AS (SELECT source_id, axis, min(t) AS start_t FROM signals JOIN top USING (source_id, axis) WHERE t >= top_t AND value <= 0.3::DOUBLE * top GROUP BY 1, 2),
         f AS (SELECT source_id, axis, regr_slope(ln(value), t) AS slope, regr_r2(ln(value), t) AS r2 FROM signals JOIN top USING (source_id, axis) WHERE value > 0 AND value BETWEEN 0.08::DOUBLE * top AND 0.98::DOUBLE * top GROUP BY 1, 2)
         SELECT source_id, axis, round(top, 4) AS top, round(top_t, 4) AS top_t, round(start_t, 4) AS start_t, round(slope, 4) + 0.0 AS slope, round(r2, 4) AS r2 FROM top LEFT JOIN s USING (source_id, axis) JOIN f USING (source_id, axis)"""),
+    "series_peaks_or_top": (series_peaks_or_top, f"""WITH {SIGNALS}, n AS (SELECT *, coalesce(value > lag(value) OVER w AND value >= lead(value) OVER w, false) AS peak FROM signals {W}),
+        m AS (SELECT source_id, axis, bool_or(peak) AS has_peak, arg_max(idx, (value, -idx)) AS top FROM n GROUP BY 1, 2) SELECT {IDS}, value FROM n JOIN m USING (source_id, axis) WHERE peak OR (NOT has_peak AND idx = top)"""),
+    "series_free_decay": (series_free_decay, f"""WITH {SIGNALS}, m AS (SELECT source_id, axis, count(*) AS n, min(t) AS first, max(t) AS last, max(value) AS high, arg_min(t, (-value, t)) AS top_t, count(*) FILTER (value > 0) AS n_all FROM signals GROUP BY 1, 2),
+        s AS (SELECT source_id, axis, CASE WHEN any_value(n) < 8 THEN any_value(first) ELSE least(coalesce(min(t) FILTER (t >= top_t AND value <= greatest(0.3::DOUBLE * high, 2.220446049250313e-16::DOUBLE)), any_value(top_t)), any_value(last) - 200) END AS start_t
+          FROM signals JOIN m USING (source_id, axis) GROUP BY 1, 2),
+        p AS (SELECT source_id, axis, t, ln(value) AS l, n_all, value BETWEEN 0.08::DOUBLE * high AND 0.98::DOUBLE * high AS inside FROM signals JOIN m USING (source_id, axis) WHERE value > 0),
+        c AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY source_id, axis) AS n_in FROM p),
+        f AS (SELECT source_id, axis, CASE WHEN any_value(n_in) >= 8 THEN any_value(n_in) WHEN any_value(n_all) >= 8 THEN any_value(n_all) END AS n, regr_slope(l, t) FILTER (n_in >= 8 AND inside OR n_in < 8 AND n_all >= 8) AS slope,
+          regr_r2(l, t) FILTER (n_in >= 8 AND inside OR n_in < 8 AND n_all >= 8) AS r2 FROM c GROUP BY 1, 2)
+        SELECT source_id, axis, round(start_t, 4) AS start_t, n, round(slope, 4) + 0.0 AS slope, round(r2, 4) AS r2, round(CASE WHEN slope < -2.220446049250313e-16::DOUBLE THEN -1 / slope END, 4) AS tau FROM s JOIN f USING (source_id, axis)"""),
+    "pair_standardised": (pair_standardised, f"""WITH {SIGNALS}, {GRID}, {PAIRS}, m AS (SELECT source_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb, sqrt(avg(a * a)) AS rms_a, sqrt(avg(b * b)) AS rms_b FROM pairs GROUP BY 1),
+        z AS (SELECT source_id, n, rms_a, rms_b, CASE WHEN sa > 0 THEN (a - ma) / sa END AS a, CASE WHEN sb > 0 THEN (b - mb) / sb END AS b FROM pairs JOIN m USING (source_id))
+        SELECT source_id, n, round(rms_a, 5) AS rms_a, round(rms_b, 5) AS rms_b, round(avg(a * b), 5) + 0.0 AS pearson, round(sqrt(avg((b - a)^2)), 5) AS rmse_z, round(avg(abs(b - a)), 5) AS mae_z, round(abs(avg(a * b)), 5) AS abs_pearson FROM z GROUP BY 1, 2, 3, 4"""),
     "residual_autocorrelation": (residual_autocorrelation, f"WITH {SIGNALS}, {GRID}, {PAIRS}, e AS (SELECT source_id, b - a AS e, lag(b - a) OVER (PARTITION BY source_id ORDER BY k) AS p FROM pairs) SELECT source_id, round(corr(e, p), 5) + 0.0 AS r1 FROM e GROUP BY 1"),
 }

@@ -295,3 +295,29 @@ def test_percentiles_of_few_groups_are_exact(spark):
     for row in want:
         for c in "ab":
             assert got[row["g"]][c] == (None if row[c] is None else pytest.approx(row[c], rel=1e-12))
+
+
+def test_series_without_local_maxima_give_their_top(spark):
+    rows = [(1, "a", i, float(i), float(v)) for i, v in enumerate([1, 3, 3, 2])] + [(2, "a", i, float(i), float(v)) for i, v in enumerate([4, 4, 2])] + [(3, "a", 0, 0.0, None)]
+    found = series.maxima_or_top(spark.createDataFrame(rows, "source_id int, axis string, idx int, t double, value double"))
+    assert sorted((r.source_id, r.idx) for r in found.collect()) == [(1, 1), (2, 0)]
+
+
+def test_free_decay_start_and_fit(spark):
+    values = [0.1, 10.0, *[10 * 0.8**i for i in range(1, 15)]]
+    rows = [(1, "a", i, float(i), v) for i, v in enumerate(values)] + [(2, "a", i, float(i), 5.0 * 0.01**i) for i in range(9)] + [(3, "a", i, float(i), 1.0) for i in range(5)]
+    table = spark.createDataFrame(rows, "source_id int, axis string, idx int, t double, value double")
+    starts = {r.source_id: r.start_t for r in series.free_decay_start(table, 0.3, 4.0).collect()}
+    assert starts == {1: 7.0, 2: 1.0, 3: 0.0}
+    assert {r.source_id: r.start_t for r in series.free_decay_start(table, 0.3, 12.0).collect()}[1] == 3.0
+    fits = {r.source_id: r for r in series.free_decay_fit(table).collect()}
+    assert fits[1].n == 11 and abs(fits[1].slope - np.log(0.8)) < 1e-9
+    assert fits[2].n == 9 and abs(fits[2].slope - np.log(0.01)) < 1e-9 and fits[3].n is None and fits[3].tau is None
+
+
+def test_standardised_metrics(spark):
+    a, b = np.array([1.0, 4, 2, 8, 5]), np.array([2.0, 3, 1, 9, 9])
+    table = spark.createDataFrame([(1, float(x), float(y)) for x, y in zip(a, b)] + [(2, 1.0, float(y)) for y in b], "source_id int, a double, b double")
+    got = {r.source_id: r for r in series.standardised_metrics(table, ["source_id"]).collect()}
+    r = np.corrcoef(a, b)[0, 1]
+    assert abs(got[1].pearson - r) < 1e-9 and abs(got[1].rmse_z - np.sqrt(2 - 2 * r)) < 1e-9 and got[2].pearson is None
