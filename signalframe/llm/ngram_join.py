@@ -137,13 +137,14 @@ def likely(buckets: DataFrame, packs: int, least: float) -> DataFrame:
     return buckets.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(packs))).groupBy("pack").applyInArrow(run, EDGES)
 
 
-def against_pivot(big: DataFrame) -> DataFrame:
+def against_pivot(big: DataFrame, bucket: int) -> DataFrame:
     """Rows of paths with many sets, each with its path's pivot and the overlap of the two sketches.
 
     The pivot is the set of the least hash, so the paths of one group of near copies, in all runs, mostly have the same one.
+    The sets of a path are dealt to slices of about `bucket`, and each slice gets a copy of the pivot, so no task joins a whole path.
     """
-    pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("key"), "key", "sketch")).alias("pivot"))
-    pivots = pivots.select(F.col("path").alias("_path"), F.col("pivot.key").alias("pivot"), F.col("pivot.sketch").alias("with"))
+    pivots = big.groupBy("path").agg(F.min(F.struct(F.xxhash64("key"), "key", "sketch")).alias("pivot"), F.sequence(F.lit(0).cast("long"), F.ceil(F.first("sets") / bucket) - 1).alias("slices"))
+    pivots = pivots.select(F.col("path").alias("_path"), F.col("pivot.key").alias("pivot"), F.col("pivot.sketch").alias("with"), F.explode("slices").alias("_slice"))
     schema = "path long, run int, key long, sketch binary, sets long, pivot long, overlap double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +156,8 @@ def against_pivot(big: DataFrame) -> DataFrame:
                 shares.append(both / max(1, len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(shares, pa.float64())], names=["path", "run", "key", "sketch", "sets", "pivot", "overlap"])
 
-    return big.join(pivots, F.col("path") == F.col("_path")).select("path", "run", "key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
+    own_slice = F.pmod(F.xxhash64("key"), F.ceil(F.col("sets") / bucket))
+    return big.join(pivots, (F.col("path") == F.col("_path")) & (own_slice == F.col("_slice"))).select("path", "run", "key", "sketch", "sets", "pivot", "with").mapInArrow(run, schema)
 
 
 def tiled(rows: DataFrame, bucket: int) -> DataFrame:
@@ -194,7 +196,7 @@ def run_edges(sets: DataFrame, runs: range, branches: float, bucket: int, most_t
         if (most or 0) <= bucket:
             discard(part)
             return out
-        judged = materialize(against_pivot(part.where(F.col("sets") > bucket)))
+        judged = materialize(against_pivot(part.where(F.col("sets") > bucket), bucket))
         discard(part)
         alike = F.when(F.col("overlap") >= least, F.col("run")).otherwise(-1)
         out.append(materialize(judged.where((F.col("overlap") >= link) & (F.col("key") != F.col("pivot"))).select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), alike.alias("run"))))

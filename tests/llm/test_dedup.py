@@ -213,6 +213,16 @@ def test_near_duplicates_tell_repeated_ids_apart(spark):
     assert sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs).collect()) == [(0, "other words here"), (1, a), (1, a), (1, b)]
 
 
+def test_pivots_reach_every_set_of_a_path(spark):
+    sketch = lambda k: np.arange(k % 5, k % 5 + 8, dtype=np.uint32).tobytes()
+    big = spark.createDataFrame([(p, 0, 100 * p + k, sketch(k), n) for p, n in ((1, 23), (2, 5), (3, 8)) for k in range(n)], "path long, run int, key long, sketch binary, sets long")
+    found = ngram_join.against_pivot(big, 4).collect()
+    assert sorted(r.key for r in found) == sorted(r.key for r in big.collect())
+    assert all(len({r.pivot for r in found if r.path == p}) == 1 for p in (1, 2, 3))
+    both = lambda r: 8 - abs(r.key % 100 % 5 - r.pivot % 100 % 5)
+    assert all(r.overlap == pytest.approx(both(r) / (16 - both(r))) for r in found)
+
+
 def test_recall_is_estimated_from_the_runs_that_found_a_set(spark):
     edges = lambda rows: spark.createDataFrame(rows, "a long, b long, run int")
     assert ngram_join.missed(edges([(1, 2, r) for r in range(6)] + [(3, 4, -1)])) == 0
