@@ -97,3 +97,10 @@ def candidates_of(candidates: DataFrame, video_id: str, k: int) -> DataFrame:
     """The first k candidates of a video, by rank, then the larger score, then the source row; ids are compared without case and blanks."""
     rows = candidates.where(F.lower(F.trim("video_id")) == video_id.strip().lower())
     return rows.orderBy("rank_for_video", F.col("score").desc_nulls_last(), "source_row").limit(k)
+
+
+def flag_best(rows: DataFrame, error: str, keys: list[str], tie: str, limit: float) -> DataFrame:
+    """rows with best, whether a row has the smallest error of its keys (ties to the smaller `tie`, none where all errors are null), and passed, whether its error is within limit."""
+    tops = rows.where(F.col(error).isNotNull()).groupBy(*keys).agg(F.min_by(tie, F.struct(F.round(error, 9), tie)).alias("_best"))
+    flags = {"best": F.coalesce(F.col(tie) == F.col("_best"), F.lit(False)), "passed": F.coalesce(F.col(error) <= limit, F.lit(False))}
+    return rows.join(tops, keys, "left").withColumns(flags).drop("_best")

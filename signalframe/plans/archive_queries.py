@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalframe.functions import scalars
-from signalframe.operators import masks, matching
+from signalframe.operators import masks, matching, ranking
 from signalframe.operators.blocks import previous, with_halo
 from signalframe.plans.adapters import DETECTIONS, PIXELS, RUNS, SIGNALS, detections, pixels, runs, signals, table
 from signalframe.plans.point_queries import rounded
@@ -69,6 +69,11 @@ def archive_best_axis(spark, sf):
     return rounded(best.withColumn("verdict", label), 6)
 
 
+def archive_axes_flagged(spark, sf):
+    rows = archive(spark, sf).select("source_id", "axis", scalars.relative_error(F.col("rate"), F.lit(0.12)).alias("error"))
+    return rounded(ranking.flag_best(rows, "error", ["source_id"], "axis", 10.0), 6)
+
+
 def archive_conclusion(spark, sf):
     rows = near(spark, sf)
     one = rows.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("overlap") > 0, 1)).alias("simultaneous"), F.min("gap").alias("best_gap"), F.max("overlap").alias("best_overlap"))
@@ -252,6 +257,8 @@ QUERIES = {
     "archive_top_lists": (archive_top_lists, f"{A} SELECT source_id, axis, rank, round(rms, 6) AS rms, rank <= 10 AS top10, rank <= 20 AS top20 FROM (SELECT *, row_number() OVER (ORDER BY rms DESC NULLS LAST, source_id, axis) AS rank FROM inventory) WHERE rank <= 50"),
     "archive_best_axis": (archive_best_axis, f"""{A}, e AS (SELECT source_id, axis, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory WHERE rate IS NOT NULL) SELECT source_id, arg_min(axis, (round(error, 9), axis)) AS axis, round(min(error), 6) AS error,
         CASE WHEN min(error) <= 10 THEN 'good' WHEN min(error) <= 25 THEN 'fair' ELSE 'poor' END AS verdict FROM e GROUP BY 1"""),
+    "archive_axes_flagged": (archive_axes_flagged, f"""{A}, e AS (SELECT source_id, axis, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory), b AS (SELECT source_id, arg_min(axis, (round(error, 9), axis)) AS top FROM e WHERE error IS NOT NULL GROUP BY 1)
+        SELECT source_id, axis, round(error, 6) AS error, coalesce(axis = top, false) AS best, coalesce(error <= 10, false) AS passed FROM e LEFT JOIN b USING (source_id)"""),
     "archive_conclusion": (archive_conclusion, f"""{A}, {INTERVALS} SELECT count(*) AS pairs, count(CASE WHEN overlap > 0 THEN 1 END) AS simultaneous, round(min(gap), 6) AS best_gap, round(max(overlap), 6) AS best_overlap,
         CASE WHEN count(CASE WHEN overlap > 0 THEN 1 END) > 0 THEN 'simultaneous measurement found' WHEN count(*) > 0 THEN 'only neighbouring measurements' ELSE 'none' END AS conclusion FROM near"""),
     "archive_scores": (archive_scores, f"""{A}, e AS (SELECT source_id, axis, rate AS frequency, std / rms AS r, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory WHERE rate IS NOT NULL)

@@ -321,3 +321,11 @@ def test_standardised_metrics(spark):
     got = {r.source_id: r for r in series.standardised_metrics(table, ["source_id"]).collect()}
     r = np.corrcoef(a, b)[0, 1]
     assert abs(got[1].pearson - r) < 1e-9 and abs(got[1].rmse_z - np.sqrt(2 - 2 * r)) < 1e-9 and got[2].pearson is None
+
+
+def test_flag_best_marks_the_smallest_error(spark):
+    from signalframe.operators import ranking
+
+    rows = [(1, "x", 3.0), (1, "y", 3.0), (1, "z", None), (2, "x", 30.0), (3, "x", None)]
+    got = ranking.flag_best(spark.createDataFrame(rows, "source_id int, axis string, error double"), "error", ["source_id"], "axis", 10.0)
+    assert {(r.source_id, r.axis): (r.best, r.passed) for r in got.collect()} == {(1, "x"): (True, True), (1, "y"): (False, True), (1, "z"): (False, False), (2, "x"): (True, False), (3, "x"): (False, False)}
