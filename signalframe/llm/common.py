@@ -58,6 +58,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rows_per_group: int, out: str, n_rows: int | None = None, top: int | None = None) -> DataFrame:
     """Number the rows of each key from 0 without a task that sees a whole key.
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from signalframe.llm import exact_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
-from signalframe.llm.common import documents, labels
+from signalframe.llm import exact_dedup, mixing, neighbours, ngram_join, packing, periodic_runs, pii, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup, whitening
+from signalframe.llm.common import documents, embeddings, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +55,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.with_planted_tails(documents(spark, sf_dir))))
+
+
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -66,6 +79,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_pii": op9_pii,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_neighbours": op12_neighbours,
+        "op13_whitening": op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
