@@ -49,11 +49,11 @@ def found(spark, sf):
 
 
 def tracks_single(spark, sf):
-    return rounded(trackers.track(found(spark, sf), ["class_id"], trackers.Single, chunk=200), 4)
+    return rounded(trackers.track(found(spark, sf), ["class_id"], trackers.Single), 4)
 
 
 def tracks_multi(spark, sf):
-    return rounded(trackers.track(found(spark, sf), ["class_id"], trackers.Multi, chunk=200), 4)
+    return rounded(trackers.track(found(spark, sf), ["class_id"], trackers.Multi), 4)
 
 
 def values(spark, sf):
@@ -61,11 +61,11 @@ def values(spark, sf):
 
 
 def values_smoothed(spark, sf):
-    return rounded(trackers.track(values(spark, sf), series.KEYS, trackers.Smoother, chunk=10_000).select("source_id", "axis", "frame", F.col("x").alias("value")), 5)
+    return rounded(trackers.track(values(spark, sf), series.KEYS, trackers.Smoother).select("source_id", "axis", "frame", F.col("x").alias("value")), 5)
 
 
 def values_deflickered(spark, sf):
-    return rounded(trackers.track(values(spark, sf), series.KEYS, trackers.Deflicker, chunk=10_000).select("source_id", "axis", "frame", F.col("x").alias("gain"), F.col("y").alias("flicker")), 5)
+    return rounded(trackers.track(values(spark, sf), series.KEYS, trackers.Deflicker).select("source_id", "axis", "frame", F.col("x").alias("gain"), F.col("y").alias("flicker")), 5)
 
 
 def run_metrics(spark, sf):
@@ -117,9 +117,18 @@ QUERIES = {
       o AS (SELECT a.class_id, CASE WHEN len(list_distinct(list_concat(coalesce(a.px, []), coalesce(b.px, [])))) = 0 THEN 1.0::DOUBLE
         ELSE len(list_intersect(coalesce(a.px, []), coalesce(b.px, []))) / len(list_distinct(list_concat(coalesce(a.px, []), coalesce(b.px, [])))) END AS iou FROM s a JOIN s b ON b.frame = a.frame + 1)
       SELECT class_id, count(*) AS pairs, round(avg(iou), 6) AS mean_iou, round(stddev_pop(iou), 6) AS std_iou FROM o GROUP BY 1"""),
-    "tracks_single": (tracks_single, None),
+    "tracks_single": (tracks_single, f"""WITH RECURSIVE {DETECTIONS}, best AS (SELECT class_id, frame, arg_max(x::DOUBLE, (area, -x, -y)) AS x, arg_max(y::DOUBLE, (area, -x, -y)) AS y FROM detections GROUP BY 1, 2),
+      o AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY frame) AS i FROM best),
+      k AS (SELECT class_id, frame, i, x AS sx, 0.0::DOUBLE AS vx, y AS sy, 0.0::DOUBLE AS vy, 10.0::DOUBLE AS p, 0.0::DOUBLE AS c, 10.0::DOUBLE AS q FROM o WHERE i = 1
+        UNION ALL SELECT o.class_id, o.frame, o.i, k.sx + k.vx + (k.p + 2 * k.c + k.q + 0.01::DOUBLE) / g.s * (o.x - k.sx - k.vx), k.vx + (k.c + k.q) / g.s * (o.x - k.sx - k.vx),
+          k.sy + k.vy + (k.p + 2 * k.c + k.q + 0.01::DOUBLE) / g.s * (o.y - k.sy - k.vy), k.vy + (k.c + k.q) / g.s * (o.y - k.sy - k.vy),
+          (1 - (k.p + 2 * k.c + k.q + 0.01::DOUBLE) / g.s) * (k.p + 2 * k.c + k.q + 0.01::DOUBLE), (1 - (k.p + 2 * k.c + k.q + 0.01::DOUBLE) / g.s) * (k.c + k.q), k.q + 0.01::DOUBLE - (k.c + k.q) * (k.c + k.q) / g.s
+        FROM k JOIN o ON o.class_id = k.class_id AND o.i = k.i + 1, LATERAL (SELECT k.p + 2 * k.c + k.q + 5.01::DOUBLE AS s) g)
+      SELECT class_id, frame, 1::BIGINT AS track_id, round(sx, 4) AS x, round(sy, 4) AS y, 0::BIGINT AS missed FROM k"""),
     "tracks_multi": (tracks_multi, None),
-    "values_smoothed": (values_smoothed, None),
+    "values_smoothed": (values_smoothed, f"""WITH RECURSIVE {SIGNALS}, m AS (SELECT source_id, axis, idx, quantile_cont(value, 0.5) OVER (PARTITION BY source_id, axis ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS med FROM signals),
+      e AS (SELECT source_id, axis, idx, med AS value FROM m WHERE idx = 0 UNION ALL SELECT m.source_id, m.axis, m.idx, 0.8::DOUBLE * e.value + 0.2::DOUBLE * m.med FROM e JOIN m ON m.source_id = e.source_id AND m.axis = e.axis AND m.idx = e.idx + 1)
+      SELECT source_id, axis, idx AS frame, round(value, 5) AS value FROM e"""),
     "values_deflickered": (values_deflickered, None),
     "run_metrics": (run_metrics, f"WITH {SIGNALS} SELECT source_id AS run_id, count(*) AS frames, round(avg(value), 9) AS mean_seconds, round(CASE WHEN avg(value) > 0 THEN 1 / avg(value) END, 9) AS fps, max(idx) AS most_tracks FROM signals GROUP BY 1"),
     "segments_sliding": (segments_sliding, """WITH w AS (SELECT user_id AS source_id, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
