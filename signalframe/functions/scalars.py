@@ -42,20 +42,12 @@ def weighted(parts: Mapping[str, float]) -> Column:
     return F.when(total > 0, sum(F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in parts.items()) / total)
 
 
-def pair_score(differences: Mapping[str, tuple[float, float]]) -> Column:
-    """Sum of weight * exp(-difference / scale) over columns of differences: name -> (weight, scale)."""
-    return sum(w * F.exp(-F.col(c) / s) for c, (w, s) in differences.items())
-
 
 def match_score(correlation: Column, error_percent: Column) -> Column:
     """0.7 of the absolute correlation and 0.3 of the frequency error's decay over 25 %."""
     return 0.7 * F.abs(correlation) + 0.3 * F.exp(-error_percent / 25.0)
 
 
-def truthy(c: Column) -> Column:
-    """Success flags given as numbers or words. 1, true, ok, valid, success, detected, yes."""
-    return F.coalesce(number(c) > 0, F.lower(F.trim(c)).isin("1", "true", "ok", "valid", "success", "detected", "yes"))
-
 
 def ladder(steps: list[tuple[Column, str]], otherwise: str) -> Column:
     """The label of the first condition that holds."""

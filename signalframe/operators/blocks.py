@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,79 @@ def moving_window(df: DataFrame, keys: list[str], index: str, before: int, after
     return rows.withColumns({name: f(c).over(w) for name, (f, c) in columns.items()}).where(~F.col("halo")).drop("block", "halo")
 
 
+def neighbours(df: DataFrame, keys: list[str], index: str, columns: dict[str, tuple[str, int]], size: int = 100_000) -> DataFrame:
+    """Add columns name -> (column, offset): the value `offset` rows later (earlier where negative) in the series, null beyond its ends. The index is dense."""
+    before, after = max(0, *[-o for _, o in columns.values()]), max(0, *[o for _, o in columns.values()])
+    w = Window.partitionBy(*keys, "block").orderBy(index)
+    rows = with_halo(df, index, size, before, after)
+    return rows.withColumns({name: F.lead(c, o).over(w) if o >= 0 else F.lag(c, -o).over(w) for name, (c, o) in columns.items()}).where(~F.col("halo")).drop("block", "halo")
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, span: float) -> DataFrame:
+    """Number the rows of each series from 0 by a number column without ties: within slices of `span` of it, which start where the counts of those before end."""
+    rows = df.withColumn("_slice", F.floor(F.col(order) / span))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)) - 1
+    return rows.withColumn("_in", inside).join(starts, [*keys, "_slice"]).withColumn(out, F.col("_from") + F.col("_in")).drop("_in", "_from", "_slice")
+
+
+def last_so_far(df: DataFrame, keys: list[str], index: str, columns: dict[str, Column], size: int = 100_000) -> DataFrame:
+    """Add columns name -> the last non-null value of a Column up to each row: within its block, else the last one that earlier blocks carry over."""
+    rows = df.withColumn("_block", F.floor(F.col(index) / size)).withColumns(columns)
+    inside = Window.partitionBy(*keys, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_block").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(index))).alias(f"_{c}") for c in columns])
+    ends = ends.select(*keys, "_block", *[F.last(f"_{c}", ignorenulls=True).over(before).alias(f"_{c}") for c in columns])
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(ends, [*keys, "_block"])
+    return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop("_block", *[f"_{c}" for c in columns])
+
+
+def first_order(x: np.ndarray, decay: float, width: int = 64) -> np.ndarray:
+    """y[i] = decay * y[i - 1] + x[i] from y[-1] = 0, `width` values at a time."""
+    n = len(x)
+    rows = np.pad(x, (0, -n % width)).reshape(-1, width)
+    lag = np.arange(width)[:, None] - np.arange(width)[None, :]
+    y = rows @ np.where(lag >= 0, decay ** np.maximum(lag, 0), 0.0).T
+    fade, state = decay ** np.arange(1, width + 1), 0.0
+    for row in y:
+        row += state * fade
+        state = row[-1]
+    return y.ravel()[:n]
+
+
+def exponential_mean(df: DataFrame, keys: list[str], index: str, value: str, alpha: float, out: str, size: int = 100_000, seed: Column | None = None) -> DataFrame:
+    """Add y = (1 - alpha) * the y before + alpha * value, from `seed` (a Column with one value a series; as a rule its first value) before the first row.
+
+    Blocks run from 0 by themselves. The last y of each block and its length, one small row a block, give what it carries into the next
+    ones, which fades with each row. Null values are errors; the index is dense from 0.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.withColumn("_block", F.floor(F.col(index) / size))
+    names, schema = [*keys, "_block"], ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def local(table: pa.Table) -> pa.Table:
+        table = table.sort_by(index)
+        y = first_order(alpha * table.column(value).to_numpy().astype(np.float64), 1 - alpha)
+        return table.append_column("_y", pa.array(y)).append_column("_fade", pa.array((1 - alpha) ** np.arange(1.0, len(y) + 1)))
+
+    def carried(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_block")
+        held, state = [], table.column("_seed")[0].as_py()
+        for y, fade in zip(table.column("_last").to_pylist(), table.column("_rest").to_pylist(), strict=True):
+            held.append(state)
+            state = y + fade * state
+        return table.select([*keys, "_block"]).append_column("_held", pa.array(held, pa.float64()))
+
+    whole = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    runs = rows.groupBy(*names).applyInArrow(local, f"{whole}, _y double, _fade double")
+    first = F.min_by(F.col(value) if seed is None else seed, F.col(index)).cast("double")
+    ends = runs.groupBy(*names).agg(F.max_by("_y", index).alias("_last"), F.min("_fade").alias("_rest"), first.alias("_seed"))
+    start = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.withColumn("_seed", F.first("_seed").over(start)).groupBy(*keys).applyInArrow(carried, f"{schema + ', ' if keys else ''}_block long, _held double")
+    return runs.join(ends, names).withColumn(out, F.col("_y") + F.col("_fade") * F.col("_held")).drop("_block", "_y", "_fade", "_held")
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, slices: int = 64) -> DataFrame:
     """The first n rows of each key. Slices of a key are cut to n rows before they meet, so a hot key is no problem."""
     part = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(slices)))

@@ -53,14 +53,17 @@ def with_diagnostics(frames: DataFrame, diagnostics: DataFrame, keys: list[str])
     return frames.join(one, keys, "left")
 
 
-def with_rates(found: DataFrame, sources: DataFrame, transitions: bool) -> DataFrame:
-    """Every video of sources (video_id, source_frames) with observed, successful, expected frames and their rates.
+def with_rates(found: DataFrame, sources: DataFrame, transitions: bool, full_share: float = 0.99) -> DataFrame:
+    """Every video of sources (video_id, source_frames) with observed, successful, expected frames, their rates, missing and failed frames, and whether it is of full length.
 
-    Expected are the frames, or with transitions one less, but not below zero. A video without rows has none observed.
+    Expected are the frames, or with transitions one less, but not below zero. A video without rows has none observed. No more frames succeed than
+    are observed. Full length means that at least full_share of some expected frames (rounded up) are observed.
     """
     expected = F.greatest(F.col("source_frames") - 1, F.lit(0)) if transitions else F.col("source_frames")
-    rows = sources.join(found, "video_id", "left").withColumn("expected", expected)
-    return coverage(rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("observed", "successful")}))
+    rows = sources.join(found, "video_id", "left").withColumn("expected", F.greatest(expected, F.lit(0)))
+    rows = coverage(rows.withColumn("observed", F.coalesce("observed", F.lit(0))).withColumn("successful", F.least(F.coalesce("successful", F.lit(0)), "observed")))
+    full = (F.col("expected") > 0) & (F.col("observed") >= F.ceil(F.col("expected") * full_share))
+    return rows.withColumns({"missing": F.greatest(F.col("expected") - F.col("observed"), F.lit(0)), "failed": F.col("observed") - F.col("successful"), "full_length": full})
 
 
 def tracked_point_success(points: DataFrame, sources: DataFrame, min_valid: int) -> DataFrame:
@@ -83,6 +86,34 @@ def frame_success(rows: DataFrame, sources: DataFrame, success: Column, transiti
     return with_rates(found, sources, transitions)
 
 
+#: Fixed columns that say whether a frame succeeded, the first that a result table has counts.
+DETECTOR_SUCCESS = ("detection_success", "segmentation_valid", "detected", "status")
+CLASSICAL_SUCCESS = ("inner_pipe_detected", "inner_pipe_valid", "segmentation_valid", "detection_success", "status")
+
+
+def reported_success(rows: DataFrame, sources: DataFrame, columns: tuple[str, ...], score: str | None = None, full_share: float = 0.99) -> DataFrame:
+    """Detector and classical results by what their tables report, with success_column and the rule that was used.
+
+    The first of `columns` that rows has decides. Booleans count as they are; where a video's column has a number anywhere, a row succeeds above zero, else
+    by the fixed words. Without such a column a row with a finite `score` succeeds if rows has that, and otherwise every row with a
+    frame. Frames that are no numbers count for nothing. One grouping by video.
+    """
+    chosen = next((c for c in columns if c in rows.columns), None)
+    real = lambda c: F.when(~F.isnan(number(c)), number(c))
+    frame = real(F.col("frame").cast("string"))
+    if chosen:
+        text = F.col(chosen).cast("string")
+        value = real(F.col(chosen).cast("int").cast("string") if dict(rows.dtypes)[chosen] == "boolean" else text)
+        count = F.when(F.max(value.isNotNull()), F.count_distinct(F.when(value > 0, frame))).otherwise(F.count_distinct(F.when(F.lower(F.trim(text)).isin(*SUCCESS), frame)))
+        rule = "column"
+    elif score and score in rows.columns:
+        count, rule = F.count_distinct(F.when(real(F.col(score).cast("string")).isNotNull(), frame)), "score"
+    else:
+        count, rule = F.count_distinct(frame), "represented"
+    found = rows.groupBy("video_id").agg(F.count_distinct(frame).alias("observed"), count.alias("successful"))
+    return with_rates(found, sources, False, full_share).withColumns({"success_column": F.lit(chosen or ""), "rule": F.lit(rule)})
+
+
 def any_finite(*columns: str) -> Column:
     """Whether one of the columns has a number."""
     out = F.lit(False)

@@ -64,6 +64,38 @@ def savitzky_golay(window: int, degree: int, derivative: int = 0, step: float =
     return (np.linalg.pinv(powers)[derivative] * math.factorial(derivative) / step**derivative).tolist()
 
 
+def decimated_low_pass(df: DataFrame, keys: list[str], index: str, value: str, weights: list[float], factor: int, out: str, size: int = 100_000) -> DataFrame:
+    """Every factor-th sample of the filtered series and no other: rows with index % factor = 0, index / factor as the new index, and `out`.
+
+    Neighbours beyond a series' ends are mirrored at the end sample as far as the series reaches, and 0 from there on. Only the kept samples'
+    dot products are computed, in blocks of `size` samples with half a filter before and after; the index is dense from 0.
+    """
+    half, h = len(weights) // 2, np.array(weights, np.float64)
+    counts = df.groupBy(*keys).agg(F.max(index).alias("_top"))
+    rows = with_halo(df.join(counts, keys), index, size, half, half)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {out} double"
+
+    def mirrored(x: np.ndarray, missing: int) -> np.ndarray:
+        """`missing` values before x[0], oldest first."""
+        back = x[1 : missing + 1][::-1]
+        return np.concatenate([np.zeros(missing - len(back)), back])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(index)
+        x, at, top = table.column(value).to_numpy().astype(np.float64), table.column(index).to_numpy(), table.column("_top")[0].as_py()
+        own = ~table.column("halo").to_numpy(zero_copy_only=False)
+        left, right = max(0, half - int(at[own][0])) if own.any() else 0, max(0, int(at[own][-1]) + half - top) if own.any() else 0
+        whole = np.concatenate([mirrored(x, left), x, mirrored(x[::-1], right)[::-1]])
+        keep = np.flatnonzero(own & (at % factor == 0))
+        first = keep + left - half
+        y = np.lib.stride_tricks.sliding_window_view(whole, len(h))[first] @ h[::-1] if len(keep) else np.empty(0)
+        kept = table.take(pa.array(keep)).drop_columns(["block", "halo", "_top"])
+        return kept.append_column(out, pa.array(y, pa.float64()))
+
+    found = rows.groupBy(*keys, "block").applyInArrow(run, schema)
+    return found.withColumn(index, F.floor(F.col(index) / factor))
+
+
 def low_pass(taps: int, cutoff: float) -> list[float]:
     """Hamming-windowed sinc with the cutoff in cycles per sample; the weights sum to 1."""
     at = np.arange(taps) - (taps - 1) / 2
@@ -168,14 +200,16 @@ def filtered(df: DataFrame, keys: list[str], index: str, value: str, order: int,
     return rows.groupBy(*keys, "block").applyInArrow(run, schema)
 
 
-def prominent_peaks(df: DataFrame, keys: list[str], index: str, value: str, prominence: float, reach: int, distance: int) -> DataFrame:
+def prominent_peaks(df: DataFrame, keys: list[str], index: str, value: str, prominence: float, reach: int, distance: int, size: int = 100_000) -> DataFrame:
     """Local maxima that stand out by `prominence` over the higher of the lowest values on both sides, within `reach` samples.
 
     Sides end at a higher sample. Of peaks nearer than `distance` the higher one stays (ties to the earlier): a peak goes
     if a higher prominent peak is that near.
     """
-    w = Window.partitionBy(*keys).orderBy(index)
-    rows = df.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w), "_l": F.reverse(F.collect_list(value).over(w.rowsBetween(-reach, -1))), "_r": F.collect_list(value).over(w.rowsBetween(1, reach))})
+    w = Window.partitionBy(*keys, "block").orderBy(index)
+    rows = with_halo(df, index, size, reach, reach)
+    rows = rows.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w), "_l": F.reverse(F.collect_list(value).over(w.rowsBetween(-reach, -1))), "_r": F.collect_list(value).over(w.rowsBetween(1, reach))})
+    rows = rows.where(~F.col("halo")).drop("block", "halo")
     rows = rows.where((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b")))
 
     def base(side: str):
@@ -186,6 +220,7 @@ def prominent_peaks(df: DataFrame, keys: list[str], index: str, value: str, prom
         return low["low"]
 
     rows = rows.withColumn("prominence", F.col(value) - F.greatest(base("_l"), base("_r"))).where(F.col("prominence") >= prominence).drop("_a", "_b", "_l", "_r")
-    near = Window.partitionBy(*keys).orderBy(index).rangeBetween(-(distance - 1), distance - 1)
+    near = Window.partitionBy(*keys, "block").orderBy(index).rangeBetween(-(distance - 1), distance - 1)
     best = F.max(F.struct(F.col(value), -F.col(index))).over(near)
-    return rows.withColumn("_best", -best["col2"]).where(F.col("_best") == F.col(index)).drop("_best")
+    rows = with_halo(rows, index, size, distance - 1, distance - 1).withColumn("_best", -best["col2"])
+    return rows.where((F.col("_best") == F.col(index)) & ~F.col("halo")).drop("_best", "block", "halo")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.functions.scalars import match_score, pair_score, relative_difference, relative_error
+from signalframe.functions.scalars import match_score, relative_error
+from signalframe.operators.series import maxima_or_top
 
 
 def inventory(signals: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,31 +44,79 @@ def interval_join(measurements: DataFrame, windows: DataFrame, margin: float, bi
     return pairs.withColumns({"overlap": overlap(*ends), "gap": gap(*ends)})
 
 
-def ranked_pairs(left: DataFrame, right: DataFrame, k: int, most_rows: int = 10_000) -> DataFrame:
-    """The k best partners of each left row by similarity of frequency, duration, rate and strength.
+def peak_lists(spectra: DataFrame, reference: float, n: int, low: float, high: float, keys: list[str]) -> DataFrame:
+    """Of each series its n strongest local peaks with low <= frequency <= high and above 0: keys, peaks (array of rank, frequency, amplitude, strength, error).
 
-    Every pair is scored, so the right side must be small: it is a table of candidates, one row each, and is broadcast
-    only up to most_rows; a larger one is refused rather than joined without a key.
+    Strength is the amplitude in percent of the first peak's, error that of the frequency against the reference in percent. Where no bin stands out
+    the largest is the peak; equal amplitudes go by frequency.
     """
-    if right.limit(most_rows + 1).count() > most_rows:
-        raise ValueError(f"more than {most_rows} candidates; filter them first, for example with interval_join")
-    pairs = left.join(F.broadcast(right), F.lit(True))
-    floors = {"rate": 1e-6, "duration": 1e-6, "rms": 1e-9, "peak_to_peak": 1e-9}
-    pairs = pairs.withColumns({f"d_{c}": relative_difference(F.col(c), F.col(f"right_{c}"), floor) for c, floor in floors.items()})
-    score = pair_score({"d_rate": (0.55, 0.1), "d_duration": (0.15, 0.5), "d_rms": (0.2, 0.5), "d_peak_to_peak": (0.1, 0.5)})
-    pairs = pairs.withColumn("score", score)
-    w = Window.partitionBy("left_id").orderBy(F.desc(F.round("score", 9)), "right_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def window_counts(candidates: DataFrame, minutes: list[int]) -> DataFrame:
-    """For each margin the candidates within it, those that overlap, the smallest gap; margins include each other."""
-    spark = candidates.sparkSession
-    margins = spark.createDataFrame([(m,) for m in minutes], "minutes int")
-    near = F.col("gap") <= F.col("minutes") / 60
-    return candidates.join(F.broadcast(margins), F.lit(True)).groupBy("minutes").agg(
-        F.sum(near.cast("long")).alias("temporal"), F.sum((near & (F.col("overlap") > 0)).cast("long")).alias("simultaneous"), F.min(F.when(near, F.col("gap"))).alias("best_gap")
-    )
+    inside = spectra.where(F.col("frequency").between(low, high) & (F.col("frequency") > 0))
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.round("amplitude", 9)), "bin")
+    rows = maxima_or_top(inside, "amplitude", keys, "bin").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    fields = F.struct("rank", "frequency", "amplitude", relative_error(F.col("frequency"), F.lit(reference)).alias("error"))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_p"))
+    top = F.col("_p")[0]["amplitude"]
+    full = F.transform("_p", lambda p: F.struct(p["rank"].alias("rank"), p["frequency"].alias("frequency"), p["amplitude"].alias("amplitude"), F.when(top > 0, 100.0 * p["amplitude"] / top).alias("strength"), p["error"].alias("error")))
+    return lists.select(*keys, full.alias("peaks"))
+
+
+def measurements(signals: DataFrame, peaks: DataFrame, video: tuple[float, float], key: str = "source_id", axis: str = "axis") -> DataFrame:
+    """One row per recording: its extent against the video's interval, nested values of each axis, and the best axis and peak.
+
+    key, rows, start, end, duration, overlap, overlap_percent, gap, start_difference, end_difference; axes, an array by axis name of (axis, status, n, mean,
+    std, rms, low, high, span90, peaks); best_axis, best_frequency and best_error by the error of the axes' strongest peaks; any_axis, any_rank,
+    any_frequency, any_strength and any_error by that of all peaks. Equal errors go by axis, then rank. One grouping by axis and one by recording.
+    """
+    v, start, end = F.col("value"), F.lit(float(video[0])), F.lit(float(video[1]))
+    by_axis = signals.groupBy(key, axis).agg(
+        F.count("*").alias("n"), F.min("t").alias("_s"), F.max("t").alias("_e"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.sqrt(F.avg(v * v)).alias("rms"), F.min(v).alias("low"), F.max(v).alias("high"),
+        F.percentile(v, F.array(F.lit(0.05), F.lit(0.95))).alias("_q"),
+    )
+    rows = by_axis.join(peaks, [key, axis], "left").withColumn("status", F.when(F.size("peaks") > 0, "ok").otherwise("no_peaks"))
+    nested = F.struct(F.col(axis).alias("axis"), "status", "n", "mean", "std", "rms", "low", "high", (F.col("_q")[1] - F.col("_q")[0]).alias("span90"), "peaks")
+    out = rows.groupBy(key).agg(F.sum("n").alias("rows"), F.min("_s").alias("start"), F.max("_e").alias("end"), F.array_sort(F.collect_list(nested)).alias("axes"))
+    ends = (F.col("start"), F.col("end"), start, end)
+    out = out.withColumns({
+        "duration": F.col("end") - F.col("start"), "overlap": overlap(*ends), "gap": F.when(overlap(*ends) > 0, 0.0).otherwise(gap(*ends)),
+        "start_difference": F.col("start") - start, "end_difference": F.col("end") - end,
+    }).withColumn("overlap_percent", 100.0 * F.col("overlap") / F.greatest(end - start, F.lit(1e-12)))
+    every = F.flatten(F.transform("axes", lambda x: F.transform(F.coalesce(x["peaks"], F.array()), lambda p: F.struct(F.round(p["error"], 9).alias("by"), x["axis"].alias("axis"), p["rank"].alias("rank"), p["frequency"].alias("frequency"), p["strength"].alias("strength"), p["error"].alias("error")))))
+    out = out.withColumn("_all", F.filter(every, lambda p: p["error"].isNotNull()))
+    out = out.withColumns({"_any": F.array_min("_all"), "_best": F.array_min(F.filter("_all", lambda p: p["rank"] == 1))})
+    best = {"best_axis": "_best.axis", "best_frequency": "_best.frequency", "best_error": "_best.error", **{f"any_{c}": f"_any.{c}" for c in ("axis", "rank", "frequency", "strength", "error")}}
+    return out.withColumns({name: F.col(c) for name, c in best.items()}).drop("_all", "_any", "_best")
+
+
+def within(margin: Column) -> Column:
+    """Whether a measurement overlaps the video or is at most `margin` away."""
+    return (F.col("overlap") > 0) | (F.col("gap") <= margin)
+
+
+def window_counts(found: DataFrame, margins: list[float], threshold: float) -> DataFrame:
+    """For each margin of time, which include each other: measurements within it (temporal), those of them with a peak at most `threshold` percent off
+    (simultaneous), the smallest gap of the first and the smallest error of the second."""
+    near, alike = within(F.col("margin")), F.col("any_error") <= threshold
+    rows = found.withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins])))
+    return rows.groupBy("margin").agg(F.count_if(near).alias("temporal"), F.count_if(near & alike).alias("simultaneous"), F.min(F.when(near, F.col("gap"))).alias("best_gap"), F.min(F.when(near & alike, F.col("any_error"))).alias("best_error"))
+
+
+def search_summary(found: DataFrame, margin: float, margins: list[float], threshold: float) -> DataFrame:
+    """One row: measurements, those in time, with a good strongest peak, with any good peak, and with both within the margin; and what follows.
+
+    Where none has both, the margins are walked upwards: the first with a match, its matches, and the last margin with one. The conclusion is
+    "matched", "exploratory" (matches within wider margins only) or "none".
+    """
+    near, alike = within(F.lit(float(margin))), F.col("any_error") <= threshold
+    one = found.agg(F.count("*").alias("measurements"), F.count_if(near).alias("temporal"), F.count_if(F.col("best_error") <= threshold).alias("dominant"), F.count_if(alike).alias("any_peak"), F.count_if(near & alike).alias("simultaneous"))
+    steps = window_counts(found, margins, threshold).where("simultaneous > 0").agg(F.min(F.struct("margin", "simultaneous")).alias("_first"), F.max(F.struct("margin", "simultaneous")).alias("_last"))
+    both = one.withColumn("_k", F.lit(1)).join(steps.withColumn("_k", F.lit(1)), "_k")
+    direct = F.col("simultaneous") > 0
+    return both.select(
+        "measurements", "temporal", "dominant", "any_peak", "simultaneous",
+        F.when(direct, F.lit(float(margin))).otherwise(F.col("_first.margin")).alias("earliest_margin"), F.when(direct, F.col("simultaneous")).otherwise(F.coalesce("_first.simultaneous", F.lit(0))).alias("earliest_count"),
+        F.when(~direct, F.col("_last.margin")).alias("widest_margin"), F.when(~direct, F.col("_last.simultaneous")).alias("widest_count"),
+        F.when(direct, "matched").when(F.col("_first").isNotNull(), "exploratory").otherwise("none").alias("conclusion"),
+    )
 
 
 def scored(candidates: DataFrame, reference: float) -> DataFrame:

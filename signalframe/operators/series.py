@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.scalars import finite
+from signalframe.operators.blocks import exponential_mean, last_so_far, neighbours, numbered, with_halo
+from signalframe.operators.filtering import filtered
 
 KEYS = ["source_id", "axis"]
 
@@ -19,19 +21,21 @@ def along(keys: list[str] = KEYS, order: str = "idx"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def clean(signals: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Finite samples, first one of each time, numbered from 0."""
+def clean(signals: DataFrame, keys: list[str] = KEYS, span: float = 3600.0) -> DataFrame:
+    """Finite samples, first one of each time, numbered from 0 in slices of `span` of time."""
     rows = signals.where(finite(F.col("t")) & finite(F.col("value")))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "t").orderBy("idx"))).where("_n = 1").drop("_n")
-    return rows.withColumn("idx", F.row_number().over(along(keys, "t")) - 1)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "t").orderBy("idx"))).where("_n = 1").drop("_n", "idx")
+    return numbered(rows, keys, "t", "idx", span)
 
 
 def relative_time(signals: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    return signals.withColumn("t", F.col("t") - F.min("t").over(Window.partitionBy(*keys)))
+    starts = signals.groupBy(*keys).agg(F.min("t").alias("_start"))
+    return signals.join(starts, keys).withColumn("t", F.col("t") - F.col("_start")).drop("_start")
 
 
-def differences(signals: DataFrame) -> DataFrame:
-    return signals.withColumns({"dt": F.col("t") - F.lag("t").over(along()), "dv": F.col("value") - F.lag("value").over(along())})
+def differences(signals: DataFrame, keys: list[str] = KEYS, size: int = 100_000) -> DataFrame:
+    rows = neighbours(signals, keys, "idx", {"_t": ("t", -1), "_v": ("value", -1)}, size)
+    return rows.withColumns({"dt": F.col("t") - F.col("_t"), "dv": F.col("value") - F.col("_v")}).drop("_t", "_v")
 
 
 def rates(signals: DataFrame) -> DataFrame:
@@ -41,42 +45,31 @@ def rates(signals: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("step") > 0, 1 / F.col("step")))
 
 
-def gradient(signals: DataFrame, out: str = "slope", value: str = "value") -> DataFrame:
-    """Central differences on uneven times, one-sided at the ends."""
-    w = along()
-    before, after = F.lag("t").over(w), F.lead("t").over(w)
-    low, high = F.lag(value).over(w), F.lead(value).over(w)
-    h, k = F.col("t") - before, after - F.col("t")
-    v = F.col(value)
-    inner = (h * h * high + (k * k - h * h) * v - k * k * low) / (h * k * (h + k))
-    return signals.withColumn(out, F.when(before.isNull(), (high - v) / k).when(after.isNull(), (v - low) / h).otherwise(inner))
+def gradient(signals: DataFrame, out: str = "slope", value: str = "value", keys: list[str] = KEYS, size: int = 100_000) -> DataFrame:
+    """Central differences on uneven times, one-sided at the ends; null where times repeat."""
+    rows = neighbours(signals, keys, "idx", {"_a": ("t", -1), "_b": ("t", 1), "_low": (value, -1), "_high": (value, 1)}, size)
+    h, k, v, low, high = F.col("t") - F.col("_a"), F.col("_b") - F.col("t"), F.col(value), F.col("_low"), F.col("_high")
+    ratio = lambda a, b: F.when(b != 0, a / b)
+    inner = ratio(h * h * high + (k * k - h * h) * v - k * k * low, h * k * (h + k))
+    return rows.withColumn(out, F.when(F.col("_a").isNull(), ratio(high - v, k)).when(F.col("_b").isNull(), ratio(v - low, h)).otherwise(inner)).drop("_a", "_b", "_low", "_high")
 
 
-def ema_weights(alpha: float, epsilon: float = 1e-9) -> int:
-    """How many past samples an exponential mean needs so that the rest weighs less than epsilon."""
-    return math.ceil(math.log(epsilon) / math.log(1 - alpha))
+def ema(signals: DataFrame, alpha: float, out: str = "ema", keys: list[str] = KEYS, size: int = 100_000) -> DataFrame:
+    """Exponential moving average seeded with the first value."""
+    return exponential_mean(signals, keys, "idx", "value", alpha, out, size)
 
 
-def ema(signals: DataFrame, alpha: float, out: str = "ema") -> DataFrame:
-    """Exponential moving average seeded with the first value, from a bounded number of past samples."""
-    k = ema_weights(alpha)
-    past = F.collect_list("value").over(along().rowsBetween(-k, 0))
-    rows = signals.withColumn("_past", past)
-    total = F.aggregate(F.expr("slice(_past, 2, size(_past))"), F.get("_past", F.lit(0)), lambda a, v: (1 - alpha) * a + alpha * v)
-    return rows.withColumn(out, total).drop("_past")
-
-
-def weighted_window(signals: DataFrame, weights: Sequence[float], out: str, keys: list[str] = KEYS) -> DataFrame:
+def weighted_window(signals: DataFrame, weights: Sequence[float], out: str, keys: list[str] = KEYS, size: int = 100_000) -> DataFrame:
     """Dot product of centred weights with each sample's neighbours; the end values repeat beyond the ends."""
     half = len(weights) // 2
-    w = along(keys)
-    first, last = F.first("value").over(Window.partitionBy(*keys).orderBy("idx")), F.last("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    w = Window.partitionBy(*keys, "block").orderBy("idx")
+    ends = signals.groupBy(*keys).agg(F.min_by("value", "idx").alias("_first"), F.max_by("value", "idx").alias("_last"))
     total = F.lit(0.0)
     for i, c in enumerate(weights):
         step = i - half
-        beyond = first if step < 0 else last
-        total = total + c * (F.coalesce(F.lag("value", -step).over(w) if step < 0 else F.lead("value", step).over(w), beyond) if step else F.col("value"))
-    return signals.withColumn(out, total)
+        total = total + c * (F.coalesce(F.lag("value", -step).over(w), "_first") if step < 0 else F.coalesce(F.lead("value", step).over(w), "_last") if step else F.col("value"))
+    rows = with_halo(signals.join(ends, keys), "idx", size, half, half)
+    return rows.withColumn(out, total).where(~F.col("halo")).drop("block", "halo", "_first", "_last")
 
 
 def gaussian(sigma: float, reach: float = 4.0) -> list[float]:
@@ -87,15 +80,13 @@ def gaussian(sigma: float, reach: float = 4.0) -> list[float]:
 
 def zscore(signals: DataFrame, keys: list[str] = KEYS, out: str = "z") -> DataFrame:
     """Standard score with the population deviation; a constant series stays as it is."""
-    w = Window.partitionBy(*keys)
-    spread = F.stddev_pop("value").over(w)
-    return signals.withColumn(out, F.when(spread > 0, (F.col("value") - F.avg("value").over(w)) / spread).otherwise(F.col("value")))
+    whole = signals.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    return signals.join(whole, keys).withColumn(out, F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.col("value"))).drop("_m", "_s")
 
 
 def minmax(signals: DataFrame, keys: list[str] = KEYS, out: str = "unit") -> DataFrame:
-    w = Window.partitionBy(*keys)
-    low, high = F.min("value").over(w), F.max("value").over(w)
-    return signals.withColumn(out, F.when(high > low, (F.col("value") - low) / (high - low)).otherwise(F.col("value")))
+    whole = signals.groupBy(*keys).agg(F.min("value").alias("_a"), F.max("value").alias("_b"))
+    return signals.join(whole, keys).withColumn(out, F.when(F.col("_b") > F.col("_a"), (F.col("value") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(F.col("value"))).drop("_a", "_b")
 
 
 def robust(signals: DataFrame, keys: list[str] = KEYS, out: str = "robust") -> DataFrame:
@@ -123,28 +114,26 @@ def statistics(signals: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return out.withColumns({"span90": F.col("_q")[1] - F.col("_q")[0], "amplitude": (F.col("_q")[1] - F.col("_q")[0]) / 2}).drop("_q")
 
 
-def local_maxima(signals: DataFrame, value: str = "value", keys: list[str] = KEYS, order: str = "idx") -> DataFrame:
-    """Samples strictly greater than the one before and not less than the one after."""
-    w = along(keys, order)
-    return signals.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)}).where((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b")
+def local_maxima(signals: DataFrame, value: str = "value", keys: list[str] = KEYS, order: str = "idx", size: int = 100_000) -> DataFrame:
+    """Samples strictly greater than the one before and not less than the one after; `order` is dense."""
+    rows = neighbours(signals, keys, order, {"_a": (value, -1), "_b": (value, 1)}, size)
+    return rows.where((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b")
 
 
-def maxima_or_top(signals: DataFrame, value: str = "value", keys: list[str] = KEYS, order: str = "idx") -> DataFrame:
+def maxima_or_top(signals: DataFrame, value: str = "value", keys: list[str] = KEYS, order: str = "idx", size: int = 100_000) -> DataFrame:
     """The local maxima; of a series that has none (constant, monotonic or under three samples), its first largest sample."""
-    w = along(keys, order)
-    rows = signals.withColumns({"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)})
+    rows = neighbours(signals, keys, order, {"_a": (value, -1), "_b": (value, 1)}, size)
     rows = rows.withColumn("_peak", F.coalesce((F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b")), F.lit(False)))
     tops = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.max("_peak").alias("_any"), F.max_by(order, F.struct(value, -F.col(order))).alias("_top"))
     return rows.join(tops, keys).where(F.col("_peak") | (~F.col("_any") & (F.col(order) == F.col("_top")))).drop("_a", "_b", "_peak", "_any", "_top")
 
 
-def resampled(signals: DataFrame, step: float, keys: list[str] = KEYS) -> DataFrame:
+def resampled(signals: DataFrame, step: float, keys: list[str] = KEYS, size: int = 100_000) -> DataFrame:
     """Linear values at the times k * step, k a whole number, within each series; the last sample's own time is left out.
 
-    Each sample makes the grid points up to the next one, so there is neither a join nor a shuffle beyond the window.
+    Each sample makes the grid points up to the next one, so there is neither a join nor a shuffle beyond the window over blocks.
     """
-    w = along(keys)
-    rows = signals.withColumns({"_t": F.lead("t").over(w), "_v": F.lead("value").over(w)}).where("_t > t")
+    rows = neighbours(signals, keys, "idx", {"_t": ("t", 1), "_v": ("value", 1)}, size).where("_t > t")
     first, last = F.ceil(F.col("t") / step), F.ceil(F.col("_t") / step) - 1
     rows = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
     share = (F.col("k") * step - F.col("t")) / (F.col("_t") - F.col("t"))
@@ -157,8 +146,7 @@ def common_grid(signals: DataFrame, left: str, right: str, key: str = "source_id
     The grid starts at the later start, ends by the earlier end and has the smaller of the two rates (one over the median
     positive step); sources with fewer than three grid points fall away.
     """
-    w = along([key, "axis"])
-    rows = signals.where(F.col("axis").isin(left, right)).withColumns({"_t": F.lead("t").over(w), "_v": F.lead("value").over(w)})
+    rows = neighbours(signals.where(F.col("axis").isin(left, right)), [key, "axis"], "idx", {"_t": ("t", 1), "_v": ("value", 1)})
     step = F.col("_t") - F.col("t")
     sides = rows.groupBy(key, "axis").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.percentile(F.when(step > 0, step), F.lit(0.5)).alias("step"))
     both = sides.groupBy(key).agg(F.max("start").alias("_start"), F.min("end").alias("_end"), (1 / F.max("step")).alias("_rate"), F.count("step").alias("_sides"))
@@ -187,14 +175,14 @@ def axis_pairs(grid: DataFrame, key: str = "source_id") -> DataFrame:
 
 
 def normalised_envelope(grid: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Values (k, value) divided by the median of the first 5 % of their series, of three at least; where that is none, by the largest."""
-    w = Window.partitionBy(*keys)
-    rows = grid.withColumns({"_i": F.row_number().over(w.orderBy("k")), "_n": F.count("*").over(w)})
-    first = F.when(F.col("_i") <= F.greatest(F.lit(3.0), F.bround(0.05 * F.col("_n"), 0)), F.col("value"))
-    scale = rows.groupBy(*keys).agg(F.percentile(first, F.lit(0.5)).alias("_s"), F.max(F.abs("value")).alias("_top"))
+    """Values (k, value; k dense) divided by the median of the first 5 % of their series, of three at least; where that is none, by the largest."""
+    whole = grid.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("k").alias("_k"), F.max(F.abs("value")).alias("_top"))
+    rows = grid.join(whole, keys)
+    first = rows.where(F.col("k") - F.col("_k") + 1 <= F.greatest(F.lit(3.0), F.bround(0.05 * F.col("_n"), 0)))
+    scale = first.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("_s"))
     eps = 2.220446049250313e-16
     by = F.when(F.col("_s") > eps, F.col("_s")).when(F.col("_top") > eps, F.col("_top"))
-    return rows.join(scale, keys).withColumn("value", F.col("value") / by).drop("_i", "_n", "_s", "_top")
+    return rows.join(scale, keys).withColumn("value", F.col("value") / by).drop("_k", "_n", "_s", "_top")
 
 
 def pair_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -254,10 +242,9 @@ def decimated(signals: DataFrame, every: int) -> DataFrame:
     return signals.where(F.col("idx") % every == 0)
 
 
-def hold_last(df: DataFrame, keys: list[str], order: str, ok: Column, columns: list[str]) -> DataFrame:
+def hold_last(df: DataFrame, keys: list[str], order: str, ok: Column, columns: list[str], size: int = 100_000) -> DataFrame:
     """The last values that were ok, up to each row."""
-    w = along(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"held_{c}": F.last(F.when(ok, F.col(c)), ignorenulls=True).over(w) for c in columns})
+    return last_so_far(df, keys, order, {f"held_{c}": F.when(ok, F.col(c)) for c in columns}, size)
 
 
 def decay_start(envelopes: DataFrame, fraction: float, keys: list[str] = KEYS) -> DataFrame:
@@ -269,7 +256,7 @@ def decay_start(envelopes: DataFrame, fraction: float, keys: list[str] = KEYS) -
 
 def decay_fit(envelopes: DataFrame, keys: list[str] = KEYS, low: float = 0.08, high: float = 0.98) -> DataFrame:
     """Exponential decay by a line through the logarithms of values within [low, high] of the largest: rate, time constant, R squared."""
-    rows = envelopes.withColumn("_top", F.max("value").over(Window.partitionBy(*keys))).where((F.col("value") > 0) & F.col("value").between(low * F.col("_top"), high * F.col("_top")))
+    rows = envelopes.join(envelopes.groupBy(*keys).agg(F.max("value").alias("_top")), keys).where((F.col("value") > 0) & F.col("value").between(low * F.col("_top"), high * F.col("_top")))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(F.ln("value"), F.col("t")).alias("slope"), F.regr_r2(F.ln("value"), F.col("t")).alias("r2"))
     return out.withColumn("tau", F.when(F.col("slope") < 0, -1 / F.col("slope")))
 
@@ -312,3 +299,18 @@ def standardised_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     e = F.col("b") - F.col("a")
     out = rows.groupBy(*keys, "n", "rms_a", "rms_b").agg(F.avg(F.col("a") * F.col("b")).alias("pearson"), F.sqrt(F.avg(e * e)).alias("rmse_z"), F.avg(F.abs(e)).alias("mae_z"))
     return out.withColumn("abs_pearson", F.abs("pearson"))
+
+
+def band_limited_metrics(pairs: DataFrame, keys: list[str], order: int, low: float, high: float, max_lag: int, trim: int) -> DataFrame:
+    """Of a and b (k dense) after the same zero-phase band-pass (cutoffs in cycles per step): the lag of the largest absolute correlation within max_lag, and on the
+    samples aligned by it the number, the band's root mean squares and the standardised metrics.
+
+    `trim` samples at both ends of each series, where the filter still swings in, are left out before the lag is looked for.
+    """
+    ends = pairs.groupBy(*keys).agg(F.min("k").alias("_a"), F.max("k").alias("_b"))
+    rows = pairs.join(ends, keys).select(*keys, (F.col("k") - F.col("_a")).cast("long").alias("k"), (F.col("_b") - F.col("_a")).alias("_top"), *[F.col(c).cast("double").alias(c) for c in "ab"])
+    rows = filtered(filtered(rows, keys, "k", "a", order, low, high, "_fa"), keys, "k", "b", order, low, high, "_fb")
+    rows = rows.where((F.col("k") >= trim) & (F.col("k") <= F.col("_top") - trim)).select(*keys, "k", F.col("_fa").alias("a"), F.col("_fb").alias("b"))
+    lags = best_lag(lag_products(rows, keys, max_lag), keys, signed=False)
+    found = standardised_metrics(aligned(rows, lags, keys), keys)
+    return found.join(lags.select(*keys, "lag", F.col("r").alias("peak")), keys)

@@ -13,27 +13,15 @@ from pyspark.sql import functions as F
 KEYS = ["source_id", "axis"]
 
 
-def angle(k: Column, i: Column, n: Column) -> Column:
-    """2 pi k i / n with the product reduced first, so that long series keep their precision."""
-    return 2 * math.pi * F.pmod(k * i, n) / n
-
-
-def window_weight(kind: str, i: Column, n: Column) -> Column:
-    """Hann window: periodic (over n) or symmetric (over n - 1), or none."""
-    if kind == "none":
-        return F.lit(1.0)
-    return 0.5 - 0.5 * F.cos(2 * math.pi * i / (n if kind == "periodic" else F.greatest(n - 1, F.lit(1))))
-
-
 def hann(kind: str, i: np.ndarray, n: int) -> np.ndarray:
-    """window_weight for an array of places."""
+    """Hann window: periodic (over n) or symmetric (over n - 1), or none."""
     return np.ones(len(i)) if kind == "none" else 0.5 - 0.5 * np.cos(2 * math.pi * i / (n if kind == "periodic" else max(n - 1, 1)))
 
 
 def prepared(grid: DataFrame, keys: list[str] = KEYS, detrend: str = "mean") -> DataFrame:
     """Samples i = 0 .. n - 1 of each uniform series (k, value) without their mean or linear trend."""
-    w = Window.partitionBy(*keys)
-    rows = grid.withColumns({"n": F.count("*").over(w), "i": F.col("k") - F.min("k").over(w), "_m": F.avg("value").over(w)})
+    whole = grid.groupBy(*keys).agg(F.count("*").alias("n"), F.min("k").alias("_k"), F.avg("value").alias("_m"))
+    rows = grid.join(whole, keys).withColumn("i", F.col("k") - F.col("_k")).drop("_k")
     if detrend == "mean":
         return rows.withColumn("x", F.col("value") - F.col("_m")).drop("_m")
     line = rows.groupBy(*keys).agg(F.regr_slope("value", "i").alias("_s"), F.regr_intercept("value", "i").alias("_c"))
@@ -43,7 +31,7 @@ def prepared(grid: DataFrame, keys: list[str] = KEYS, detrend: str = "mean") ->
 def spectrum(rows: DataFrame, step: float, low: float, high: float, kind: str = "periodic", keys: list[str] = KEYS) -> DataFrame:
     """Single-sided amplitudes of the bins with low <= frequency <= high: bin, frequency, amplitude, power.
 
-    The window's mean is divided out; bins other than 0 and the last of an even series count twice. Each batch of samples
+    The window's mean is divided out; bins other than 0 and the last of an even series (with the symmetric window, of any series) count twice. Each batch of samples
     gives partial sums of its series' wanted bins where it is; these are summed up by bin, so a long series is no one task's.
     """
     kinds = dict(rows.dtypes)
@@ -72,7 +60,7 @@ def spectrum(rows: DataFrame, step: float, low: float, high: float, kind: str =
     n = F.col("n")
     parts = rows.select(*names, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")).where("x is not null").mapInArrow(run, schema)
     sums = parts.groupBy(*names, "bin").agg(*[F.sum(c).alias(c) for c in ("re", "im", "weight")])
-    single = (F.col("bin") == 0) | (2 * F.col("bin") == n)
+    single = (F.col("bin") == 0) | ((F.col("bin") == F.floor(n / 2)) if kind == "symmetric" else (2 * F.col("bin") == n))
     amplitude = F.hypot("re", "im") / F.col("weight") * F.when(single, 1.0).otherwise(2.0)
     return sums.select(*keys, "n", "bin", (F.col("bin") / (n * step)).alias("frequency"), amplitude.alias("amplitude"), (amplitude * amplitude).alias("power"))
 
@@ -121,31 +109,57 @@ def harmonics(spectra: DataFrame, base: float, orders: int, width: float, nyquis
     return rows.groupBy(*keys, "harmonic").agg(F.max_by(F.struct("frequency", "amplitude"), best).alias("_d")).select(*keys, "harmonic", "_d.*")
 
 
-def segments(pairs: DataFrame, length: int, keys: list[str]) -> DataFrame:
-    """Samples (k, a, b) of half-overlapping segments of `length` samples, numbered within the segment; only full segments."""
+#: A power this small beside the uncentred one is rounding: the segment is flat.
+FLAT = 1e-24
+
+
+def welch(pairs: DataFrame, length: int, keys: list[str], together: int = 32) -> DataFrame:
+    """Sums over the segments of each series of |A|^2, |B|^2, Re and Im of A B* by bin 1 .. length / 2: keys, bin, segments, aa, bb, re, im, ea, eb.
+
+    Segments of `length` samples (k, a, b) overlap by half, start at the series' first k and are taken only where all samples are there; each is centred,
+    given a periodic Hann window and transformed by an FFT. ea and eb are the uncentred powers. A task holds the samples of `together`
+    segment starts and returns one row a bin, so neither samples nor segments are multiplied by bins.
+    """
     step = length // 2
-    w = Window.partitionBy(*keys)
-    rows = pairs.withColumn("i", F.col("k") - F.min("k").over(w))
-    last = F.floor(F.col("i") / step)
-    rows = rows.withColumn("segment", F.explode(F.array(last - 1, last))).where("segment >= 0").withColumn("j", F.col("i") - F.col("segment") * step)
-    whole = Window.partitionBy(*keys, "segment")
-    return rows.withColumn("_n", F.count("*").over(whole)).where(F.col("_n") == length).drop("_n")
+    size = together * step
+    kinds = dict(pairs.dtypes)
+    starts = pairs.groupBy(*keys).agg(F.min("k").alias("_k"))
+    rows = pairs.join(starts, keys).select(*keys, (F.col("k") - F.col("_k")).cast("long").alias("i"), *[F.col(c).cast("double").alias(c) for c in "ab"])
+    rows = rows.where("a is not null and b is not null")
+    window = hann("periodic", np.arange(length), length)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i = table.column("i").to_numpy() - key[-1].as_py() * size
+        x = np.zeros((2, size + length))
+        there = np.zeros(size + length, bool)
+        there[i] = True
+        x[0, i], x[1, i] = table.column("a").to_numpy(), table.column("b").to_numpy()
+        full = np.cumsum(np.append(0, there))
+        first = np.arange(0, size, step)
+        first = first[full[first + length] - full[first] == length]
+        cut = x[:, first[:, None] + np.arange(length)]
+        a, b = np.fft.rfft((cut - cut.mean(2, keepdims=True)) * window)[:, :, 1:]
+        cross = (a * b.conj()).sum(0)
+        bins, n = a.shape[1], len(first)
+        columns = {c: pa.repeat(v, bins) for c, v in zip(keys, key[:-1], strict=True)} | {"bin": pa.array(np.arange(1, bins + 1)), "segments": pa.array(np.full(bins, n))}
+        energy = (cut**2).sum((1, 2))
+        sums = {"aa": (abs(a) ** 2).sum(0), "bb": (abs(b) ** 2).sum(0), "re": cross.real, "im": cross.imag, "ea": np.full(bins, energy[0]), "eb": np.full(bins, energy[1])}
+        return pa.table(columns | {c: pa.array(v, pa.float64()) for c, v in sums.items()}).slice(0, bins if n else 0)
+
+    blocks = F.array_distinct(F.array(F.floor(F.col("i") / size), F.greatest(F.floor((F.col("i") - length + 1) / size), F.lit(0))))
+    names = ["segments", "aa", "bb", "re", "im", "ea", "eb"]
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "bin long, segments long", *[f"{c} double" for c in names[1:]]])
+    parts = rows.withColumn("_block", F.explode(blocks)).groupBy(*keys, "_block").applyInArrow(run, schema)
+    return parts.groupBy(*keys, F.col("bin").cast("int").alias("bin")).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def coherence(pairs: DataFrame, length: int, step: float, keys: list[str]) -> DataFrame:
-    """Power densities and magnitude-squared coherence of a and b, averaged over Hann-windowed, centred segments."""
-    rows = segments(pairs, length, keys)
-    w = Window.partitionBy(*keys, "segment")
-    rows = rows.withColumns({c: (F.col(c) - F.avg(c).over(w)) * window_weight("periodic", F.col("j"), F.lit(length)) for c in "ab"})
-    wide = rows.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(length // 2))))
-    turn = angle(F.col("bin"), F.col("j"), F.lit(length))
-    parts = wide.groupBy(*keys, "segment", "bin").agg(*[F.sum(F.col(c) * f(turn)).alias(f"{c}{p}") for c in "ab" for p, f in (("c", F.cos), ("s", F.sin))])
-    ac, as_, bc, bs = (F.col(c) for c in ("ac", "as", "bc", "bs"))
-    out = parts.groupBy(*keys, "bin").agg(F.count("*").alias("segments"), F.avg(ac * ac + as_ * as_).alias("_aa"), F.avg(bc * bc + bs * bs).alias("_bb"), F.avg(ac * bc + as_ * bs).alias("_re"), F.avg(as_ * bc - ac * bs).alias("_im"))
+    """Power densities and magnitude-squared coherence of a and b, averaged over Hann-windowed, centred segments; flat sides have no power and no coherence."""
+    sums = welch(pairs, length, keys)
+    aa, bb = (F.when(F.col(p) > FLAT * length * F.col(e), F.col(p)).otherwise(0.0) for p, e in (("aa", "ea"), ("bb", "eb")))
     energy = length * 3 / 8  # of the squared periodic Hann window
-    density = lambda c: F.col(c) * step / energy * F.when(2 * F.col("bin") == length, 1.0).otherwise(2.0)
-    both = F.col("_aa") * F.col("_bb")
-    return out.select(*keys, "bin", "segments", (F.col("bin") / (length * step)).alias("frequency"), density("_aa").alias("psd_a"), density("_bb").alias("psd_b"), F.when(both > 0, (F.col("_re") ** 2 + F.col("_im") ** 2) / both).alias("coherence"))
+    density = lambda p: p / F.col("segments") * step / energy * F.when(2 * F.col("bin") == length, 1.0).otherwise(2.0)
+    return sums.select(*keys, "bin", "segments", (F.col("bin") / (length * step)).alias("frequency"), density(aa).alias("psd_a"), density(bb).alias("psd_b"), F.when((aa > 0) & (bb > 0), (F.col("re") ** 2 + F.col("im") ** 2) / (aa * bb)).alias("coherence"))
 
 
 def coherence_summary(curve: DataFrame, target: float, near: float, low: float, high: float, keys: list[str]) -> DataFrame:
@@ -158,6 +172,16 @@ def coherence_summary(curve: DataFrame, target: float, near: float, low: float,
     )
 
 
+def dominant_densities(curve: DataFrame, low: float, high: float, keys: list[str]) -> DataFrame:
+    """Where a and b have their largest densities in the band and how far apart these are (also in percent of a's), and where the coherence is largest; ties to the lower bin."""
+    f = F.col("frequency")
+    at = lambda c: F.max_by(f, F.when(F.col(c).isNotNull(), F.struct(F.round(c, 9), -F.col("bin"))))
+    top = lambda c: F.max(c)
+    out = curve.where(f.between(low, high)).groupBy(*keys).agg(at("psd_a").alias("dominant_a"), top("psd_a").alias("density_a"), at("psd_b").alias("dominant_b"), top("psd_b").alias("density_b"), at("coherence").alias("coherent_at"))
+    apart = F.abs(F.col("dominant_b") - F.col("dominant_a"))
+    return out.withColumns({"difference": apart, "difference_percent": F.when(F.abs("dominant_a") > 1e-12, 100.0 * apart / F.abs("dominant_a"))})
+
+
 def against_reference(found: DataFrame, reference: str, within: float) -> DataFrame:
     """Each harmonic of the reference axis beside that of every other axis of its source: error in percent, observable, preserved (within that error)."""
     rows = found.select("source_id", "axis", "harmonic", "amplitude")

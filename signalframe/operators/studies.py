@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalframe.functions.scalars import relative_error
 from signalframe.operators.blocks import cumulative
+from signalframe.operators.filtering import decimated_low_pass, low_pass
 from signalframe.operators.series import resampled
 from signalframe.operators.spectral import dominant, prepared, spectrum
 
@@ -82,6 +84,27 @@ def downsampled_dominant(grid: DataFrame, factors: list[int], step: float, keys:
     return found.withColumn("difference", F.col("dominant") - reference)
 
 
+def anti_aliased(grid: DataFrame, factors: list[int], step: float, within: float, taps: int = 101, share: float = 0.9, keys: list[str] = KEYS) -> DataFrame:
+    """As downsampled_dominant, but filtered below share of the new Nyquist frequency before samples are left out, with the relative errors in percent of
+    dominant frequency and amplitude ((q95 - q05) / 2) against factor 1, and whether each is at most `within`. Series k are dense."""
+    starts = grid.groupBy(*keys).agg(F.min("k").alias("_k"))
+    rows = grid.join(starts, keys).select(*keys, (F.col("k") - F.col("_k")).alias("k"), F.col("value").cast("double").alias("value"))
+    thinned = None
+    for f in factors:
+        one = rows if f == 1 else decimated_low_pass(rows, keys, "k", "value", low_pass(taps, share / (2 * f)), f, "_y").withColumn("value", F.col("_y")).drop("_y")
+        one = one.select(*keys, F.lit(f).alias("factor"), "k", "value")
+        thinned = one if thinned is None else thinned.unionByName(one)
+    names = [*keys, "factor"]
+    samples = prepared(thinned, names).where("n >= 3")
+    amplitudes = samples.groupBy(*names).agg(F.first("n").alias("n"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
+    found = amplitudes.join(dominant(spectrum(samples, 1.0, 0.0, 0.5, keys=names), names).select(*names, "frequency"), names, "left")
+    rate = 1 / (step * F.col("factor"))
+    found = found.select(*names, "n", rate.alias("rate"), (F.col("frequency") * rate).alias("dominant"), ((F.col("_q")[1] - F.col("_q")[0]) / 2).alias("amplitude"))
+    base = found.where("factor = 1").select(*keys, F.col("dominant").alias("_f"), F.col("amplitude").alias("_a"))
+    found = found.join(base, keys, "left").withColumns({"frequency_error": relative_error(F.col("dominant"), F.col("_f")), "amplitude_error": relative_error(F.col("amplitude"), F.col("_a"))})
+    return found.withColumns({"frequency_ok": F.coalesce(F.col("frequency_error") <= within, F.lit(False)), "amplitude_ok": F.coalesce(F.col("amplitude_error") <= within, F.lit(False)), "below_nyquist": F.coalesce(F.col("_f") < F.col("rate") / 2, F.lit(False))}).drop("_f", "_a")
+
+
 #: Fixed names of the columns of a segmentation result that are signals.
 SEGMENTATION = ("inner_pipe_center_y", "inner_pipe_center_x", "bed_edge_y", "bed_edge_y_smooth", "particle_bed_center_y", "particle_bed_center_x", "bed_center_y", "bed_center_x")
 

@@ -16,16 +16,11 @@ def archive(spark, sf):
     return matching.inventory(signals(spark, sf), ["source_id", "axis"])
 
 
+AXES = ("click", "error", "purchase", "signup", "view")
 INVENTORY = """inventory AS (SELECT source_id, axis, count(*) AS rows, min(t) AS start, max(t) AS "end", stddev_pop(value) AS std, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS peak_to_peak,
   max(t) - min(t) AS duration, 1 / quantile_cont(d, 0.5) FILTER (d > 0) AS rate FROM (SELECT *, t - lag(t) OVER (PARTITION BY source_id, axis ORDER BY t, idx) AS d FROM signals) GROUP BY 1, 2)"""
 INTERVALS = """near AS (SELECT * FROM (SELECT source_id, axis, window_id, greatest(0, least("end", window_end) - greatest(start, window_start)) AS overlap, greatest(0, window_start - "end", start - window_end) AS gap
   FROM inventory, (SELECT k AS window_id, k * 90.0::DOUBLE AS window_start, k * 90.0::DOUBLE + 30 AS window_end FROM range(8) r(k))) WHERE gap <= 12)"""
-REFERENCES = """refs AS (SELECT axis AS right_id, avg(rate) AS right_rate, avg(duration) AS right_duration, avg(rms) AS right_rms, avg(peak_to_peak) AS right_peak_to_peak FROM inventory GROUP BY 1)"""
-
-
-def rd(c, floor):
-    return f"abs({c} - right_{c}) / greatest(abs({c}), abs(right_{c}), {floor}::DOUBLE)"
-
 
 def windows(spark):
     start = F.col("id") * 90.0
@@ -44,17 +39,6 @@ def archive_intervals(spark, sf):
     return rounded(near(spark, sf).select("source_id", "axis", "window_id", "overlap", "gap"), 6)
 
 
-def archive_windows(spark, sf):
-    return rounded(matching.window_counts(near(spark, sf), [30, 60, 180, 720]), 6)
-
-
-def archive_ranked_pairs(spark, sf):
-    rows = archive(spark, sf)
-    right = rows.groupBy(F.col("axis").alias("right_id")).agg(*[F.avg(c).alias(f"right_{c}") for c in ("rate", "duration", "rms", "peak_to_peak")])
-    left = rows.withColumn("left_id", F.concat_ws("/", "source_id", "axis")).where("rate is not null")
-    return rounded(matching.ranked_pairs(left, right, 2).select("left_id", "right_id", "rank", "score"), 6)
-
-
 def archive_top_lists(spark, sf):
     best = archive(spark, sf).orderBy(F.desc_nulls_last("rms"), "source_id", "axis").limit(50)
     w = Window.orderBy(F.desc_nulls_last("rms"), "source_id", "axis")
@@ -74,13 +58,6 @@ def archive_axes_flagged(spark, sf):
     return rounded(ranking.flag_best(rows, "error", ["source_id"], "axis", 10.0), 6)
 
 
-def archive_conclusion(spark, sf):
-    rows = near(spark, sf)
-    one = rows.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("overlap") > 0, 1)).alias("simultaneous"), F.min("gap").alias("best_gap"), F.max("overlap").alias("best_overlap"))
-    label = scalars.ladder([(F.col("simultaneous") > 0, "simultaneous measurement found"), (F.col("pairs") > 0, "only neighbouring measurements")], "none")
-    return rounded(one.withColumn("conclusion", label), 6)
-
-
 def archive_scores(spark, sf):
     rows = archive(spark, sf).select("source_id", "axis", F.col("rate").alias("frequency"), (F.col("std") / F.col("rms")).alias("r")).where("frequency is not null")
     return rounded(matching.scored(rows, 0.12), 6)
@@ -91,13 +68,7 @@ def archive_metrics_long(spark, sf):
 
 
 def archive_metrics_pivot(spark, sf):
-    return rounded(archive(spark, sf).groupBy("source_id").pivot("axis", ["click", "error", "view"]).agg(F.first("rms")), 6)
-
-
-def archive_missing_axes(spark, sf):
-    have = signals(spark, sf).where("t < 200").select("source_id", "axis").distinct()
-    wanted = have.select("source_id").distinct().join(F.broadcast(spark.createDataFrame([("click",), ("view",), ("tilt",)], "axis string")), F.lit(True))
-    return wanted.exceptAll(have)
+    return rounded(archive(spark, sf).groupBy("source_id").pivot("axis").agg(F.first("rms")), 6)
 
 
 def runs_canonical(spark, sf):
@@ -113,11 +84,6 @@ def runs_methods(spark, sf):
     return rounded(matching.method_summary(matching.coverage(chosen)), 6)
 
 
-def runs_resume(spark, sf):
-    done = runs(spark, sf).where("successful >= 20").select("video_id").distinct()
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("video_id")).join(done, "video_id", "left_anti")
-
-
 def runs_status(spark, sf):
     rows = runs(spark, sf).join(table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("video_id"), F.lit(True).alias("known")), "video_id", "left")
     status = scalars.ladder([(F.col("known").isNull(), "missing_metadata"), (F.col("observed") < 10, "too_short")], "ok")
@@ -161,16 +127,6 @@ def nearest_track(spark, sf):
     return rounded(near_by.groupBy("frame").agg(F.min_by("object_id", F.struct("d2", "object_id")).alias("object_id"), F.min("d2").alias("d2")), 4)
 
 
-def frame_manifest(spark, sf):
-    rows = detections(spark, sf)
-    chosen = table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("frame"))
-    strong = rows.where("score > 0.9").select("frame").distinct().withColumn("_a", F.lit(True))
-    low = rows.where("class_id = '5-LOW'").select("frame").distinct().withColumn("_b", F.lit(True))
-    out = chosen.join(strong, "frame", "left").join(low, "frame", "left")
-    status = F.when(F.col("_a").isNull(), "missing_prediction").otherwise("ok")
-    return out.select("frame", F.coalesce("_a", F.lit(False)).alias("has_strong"), F.coalesce("_b", F.lit(False)).alias("has_low"), status.alias("status"))
-
-
 def first_tracks(spark, sf):
     return detections(spark, sf).groupBy("class_id").agg(F.min("frame").alias("first_frame"), F.min("object_id").alias("first_object")).orderBy("first_frame", "class_id").limit(3)
 
@@ -250,27 +206,19 @@ PCT = "100.0::DOUBLE * observed / nullif(expected, 0) AS coverage, 100.0::DOUBLE
 QUERIES = {
     "archive_inventory": (archive_inventory, f"""{A} SELECT source_id, axis, rows, {', '.join(f'round("{c}", 6) AS "{c}"' for c in ('start', 'end', 'std', 'rms', 'peak_to_peak', 'duration', 'rate'))} FROM inventory"""),
     "archive_intervals": (archive_intervals, f"{A}, {INTERVALS} SELECT source_id, axis, window_id, round(overlap, 6) AS overlap, round(gap, 6) AS gap FROM near"),
-    "archive_windows": (archive_windows, f"""{A}, {INTERVALS} SELECT minutes, sum((gap <= minutes / 60)::BIGINT)::BIGINT AS temporal, sum((gap <= minutes / 60 AND overlap > 0)::BIGINT)::BIGINT AS simultaneous, round(min(CASE WHEN gap <= minutes / 60 THEN gap END), 6) AS best_gap
-        FROM near, (SELECT unnest([30, 60, 180, 720])::INT AS minutes) GROUP BY 1"""),
-    "archive_ranked_pairs": (archive_ranked_pairs, f"""{A}, {REFERENCES}, s AS (SELECT concat(source_id, '/', axis) AS left_id, right_id, 0.55::DOUBLE * exp(-{rd('rate', 1e-6)} / 0.1) + 0.15::DOUBLE * exp(-{rd('duration', 1e-6)} / 0.5) + 0.2::DOUBLE * exp(-{rd('rms', 1e-9)} / 0.5)
-        + 0.1::DOUBLE * exp(-{rd('peak_to_peak', 1e-9)} / 0.5) AS score FROM inventory, refs WHERE rate IS NOT NULL) SELECT left_id, right_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rank FROM s) WHERE rank <= 2"""),
     "archive_top_lists": (archive_top_lists, f"{A} SELECT source_id, axis, rank, round(rms, 6) AS rms, rank <= 10 AS top10, rank <= 20 AS top20 FROM (SELECT *, row_number() OVER (ORDER BY rms DESC NULLS LAST, source_id, axis) AS rank FROM inventory) WHERE rank <= 50"),
     "archive_best_axis": (archive_best_axis, f"""{A}, e AS (SELECT source_id, axis, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory WHERE rate IS NOT NULL) SELECT source_id, arg_min(axis, (round(error, 9), axis)) AS axis, round(min(error), 6) AS error,
         CASE WHEN min(error) <= 10 THEN 'good' WHEN min(error) <= 25 THEN 'fair' ELSE 'poor' END AS verdict FROM e GROUP BY 1"""),
     "archive_axes_flagged": (archive_axes_flagged, f"""{A}, e AS (SELECT source_id, axis, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory), b AS (SELECT source_id, arg_min(axis, (round(error, 9), axis)) AS top FROM e WHERE error IS NOT NULL GROUP BY 1)
         SELECT source_id, axis, round(error, 6) AS error, coalesce(axis = top, false) AS best, coalesce(error <= 10, false) AS passed FROM e LEFT JOIN b USING (source_id)"""),
-    "archive_conclusion": (archive_conclusion, f"""{A}, {INTERVALS} SELECT count(*) AS pairs, count(CASE WHEN overlap > 0 THEN 1 END) AS simultaneous, round(min(gap), 6) AS best_gap, round(max(overlap), 6) AS best_overlap,
-        CASE WHEN count(CASE WHEN overlap > 0 THEN 1 END) > 0 THEN 'simultaneous measurement found' WHEN count(*) > 0 THEN 'only neighbouring measurements' ELSE 'none' END AS conclusion FROM near"""),
     "archive_scores": (archive_scores, f"""{A}, e AS (SELECT source_id, axis, rate AS frequency, std / rms AS r, 100 * abs(rate - 0.12::DOUBLE) / 0.12::DOUBLE AS error FROM inventory WHERE rate IS NOT NULL)
         SELECT source_id, axis, round(frequency, 6) AS frequency, round(r, 6) AS r, round(error, 6) AS error, round(0.7::DOUBLE * abs(r) + 0.3::DOUBLE * exp(-error / 25), 6) AS score FROM e"""),
     "archive_metrics_long": (archive_metrics_long, f"{A} SELECT source_id, axis, unnest(['rms', 'std', 'duration']) AS metric, round(unnest([rms, std, duration]), 6) AS value FROM inventory"),
-    "archive_metrics_pivot": (archive_metrics_pivot, f"{A} SELECT source_id, {', '.join(f'''round(max(CASE WHEN axis = '{x}' THEN rms END), 6) AS {x}''' for x in ('click', 'error', 'view'))} FROM inventory GROUP BY 1"),
-    "archive_missing_axes": (archive_missing_axes, f"WITH {SIGNALS}, have AS (SELECT DISTINCT source_id, axis FROM signals WHERE t < 200) SELECT source_id, axis FROM (SELECT DISTINCT source_id FROM have), (SELECT unnest(['click', 'view', 'tilt']) AS axis) EXCEPT ALL SELECT * FROM have"),
+    "archive_metrics_pivot": (archive_metrics_pivot, f"{A} SELECT source_id, {', '.join(f'''round(max(CASE WHEN axis = '{x}' THEN rms END), 6) AS {x}''' for x in AXES)} FROM inventory GROUP BY 1"),
     "runs_canonical": (runs_canonical, f"{R}, {CANON.format(share=0.99)} SELECT *, rank = 1 AS chosen FROM canon"),
     "runs_coverage": (runs_coverage, f"{R}, c AS (SELECT *, {PCT} FROM runs) SELECT * REPLACE (round(coverage, 6) AS coverage, round(conditional, 6) AS conditional, round(effective, 6) AS effective) FROM c"),
     "runs_methods": (runs_methods, f"""{R}, {CANON.format(share=0.5)}, c AS (SELECT *, {PCT} FROM canon WHERE rank = 1) SELECT method, count(*) AS runs, count(*) FILTER (full_length) AS "full", round(100.0::DOUBLE * sum(successful) FILTER (full_length) / sum(expected) FILTER (full_length), 6) AS weighted,
         round(avg(effective), 6) AS mean, round(quantile_cont(effective, 0.5), 6) AS median, round(min(effective), 6) AS low, round(max(effective), 6) AS high, count(*) FILTER (NOT full_length) AS partial FROM c GROUP BY 1"""),
-    "runs_resume": (runs_resume, f"{R} SELECT s_suppkey AS video_id FROM supplier WHERE s_suppkey NOT IN (SELECT video_id FROM runs WHERE successful >= 20)"),
     "runs_status": (runs_status, f"""{R} SELECT method, CASE WHEN s_suppkey IS NULL THEN 'missing_metadata' WHEN observed < 10 THEN 'too_short' ELSE 'ok' END AS status, count(*) AS n, sum(points)::BIGINT AS points
         FROM runs LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON s_suppkey = video_id GROUP BY 1, 2"""),
     "runs_union": (runs_union, f"{R} SELECT method, count(*) AS n, count(CASE WHEN path = 'F' THEN 1 END) AS with_observed, count(CASE WHEN path = 'O' THEN 1 END) AS with_points FROM runs WHERE path IN ('F', 'O') GROUP BY 1"),
@@ -281,8 +229,6 @@ QUERIES = {
         WINDOW w AS (PARTITION BY class_id ORDER BY frame RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)"""),
     "nearest_track": (nearest_track, f"""{D}, seg AS (SELECT frame, avg(x) AS sx, avg(y) AS sy FROM detections WHERE class_id = '1-URGENT' GROUP BY 1), d AS (SELECT frame, object_id, round((x - sx)^2 + (y - sy)^2, 6) AS d2 FROM detections JOIN seg USING (frame) WHERE class_id <> '1-URGENT')
         SELECT frame, arg_min(object_id, (d2, object_id)) AS object_id, round(min(d2), 4) AS d2 FROM d GROUP BY 1"""),
-    "frame_manifest": (frame_manifest, f"""{D}, f AS (SELECT c_custkey AS frame, c_custkey IN (SELECT frame FROM detections WHERE score > 0.9) AS has_strong, c_custkey IN (SELECT frame FROM detections WHERE class_id = '5-LOW') AS has_low FROM customer WHERE c_custkey % 7 = 0)
-        SELECT *, CASE WHEN has_strong THEN 'ok' ELSE 'missing_prediction' END AS status FROM f"""),
     "first_tracks": (first_tracks, f"{D} SELECT class_id, min(frame) AS first_frame, min(object_id) AS first_object FROM detections GROUP BY 1 ORDER BY 2, 1 LIMIT 3"),
     "chunks": (chunks, f"{D} SELECT frame // 100 AS chunk, count(*) AS n, min(frame) AS low, max(frame) AS high, round(avg(score), 6) AS score FROM detections GROUP BY 1"),
     "mask_brightness": (mask_brightness, f"{P} SELECT frame, round(avg(v), 6) AS mean_v, quantile_cont(v, 0.5) AS med_v, count(*) AS n FROM pixels GROUP BY 1"),

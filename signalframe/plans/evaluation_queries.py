@@ -24,7 +24,7 @@ def sources(spark, sf):
 
 
 SOURCES = "sources AS (SELECT o_orderkey % 25 AS video_id, count(*) AS source_frames FROM orders GROUP BY 1)"
-RATES = "round(100.0 * observed / nullif(expected, 0), 6) AS coverage, round(100.0 * successful / nullif(observed, 0), 6) AS conditional, round(100.0 * successful / nullif(expected, 0), 6) AS effective"
+RATES = "round(100.0 * observed / nullif(expected, 0), 6) AS coverage, round(100.0 * successful / nullif(observed, 0), 6) AS conditional, round(100.0 * successful / nullif(expected, 0), 6) AS effective, greatest(expected - observed, 0) AS missing, observed - successful AS failed, expected > 0 AND observed >= ceil(expected * 0.99::DOUBLE) AS full_length"
 
 
 def frames_sql(rows, success, expected):
@@ -43,13 +43,15 @@ def success_flow(spark, sf):
 
 def success_detector(spark, sf):
     word = F.expr("case o_orderstatus when 'F' then 'Detected' when 'O' then ' lost ' else '1' end")
-    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 25).alias("video_id"), F.col("o_orderkey").alias("frame"), word.alias("success"))
-    return rounded(extraction.frame_success(rows, sources(spark, sf), extraction.succeeded(F.col("success")), False), 6)
+    rows = table(spark, sf, "orders").select((F.col("o_orderkey") % 25).alias("video_id"), F.col("o_orderkey").alias("frame"), word.alias("detected"), F.col("o_totalprice").alias("score"))
+    rows = rows.withColumn("detected", F.when(F.col("video_id") < 12, F.regexp_replace("detected", "1", "ok")).otherwise(F.col("detected")))  # some videos with words only
+    return rounded(extraction.reported_success(rows, sources(spark, sf), extraction.DETECTOR_SUCCESS, "score"), 6)
 
 
 def success_classical(spark, sf):
     rows = pixels(spark, sf).groupBy("frame").agg(F.count_if("on").alias("area")).withColumn("video_id", F.col("frame") % 25)
-    return rounded(extraction.frame_success(rows, sources(spark, sf), F.col("area") >= 32, False), 6)
+    rows = rows.withColumn("inner_pipe_valid", F.col("area") >= 32)
+    return rounded(extraction.reported_success(rows, sources(spark, sf), extraction.CLASSICAL_SUCCESS), 6)
 
 
 def label_classes(spark, sf):
@@ -232,8 +234,10 @@ QUERIES = {
         j AS (SELECT video_id, source_frames, points, round(median_valid, 6) AS median_valid, min_valid, max_valid, valid_points, round(median_fb_error, 6) AS median_fb_error, round(p95_fb_error, 6) AS p95_fb_error, round(median_jump_px, 6) AS median_jump_px, round(p95_jump_px, 6) AS p95_jump_px,
           round(100.0 * coalesce(valid_points, 0) / points, 6) AS point_success, coalesce(observed, 0) AS observed, coalesce(successful, 0) AS successful, greatest(source_frames - 1, 0) AS expected FROM sources LEFT JOIN v USING (video_id) LEFT JOIN g USING (video_id)) SELECT *, {RATES} FROM j"""),
     "success_flow": (success_flow, f"WITH {POINTS}, {SOURCES}, p AS (SELECT frame % 25 AS video_id, * FROM points), {frames_sql('p', 'dx <> 0 OR dy <> 0', 'greatest(source_frames - 1, 0)')}"),
-    "success_detector": (success_detector, f"WITH {SOURCES}, p AS (SELECT o_orderkey % 25 AS video_id, o_orderkey AS frame, o_orderstatus AS s FROM orders), {frames_sql('p', chr(39).join(['s <> ', 'O', '']), 'source_frames')}"),
-    "success_classical": (success_classical, f"""WITH {PIXELS}, {SOURCES}, p AS (SELECT frame % 25 AS video_id, frame, count(*) FILTER ("on") AS area FROM pixels GROUP BY frame), {frames_sql('p', 'area >= 32', 'source_frames')}"""),
+    "success_detector": (success_detector, f"""WITH {SOURCES}, p AS (SELECT *, CASE WHEN video_id < 12 THEN s <> 'O' WHEN bool_or(s = 'P') OVER (PARTITION BY video_id) THEN s = 'P' ELSE s = 'F' END AS good FROM (SELECT o_orderkey % 25 AS video_id, o_orderkey AS frame, o_orderstatus AS s FROM orders)),
+        {frames_sql('p', 'good', 'source_frames').replace('SELECT *, round', "SELECT *, 'detected' AS success_column, 'column' AS rule, round")}"""),
+    "success_classical": (success_classical, f"""WITH {PIXELS}, {SOURCES}, p AS (SELECT frame % 25 AS video_id, frame, count(*) FILTER ("on") AS area FROM pixels GROUP BY frame),
+        {frames_sql('p', 'area >= 32', 'source_frames').replace('SELECT *, round', "SELECT *, 'inner_pipe_valid' AS success_column, 'column' AS rule, round")}"""),
     "label_classes": (label_classes, "SELECT CASE doc_id % 3 WHEN 0 THEN 'inner_pipe' WHEN 1 THEN 'particle_bed' END AS class, count(*) AS n FROM documents GROUP BY 1"),
     "roi_below_edge": (roi_below_edge, f"""WITH {DETECTIONS}, e AS (SELECT frame, avg(y) AS edge FROM detections WHERE score > 0.5 GROUP BY 1), j AS (SELECT d.*, edge, greatest(0, least(trunc(edge + 12)::BIGINT, 1059)) AS ny FROM detections d LEFT JOIN e USING (frame))
         SELECT frame, object_id, CASE WHEN edge IS NULL THEN x ELSE greatest(0, least(x, 1899)) END AS x, CASE WHEN edge IS NULL THEN y ELSE ny END AS y, CASE WHEN edge IS NULL THEN w ELSE greatest(1, least(w, 1900 - x)) END AS w, CASE WHEN edge IS NULL THEN h ELSE greatest(1, least(40, 1060 - ny)) END AS h FROM j"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signalframe.operators import series
-from signalframe.operators.blocks import cumulative, moving_window
+from signalframe.operators.blocks import cumulative, moving_window, neighbours
 from signalframe.plans.adapters import SIGNALS, signals
 from signalframe.plans.point_queries import rounded
 
@@ -42,7 +42,7 @@ def series_relative_time(spark, sf):
 
 
 def series_gradient(spark, sf):
-    return select(series.gradient(series.clean(signals(spark, sf))).where("abs(slope) < 1e6"), "source_id", "axis", "idx", "slope", digits=3)
+    return select(series.gradient(series.clean(signals(spark, sf))), "source_id", "axis", "idx", "slope", digits=3)
 
 
 def series_moving_average(spark, sf):
@@ -163,7 +163,7 @@ def series_decay(spark, sf):
 
 def residual_autocorrelation(spark, sf):
     rows = pairs(spark, sf).withColumn("e", F.col("b") - F.col("a"))
-    rows = rows.withColumn("before", F.lag("e").over(series.along(["source_id"], "k")))
+    rows = neighbours(rows, ["source_id"], "k", {"before": ("e", -1)})
     return rounded(rows.groupBy("source_id").agg(F.corr("e", "before").alias("r1")), 5)
 
 
@@ -196,7 +196,7 @@ QUERIES = {
     "series_relative_time": (series_relative_time, f"WITH {SIGNALS} SELECT {IDS}, round(t - min(t) OVER (PARTITION BY source_id, axis), 5) AS t FROM signals"),
     "series_gradient": (series_gradient, f"""WITH {SIGNALS}, n AS (SELECT *, t - lag(t) OVER w AS h, lead(t) OVER w - t AS k, lag(value) OVER w AS lo, lead(value) OVER w AS hi FROM signals {W}),
         g AS (SELECT *, CASE WHEN h IS NULL THEN (hi - value) / k WHEN k IS NULL THEN (value - lo) / h ELSE (h * h * hi + (k * k - h * h) * value - k * k * lo) / (h * k * (h + k)) END AS slope FROM n)
-        SELECT {IDS}, round(slope, 3) + 0.0 AS slope FROM g WHERE abs(slope) < 1e6"""),
+        SELECT {IDS}, round(slope, 3) + 0.0 AS slope FROM g"""),
     "series_moving_average": (series_moving_average, f"WITH {SIGNALS} SELECT {IDS}, round(avg(value) OVER (PARTITION BY source_id, axis ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS smooth FROM signals"),
     "series_trailing_median": (series_trailing_median, f"WITH {SIGNALS} SELECT {IDS}, round(quantile_cont(value, 0.5) OVER (PARTITION BY source_id, axis ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 5) AS med FROM signals"),
     "series_cumulative": (series_cumulative, f"WITH {SIGNALS} SELECT {IDS}, round(sum(value) OVER (PARTITION BY source_id, axis ORDER BY idx), 5) AS total FROM signals"),

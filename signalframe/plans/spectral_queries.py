@@ -10,7 +10,7 @@ from signalframe.plans.adapters import SIGNALS
 from signalframe.plans.point_queries import rounded
 from signalframe.plans.series_queries import GRID, PAIRS, STEP, grid, pairs
 
-HIGH = 0.04
+HIGH = 0.0834  # just over the Nyquist frequency of the grid, so that all bins are there
 
 
 def spectra(spark, sf, detrend="mean", kind="periodic"):
@@ -50,7 +50,7 @@ def spectrum_peaks(spark, sf):
 
 
 def spectrum_harmonics(spark, sf):
-    return rounded(spectral.harmonics(spectra(spark, sf), 0.0071, 5, 0.002, HIGH), 6)
+    return rounded(spectral.harmonics(spectra(spark, sf), 0.0071, 5, 0.002, 0.5 / STEP), 6)
 
 
 def frequency_agreement(spark, sf):
@@ -70,21 +70,22 @@ def hann(kind):
 
 def spectrum_sql(detrend="mean", kind="periodic"):
     x = "value - avg(value) OVER g" if detrend == "mean" else "value - regr_slope(value, i) OVER g * i - regr_intercept(value, i) OVER g"
+    last = "n // 2" if kind == "symmetric" else "n / 2"
     return f"""WITH {SIGNALS}, {GRID}, numbered AS (SELECT source_id, axis, value, k - min(k) OVER g AS i, count(*) OVER g AS n FROM grid WINDOW g AS (PARTITION BY source_id, axis)),
       x AS (SELECT source_id, axis, i, n, {x} AS x, {hann(kind)} AS w FROM numbered WINDOW g AS (PARTITION BY source_id, axis)),
       b AS (SELECT *, unnest(range(0, least(n // 2, floor({HIGH}::DOUBLE * n * {STEP}::DOUBLE)::BIGINT) + 1)) AS bin FROM x),
       s AS (SELECT source_id, axis, n, bin, sum(w * x * cos(2 * pi() * ((bin * i) % n) / n)) AS re, sum(w * x * sin(2 * pi() * ((bin * i) % n) / n)) AS im, sum(w) AS weight FROM b GROUP BY 1, 2, 3, 4),
-      spectra AS (SELECT source_id, axis, n, bin, bin / (n * {STEP}::DOUBLE) AS frequency, sqrt(re * re + im * im) / weight * CASE WHEN bin = 0 OR 2 * bin = n THEN 1 ELSE 2 END AS amplitude FROM s)"""
+      spectra AS (SELECT source_id, axis, n, bin, bin / (n * {STEP}::DOUBLE) AS frequency, sqrt(re * re + im * im) / weight * CASE WHEN bin = 0 OR bin = {last} THEN 1 ELSE 2 END AS amplitude FROM s)"""
 
 
 S = spectrum_sql()
 DOMINANT = "dominant AS (SELECT source_id, axis, arg_max(frequency, (round(amplitude, 9), -bin)) AS frequency, arg_max(amplitude, (round(amplitude, 9), -bin)) AS amplitude FROM spectra WHERE bin > 0 GROUP BY 1, 2)"
 COHERENCE = f"""WITH {SIGNALS}, {GRID}, {PAIRS}, i AS (SELECT *, k - min(k) OVER (PARTITION BY source_id) AS i FROM pairs), g AS (SELECT *, unnest([i // 8 - 1, i // 8]) AS segment FROM i),
   j AS (SELECT *, i - segment * 8 AS j, count(*) OVER (PARTITION BY source_id, segment) AS n FROM g WHERE segment >= 0),
-  x AS (SELECT source_id, segment, j, (a - avg(a) OVER w) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS a, (b - avg(b) OVER w) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS b FROM j WHERE n = 16 WINDOW w AS (PARTITION BY source_id, segment)),
-  p AS (SELECT source_id, segment, bin, sum(a * cos(2 * pi() * (bin * j % 16) / 16)) AS ac, sum(a * sin(2 * pi() * (bin * j % 16) / 16)) AS as_, sum(b * cos(2 * pi() * (bin * j % 16) / 16)) AS bc, sum(b * sin(2 * pi() * (bin * j % 16) / 16)) AS bs
+  x AS (SELECT source_id, segment, j, (a - avg(a) OVER w) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS a, (b - avg(b) OVER w) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * j / 16)) AS b, a AS ra, b AS rb FROM j WHERE n = 16 WINDOW w AS (PARTITION BY source_id, segment)),
+  p AS (SELECT source_id, segment, bin, sum(a * cos(2 * pi() * (bin * j % 16) / 16)) AS ac, sum(a * sin(2 * pi() * (bin * j % 16) / 16)) AS as_, sum(b * cos(2 * pi() * (bin * j % 16) / 16)) AS bc, sum(b * sin(2 * pi() * (bin * j % 16) / 16)) AS bs, 16e-24::DOUBLE * sum(ra * ra) AS ea, 16e-24::DOUBLE * sum(rb * rb) AS eb
     FROM x, (SELECT unnest(range(1, 9))::INT AS bin) GROUP BY 1, 2, 3),
-  c AS (SELECT source_id, bin, count(*) AS segments, avg(ac * ac + as_ * as_) AS aa, avg(bc * bc + bs * bs) AS bb, avg(ac * bc + as_ * bs) AS re, avg(as_ * bc - ac * bs) AS im FROM p GROUP BY 1, 2)
+  c AS (SELECT source_id, bin, count(*) AS segments, CASE WHEN avg(ac * ac + as_ * as_) > avg(ea) THEN avg(ac * ac + as_ * as_) ELSE 0 END AS aa, CASE WHEN avg(bc * bc + bs * bs) > avg(eb) THEN avg(bc * bc + bs * bs) ELSE 0 END AS bb, avg(ac * bc + as_ * bs) AS re, avg(as_ * bc - ac * bs) AS im FROM p GROUP BY 1, 2)
   SELECT source_id, bin, segments, round(bin / (16 * {STEP}::DOUBLE), 5) AS frequency, round(aa * {STEP}::DOUBLE / 6 * CASE WHEN bin = 8 THEN 1 ELSE 2 END, 5) AS psd_a, round(bb * {STEP}::DOUBLE / 6 * CASE WHEN bin = 8 THEN 1 ELSE 2 END, 5) AS psd_b,
     round((re * re + im * im) / nullif(aa * bb, 0), 5) AS coherence FROM c"""
 
@@ -101,7 +102,7 @@ QUERIES = {
     "spectrum_peaks": (spectrum_peaks, f"""{S}, n AS (SELECT *, lag(amplitude) OVER w AS lo, lead(amplitude) OVER w AS hi FROM spectra WINDOW w AS (PARTITION BY source_id, axis ORDER BY bin)),
         p AS (SELECT *, row_number() OVER (PARTITION BY source_id, axis ORDER BY round(amplitude, 9) DESC, bin) AS rank FROM n WHERE amplitude > lo AND amplitude >= hi) SELECT source_id, axis, rank, round(frequency, 6) AS frequency, round(amplitude, 6) AS amplitude FROM p WHERE rank <= 3"""),
     "spectrum_harmonics": (spectrum_harmonics, f"""{S}, h AS (SELECT *, round(frequency / 0.0071::DOUBLE)::INT AS harmonic FROM spectra) SELECT source_id, axis, harmonic, round(arg_max(frequency, (round(amplitude, 9), -bin)), 6) AS frequency, round(arg_max(amplitude, (round(amplitude, 9), -bin)), 6) AS amplitude
-        FROM h WHERE harmonic BETWEEN 1 AND 5 AND abs(frequency - harmonic * 0.0071::DOUBLE) <= 0.002::DOUBLE AND harmonic * 0.0071::DOUBLE <= {HIGH}::DOUBLE GROUP BY 1, 2, 3"""),
+        FROM h WHERE harmonic BETWEEN 1 AND 5 AND abs(frequency - harmonic * 0.0071::DOUBLE) <= 0.002::DOUBLE AND harmonic * 0.0071::DOUBLE <= 0.5::DOUBLE / {STEP}::DOUBLE GROUP BY 1, 2, 3"""),
     "frequency_agreement": (frequency_agreement, f"""{S}, {DOMINANT} SELECT a.source_id, round(a.frequency, 6) AS click, round(b.frequency, 6) AS view, round(100 * abs(b.frequency - a.frequency) / a.frequency, 6) AS error,
         round(abs(b.frequency - a.frequency) / greatest(abs(b.frequency), abs(a.frequency), 1e-6::DOUBLE), 6) AS difference, 100 * abs(b.frequency - a.frequency) / a.frequency <= 10 AS passed
         FROM dominant a JOIN dominant b ON a.source_id = b.source_id AND a.axis = 'click' AND b.axis = 'view'"""),

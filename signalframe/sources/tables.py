@@ -121,24 +121,6 @@ def infer_time(df: DataFrame, fps: float | None = None) -> Column:
     raise ValueError("no time column")
 
 
-#: Fixed rules: what the end of a result file's name says of its method.
-METHODS = {"_lk_points.csv": "lucas_kanade", "_farneback_roi.csv": "farneback", "_detections.csv": "detector", "_results.csv": "classical"}
-EXCLUDED = r"summary|diagnostic|preview|overlay|backup|tmp"
-
-
-def classified(files: DataFrame, path: str = "path") -> DataFrame:
-    """Distinct paths of result files with their method and video id; auxiliary files are left out."""
-    from signalframe.functions.scalars import video_id
-
-    lower = F.lower(F.col(path))
-    method = None
-    for suffix, name in METHODS.items():
-        method = F.when(lower.endswith(suffix), name) if method is None else method.when(lower.endswith(suffix), name)
-    rows = files.select(F.col(path).alias("path")).distinct().where(~F.lower(F.col("path")).rlike(EXCLUDED))
-    lower = F.lower(F.col("path"))
-    return rows.select("path", method.alias("method"), video_id(F.element_at(F.split("path", "/"), -1), F.col("path")).alias("video_id")).where("method is not null")
-
-
 #: Fixed names of the methods' result files, and tokens of files that are none.
 RESULT_FILES = {"_lucas_kanade.csv": "lucas_kanade", "_farneback_dense.csv": "farneback", "_detectron2_results.csv": "detectron2"}
 CLASSICAL = ("opencv", "classical", "classic_seg")

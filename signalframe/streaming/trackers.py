@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalframe.operators.blocks import with_halo
+from signalframe.operators.flicker import newest_part
 from signalframe.sources.scratch import dropped, kept
 
 F_MATRIX = np.array([[1.0, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]])
@@ -164,26 +165,6 @@ class Deflicker:
         return [] if self.first is None else [*self.history, self.first, self.target]
 
 
-def flicker_bins(n: int, frequency: float, second: bool = False) -> dict[int, float]:
-    """Weights of the spectral bins of n values that make the flicker: the nearest bin (the lower of two) and its neighbours."""
-    freqs = np.arange(n // 2 + 1) / n
-    out: dict[int, float] = {}
-    for f, w in [(frequency, 1.0)] + [(2 * frequency, 0.5)] * second:
-        mid = int(np.argmin(np.abs(freqs - f)))
-        if mid > 0:
-            out |= {k: w * (1.0 if k == mid else 0.5) for k in (mid, mid - 1, mid + 1) if k < len(freqs)}
-    return out
-
-
-def newest_part(history: np.ndarray, frequency: float, second: bool = False) -> float | None:
-    """The flicker's value at the newest of the values, by the weighted bins of their spectrum; None without a bin."""
-    n = len(history)
-    bins = flicker_bins(n, frequency, second)
-    x, back = history - history.mean(), n - 1 - np.arange(n)
-    parts = [w * (1.0 if 2 * k == n else 2.0) / n * (x @ np.cos(2 * np.pi * (k * back % n) / n)) for k, w in bins.items() if k]
-    return float(sum(parts)) if bins else None
-
-
 SCHEMA = "frame long, track_id long, x double, y double, missed long"
 
 

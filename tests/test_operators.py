@@ -149,11 +149,6 @@ def test_interval_join_matches_all_pairs(spark):
     assert found == want
 
 
-def test_ranked_pairs_refuses_a_large_side(spark):
-    with pytest.raises(ValueError, match="candidates"):
-        matching.ranked_pairs(spark.range(1), spark.range(20), 1, most_rows=10)
-
-
 def test_roi_rules_and_requirements(spark):
     assert filters.clamp((-5, 3, 20, 40), 10, 12) == (0, 3, 10, 9)
     with pytest.raises(ValueError, match="missing columns: b"):

@@ -44,8 +44,6 @@ def test_archive_scan(spark, tmp_path):
 
 
 def test_classification_and_aliases(spark):
-    files = spark.createDataFrame([("/o/GX010129/gx010129_lk_points.csv",), ("/o/GX010129/gx010129_lk_points.csv",), ("/o/gx2/run_detections.csv",), ("/o/x_lk_points.csv.backup",), ("/o/GX3_summary_results.csv",)], "path string")
-    assert sorted(tuple(r) for r in tables.classified(files).collect()) == [("/o/GX010129/gx010129_lk_points.csv", "lucas_kanade", "GX010129"), ("/o/gx2/run_detections.csv", "detector", "GX2")]
     rows = spark.createDataFrame([(" ", "b", 3), ("a", "c", None)], "IMU_path string, imu_csv string, rank int")
     found = tables.first_known(rows, {"imu": ["imu_path", "imu_csv"], "rank": ["rank"], "id": ["id"]})
     assert [tuple(r) for r in found.collect()] == [("b", "3", None), ("a", None, None)]
@@ -87,10 +85,10 @@ def test_flattening(spark):
 def test_scalars(spark):
     row = spark.sql("select 'OK' as a, '0' as b, 'no' as c, cast(null as string) as d, 3.0D as p, cast(null as double) as q")
     values = row.select(
-        *[scalars.truthy(F.col(c)).alias(c) for c in "abcd"], scalars.weighted({"p": 2.0, "q": 5.0}).alias("w"), scalars.weighted({"q": 5.0}).alias("n"),
+        *[extraction.succeeded(F.col(c)).alias(c) for c in "abcd"], scalars.weighted({"p": 2.0, "q": 5.0}).alias("w"), scalars.weighted({"q": 5.0}).alias("n"),
         scalars.percent(F.lit(1), F.lit(0)).alias("z"), scalars.relative_error(F.lit(1.1), F.lit(1e-12)).alias("e"), scalars.frame_name(F.lit(7)).alias("name"), scalars.frame_number(F.lit("frame_000007.png")).alias("number"),
     ).first()
-    assert tuple(values) == (True, False, False, None, 3.0, None, None, None, "frame_000007", 7)
+    assert tuple(values) == (True, False, False, False, 3.0, None, None, None, "frame_000007", 7)
 
 
 def test_result_files_follow_the_fixed_names(spark):
