@@ -63,6 +63,23 @@ def video_id(name: Column, path: Column) -> Column:
     return F.coalesce(*[F.when(f != "", f) for f in found])
 
 
+def stem(path: Column) -> Column:
+    """The last part of a path without its last suffix."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def measurement_id(path: Column) -> Column:
+    """The date and time in the name of a file's folder, such as 2022-04-17_10.20.30, or else that name."""
+    folder = F.element_at(F.split(F.concat(F.lit("/"), path), "/"), -2)
+    found = F.regexp_extract(folder, r"\d{4}-\d{2}-\d{2}_\d{2}\.\d{2}\.\d{2}", 0)
+    return F.when(found != "", found).otherwise(folder)
+
+
+def measurement_time(path: Column) -> Column:
+    """measurement_id as a time stamp; null where the folder's name holds none."""
+    return F.regexp_replace(F.regexp_replace(measurement_id(path), "_", " "), r"(\d{2})\.(\d{2})\.(\d{2})$", "$1:$2:$3").try_cast("timestamp_ntz")
+
+
 def frame_name(frame: Column) -> Column:
     return F.concat(F.lit("frame_"), F.lpad(frame.cast("string"), 6, "0"))
 

@@ -6,8 +6,10 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from signalframe.functions.scalars import finite, moment, number, or_null
+from signalframe.functions.scalars import finite, moment, number, or_null, stem, video_id
+from signalframe.operators import blocks
 from signalframe.operators.filters import require, valid_rows
 
 AXES = ("linx", "liny", "linz", "rotx", "roty", "rotz")
@@ -121,6 +123,69 @@ def infer_time(df: DataFrame, fps: float | None = None) -> Column:
     raise ValueError("no time column")
 
 
+#: Fixed names of time columns, in the order in which they are tried; two names are a day and a time.
+SENSOR_TIMES = ("time_seconds", ("day", "time"), "time", "timestamp", "writetime", "t")
+VIDEO_TIMES = ("time_s", "time", "timestamp_s", "timestamp", "t", "seconds", "elapsed_time_s", "relative_time_s")
+FRAMES = ("frame", "frame_idx", "frame_index", "frame_id")
+
+
+def with_time(df: DataFrame, candidates: Iterable[str | tuple[str, str]] = SENSOR_TIMES, requested: str | None = None, rate: float | None = None, order: str | None = None, relative: bool = True, out: str = "t") -> tuple[DataFrame, str | None]:
+    """df with seconds in `out`, and the name of their source; chosen by what the columns hold.
+
+    One pass counts, for every candidate that df has (in any case of letters), the values that are numbers and those that are time stamps. The first
+    candidate with two numbers counts as numbers, with two time stamps else as seconds since the earliest one; numbers are made
+    relative to the smallest with `relative`. A requested column must do. Without any, a frame number over `rate` is the time, or the place by the number column
+    `order` (without ties) over `rate`; it is an error if these lack too. Values that do not parse are null.
+    """
+    names = {c.lower(): c for c in df.columns}
+    wanted = [requested] if requested else list(candidates)
+    if requested:
+        require(df, requested)
+    there = [c for c in wanted if all(x.lower() in names for x in ((c,) if isinstance(c, str) else c))]
+
+    def real(c: Column) -> Column:
+        return F.when(~F.isnan(number(c.cast("string"))), number(c.cast("string")))
+
+    def parsed(c: str | tuple[str, str]) -> tuple[Column, Column]:
+        texts = [F.trim(F.col(f"`{names[x.lower()]}`").cast("string")) for x in ((c,) if isinstance(c, str) else c)]
+        stamp = texts[0].try_cast("timestamp_ntz") if len(texts) == 1 else moment(*texts)
+        return (real(texts[0]) if len(texts) == 1 else F.lit(None).cast("double")), stamp
+
+    columns = [parsed(c) for c in there]
+    if columns:
+        seen = df.agg(*[f(x).alias(f"{n}{i}") for i, pair in enumerate(columns) for n, f, x in (("n", F.count, pair[0]), ("m", F.min, pair[0]), ("s", F.count, pair[1]), ("e", F.min, pair[1]))]).first()
+        for i, (name, (value, stamp)) in enumerate(zip(there, columns, strict=True)):
+            label = name if isinstance(name, str) else "+".join(name)
+            if seen[f"n{i}"] >= 2:
+                return df.withColumn(out, value - seen[f"m{i}"] if relative else value), label
+            if seen[f"s{i}"] >= 2:
+                return df.withColumn(out, F.timestamp_diff("MICROSECOND", F.lit(seen[f"e{i}"]).cast("timestamp_ntz"), stamp) / 1e6), label
+    if requested:
+        raise ValueError(f"{requested} holds neither numbers nor time stamps")
+    frame = next((names[c] for c in FRAMES if c in names), None)
+    if frame and rate:
+        return df.withColumn(out, real(F.col(f"`{frame}`")) / rate), frame
+    if order and rate:
+        return blocks.numbered(df, [], order, "_place", 1e6).withColumn(out, F.col("_place") / rate).drop("_place"), None
+    raise ValueError("no time column, and no rate for frames or rows")
+
+
+#: Fixed aliases of the columns of video metadata.
+METADATA = {"video_id": ("video_id", "video", "stem", "name", "filename", "file_name"), "num_frames": ("num_frames", "nb_frames", "frames", "frame_count"), "fps": ("fps", "frame_rate", "sampling_rate")}
+
+
+def video_metadata(df: DataFrame) -> DataFrame:
+    """video_id, num_frames, fps: the columns by their fixed aliases, ids as GX and digits where the name has them, else the stem in upper case; the first row of each id with a number of frames."""
+    chosen = {out: next((c for c in options if c in df.columns), None) for out, options in METADATA.items()}
+    if not chosen["video_id"] or not chosen["num_frames"]:
+        raise ValueError(f"no video id or number of frames among {df.columns}")
+    name = F.upper(stem(F.col(chosen["video_id"]).cast("string")))
+    fps = number(F.col(chosen["fps"]).cast("string")) if chosen["fps"] else F.lit(None).cast("double")
+    rows = df.select(F.coalesce(video_id(name, name), name).alias("video_id"), number(F.col(chosen["num_frames"]).cast("string")).cast("long").alias("num_frames"), fps.alias("fps"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.where("video_id is not null and num_frames is not null")
+    return rows.groupBy("video_id").agg(F.min_by(F.struct("num_frames", "fps"), "_at").alias("_r")).select("video_id", "_r.*")
+
+
 #: Fixed names of the methods' result files, and tokens of files that are none.
 RESULT_FILES = {"_lucas_kanade.csv": "lucas_kanade", "_farneback_dense.csv": "farneback", "_detectron2_results.csv": "detectron2"}
 CLASSICAL = ("opencv", "classical", "classic_seg")
@@ -133,8 +198,6 @@ def result_files(files: DataFrame, path: str = "path") -> DataFrame:
     Only CSV files count, and no auxiliary ones. The three suffixes come first; other files are classical results where the
     path names that method and has a video id.
     """
-    from signalframe.functions.scalars import video_id
-
     rows = files.select(F.col(path).alias("path")).distinct()
     lower = F.lower("path")
     name = F.element_at(F.split(lower, "/"), -1)
@@ -175,6 +238,11 @@ def write_json(df: DataFrame, path: str) -> None:
     finite_only(df).write.mode("overwrite").json(path)
 
 
+def write_csv(df: DataFrame, columns: list[str], path: str) -> None:
+    """CSV files with a header and the columns in the given order; NaN and infinities are empty, and so is null. A column that df lacks is an error."""
+    finite_only(require(df, *columns).select(*columns)).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_metrics(df: DataFrame, keys: list[str], metrics: list[str], path: str) -> None:
     """Wide metrics as (keys, metric, value) rows."""
     df.unpivot(keys, metrics, "metric", "value").write.mode("overwrite").parquet(path)
@@ -206,6 +274,47 @@ def append_new(results: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def stage_run(results: DataFrame, path: str, run: str) -> None:
+    """Write a run's results under its id; they count for nothing until commit_run. A repeated attempt replaces what an earlier one left."""
+    results.write.mode("overwrite").parquet(f"{path}/data/run={run}")
+
+
+def commit_run(spark: SparkSession, path: str, run: str) -> int:
+    """Enter a staged run into the manifest, which is what makes its rows visible; returns how many they are. To commit again changes nothing."""
+    n = spark.read.parquet(f"{path}/data/run={run}").count()
+    spark.createDataFrame([(n,)], "n_rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
+    return n
+
+
+def committed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The rows of all committed runs with their run; of a key in several runs only those of the run that comes first by id. None before the first commit."""
+    manifest = f"{path}/manifest"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in system.listStatus(folder)] if system.exists(folder) else []
+    names = [p.getName() for p in done if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not names:
+        return None
+    rows = spark.read.option("basePath", f"{path}/data").option("mergeSchema", True).schema(merged_schema(spark, path, names)).parquet(*[f"{path}/data/{n}" for n in names])
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("run").alias("_run"))
+    return rows.join(first, rows[key].eqNullSafe(F.col("_key")) & (F.col("run") == F.col("_run"))).drop("_key", "_run")
+
+
+def merged_schema(spark: SparkSession, path: str, names: list[str]):
+    """The runs' columns in order of appearance, and the run as text."""
+    fields: dict[str, object] = {}
+    for n in names:
+        for f in spark.read.parquet(f"{path}/data/{n}").schema.fields:
+            fields.setdefault(f.name, f)
+    return StructType([*fields.values(), StructField("run", StringType())])
+
+
+def resume_run(wanted: DataFrame, path: str, key: str) -> DataFrame:
+    """Rows of wanted whose key no committed run has; staged and lost attempts count for nothing."""
+    done = committed(wanted.sparkSession, path, key)
+    return wanted if done is None else todo(wanted, done, key)
+
+
 def split_failures(df: DataFrame, tests: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(good, failed): failed rows carry the names of the tests they fail in `error`."""
     errors = F.concat_ws(", ", *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in tests.items()])

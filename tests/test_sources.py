@@ -131,3 +131,64 @@ def test_signal_keeps_the_first_of_each_time(spark, tmp_path):
     (tmp_path / "b.csv").write_text("time,linx,liny\n7,9,3\n5,9,1\n5,9,2\n6,9,\n")
     rows = tables.read_signal(spark, str(tmp_path / "b.csv"), values=("liny",))
     assert sorted(map(tuple, rows.collect())) == [(0.0, 1.0), (2.0, 3.0)]
+
+
+def test_time_is_chosen_by_what_parses(spark):
+    def chosen(columns, rows, **k):
+        df, name = tables.with_time(spark.createDataFrame(rows, columns), **k)
+        return name, [r.t for r in df.orderBy("n").collect()]
+
+    rows = [(0, "x", "2022-04-17", "10:00:01.5", "5", 3), (1, None, "2022-04-17", "10:00:02", "6.5", 4), (2, "1", "bad", "10:00:04", "z", 6)]
+    columns = "n int, Time_Seconds string, day string, time string, t string, frame int"
+    assert chosen(columns, rows) == ("day+time", [0.0, 0.5, None])  # one number in time_seconds is too few
+    assert chosen(columns, rows, requested="t") == ("t", [0.0, 1.5, None])
+    assert chosen(columns, rows, requested="t", relative=False) == ("t", [5.0, 6.5, None])
+    with pytest.raises(ValueError, match="neither"):
+        chosen(columns, rows, requested="Time_Seconds")
+    with pytest.raises(ValueError, match="missing"):
+        chosen(columns, rows, requested="q")
+    assert chosen("n int, day string, frame int", [(0, "a", 3), (1, "b", 5)], rate=2.0) == ("frame", [1.5, 2.5])
+    assert chosen("n int, timestamp string", [(0, "2022-04-17 10:00:00"), (1, "2022-04-17 10:01:00")], candidates=tables.VIDEO_TIMES) == ("timestamp", [0.0, 60.0])
+    assert chosen("n int", [(0,), (7,), (9,)], rate=4.0, order="n") == (None, [0.0, 0.25, 0.5])
+    with pytest.raises(ValueError, match="no time"):
+        chosen("n int", [(0,)])
+    assert chosen("n int, time_seconds double", [(0, 4.0), (1, float("nan")), (2, 5.0)]) == ("time_seconds", [0.0, None, 1.0])
+
+
+def test_video_metadata_and_ids(spark):
+    df = spark.createDataFrame([("/v/gx010129_x.mp4", "100", "a"), ("GX010129", "7", "30"), ("cam.two.avi", "5", "2.5"), ("cam.3", None, "1"), (None, "3", "1")], "file_name string, frames string, fps string").coalesce(1)
+    assert sorted(tuple(r) for r in tables.video_metadata(df).collect()) == [("CAM.TWO", 5, 2.5), ("GX010129", 100, None)]
+    with pytest.raises(ValueError, match="number of frames"):
+        tables.video_metadata(df.drop("frames"))
+    paths = spark.createDataFrame([("/a/run_2022-04-17_10.20.30_x/data.csv",), ("/a/other/data.csv",), ("data.csv",)], "p string")
+    found = [tuple(map(str, r)) for r in paths.select(scalars.measurement_id(F.col("p")), scalars.measurement_time(F.col("p"))).collect()]
+    assert found == [("2022-04-17_10.20.30", "2022-04-17 10:20:30"), ("other", "None"), ("", "None")]
+
+
+def test_csv_sink_keeps_its_order(spark, tmp_path):
+    df = spark.createDataFrame([(1, float("nan"), "x"), (2, 0.5, None)], "a int, b double, c string")
+    tables.write_csv(df.coalesce(1), ["c", "a", "b"], str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert text.splitlines() == ["c,a,b", "x,1,", ",2,0.5"]
+    with pytest.raises(ValueError, match="missing"):
+        tables.write_csv(df, ["d"], str(tmp_path / "no"))
+
+
+def test_runs_neither_lose_nor_double_keys(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    wanted = spark.range(6).withColumnRenamed("id", "video")
+    assert tables.committed(spark, path, "video") is None and tables.resume_run(wanted, path, "video").count() == 6
+    tables.stage_run(wanted.where("video < 3").withColumn("v", F.lit(1)), path, "a")
+    assert tables.resume_run(wanted, path, "video").count() == 6  # killed before its commit
+    tables.stage_run(wanted.where("video < 2").withColumn("v", F.lit(2)), path, "a")  # the second attempt
+    assert tables.commit_run(spark, path, "a") == 2 and tables.commit_run(spark, path, "a") == 2
+    todo = tables.resume_run(wanted, path, "video")
+    assert sorted(r.video for r in todo.collect()) == [2, 3, 4, 5]
+    tables.stage_run(todo.withColumn("v", F.lit(3)).withColumn("more", F.lit("m")), path, "b")
+    tables.stage_run(wanted.where("video in (1, 5)").withColumn("v", F.lit(9)), path, "c")  # beside it, with a key of each
+    for run in "bc":
+        tables.commit_run(spark, path, run)
+    tables.stage_run(wanted.withColumn("v", F.lit(7)), path, "d")  # never committed
+    rows = tables.committed(spark, path, "video").collect()
+    assert sorted((r.video, r.v, r.run) for r in rows) == [(0, 2, "a"), (1, 2, "a"), (2, 3, "b"), (3, 3, "b"), (4, 3, "b"), (5, 3, "b")]
+    assert tables.resume_run(wanted, path, "video").count() == 0 and {r.more for r in rows} == {None, "m"}
