@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import materialize
-from signalframe.llm.spans import SPAN, listed, with_spans
+from signalframe.llm.spans import SPAN, listed, with_apart, with_hits, with_spans
 
 DIGIT = "text rlike '[0-9]'"
 LOCAL = "A-Za-z0-9._%+-"
@@ -25,6 +25,7 @@ KINDS = {
     "digits_like": (5, DIGIT, r"(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){7,}+"),
 }
 BASE = ("email", "ip", "card", "phone")
+GENERATORS = ("mail_like", "digits_like")
 IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}"
 CONTEXT = r"(?i)mail|contact|phone|tel|call|mobile|fax|card|visa|credit|account|\bip\b|host|address"
 
@@ -55,29 +56,28 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     like has every generator candidate with its features, whether a valid base span lies over it (hit), and whether the
     24 characters before it name a kind of personal data (named). A candidate that goes on in a word is none.
     """
-    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", KINDS)
+    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", KINDS, GENERATORS).drop("text")
     found = found.withColumns({k: F.filter(k, partial(valid, k)) for k in BASE})
-    found = found.withColumn("base", F.array_sort(F.concat(*BASE)))
+    found = found.withColumns({"base": F.array_sort(F.concat(*BASE)), "_all": F.concat(*GENERATORS)})
+    found = with_hits(found, "_all", "base", "_hits")
 
-    def features(s: Column) -> Column:
-        value, text = s["value"], F.col("text")
-        before, after = F.substr(text, s["start"], F.lit(1)), F.substr(text, s["end"] + 1, F.lit(1))
+    def features(s: Column, hit: Column) -> Column:
+        value = s["value"]
         place = lambda c: F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[0-9A-Za-z]"), 2).otherwise(3)
-        near = F.substr(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
         return F.struct(
-            s.alias("span"),
-            F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])).alias("hit"),
+            F.struct(*[s[f].alias(f) for f in ("start", "end", "rank", "kind", "value")]).alias("span"),
+            hit.alias("hit"),
             (s["rank"] - len(BASE)).alias("like"),
             F.least(F.length(digits_of(value)), F.lit(20)).alias("digits"),
             F.least(F.size(F.split(value, r"[\x20().-]+", -1)), F.lit(7)).alias("groups"),
-            F.when(s["start"] == 0, 0).otherwise(place(before)).alias("before"),
-            place(after).alias("after"),
-            near.rlike(CONTEXT).alias("named"),
+            place(F.right(s["before"], F.lit(1))).alias("before"),
+            place(s["after"]).alias("after"),
+            s["before"].rlike(CONTEXT).alias("named"),
             F.least(F.length(F.regexp_replace(value, r"[^.]", "")), F.lit(3)).alias("dots"),
             value.rlike("[A-Za-z]").cast("int").alias("letters"),
         )
 
-    return found.select("doc_id", *BASE, "base", F.filter(F.transform(F.concat("mail_like", "digits_like"), features), lambda c: c["after"] != 2).alias("like"))
+    return found.select("doc_id", *BASE, "base", F.filter(F.zip_with("_all", "_hits", features), lambda c: c["after"] != 2).alias("like"))
 
 
 def cells(found: DataFrame) -> list[dict]:
@@ -166,11 +166,6 @@ def threshold(model: Sequence[tuple], rows: Sequence[dict], precision: float, le
     return best
 
 
-def apart(spans: Column) -> Column:
-    """The spans without those that a span over them starts before."""
-    return F.filter(spans, lambda s: ~F.exists(spans, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["start"], -o["end"], o["rank"]) < F.struct(s["start"], -s["end"], s["rank"]))))
-
-
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.95, least: int = 20, trees: int = 20) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
@@ -189,10 +184,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     model = boost([r for r in rows if r["n"]], trees) if any(r["n"] for r in rows) else []
     least_score = threshold(model, rows, precision, least) if model else math.inf
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    extra = none if least_score == math.inf else apart(F.transform(F.filter("like", lambda c: ~c["hit"] & (scores(model, c) >= F.lit(least_score))), lambda c: c["span"]))
-    return found.select(
+    extra = none if least_score == math.inf else F.transform(F.filter("like", lambda c: ~c["hit"] & (scores(model, c) >= F.lit(least_score))), lambda c: c["span"])
+    return with_apart(found.withColumn("_added", extra), "_added", "_extra").select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.array_sort(F.concat("base", extra))).alias("spans"),
+        listed(F.array_sort(F.concat("base", "_extra"))).alias("spans"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.llm.common import materialize
-from signalframe.llm.spans import SPAN, listed, with_spans
+from signalframe.llm.spans import SPAN, listed, with_hits, with_spans
 
 #: Fixed patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -36,7 +36,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     )
     found = found.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     # A bare token is a candidate of its own only where no base span lies over it.
-    return found.withColumn("token", F.expr("filter(token, t -> not exists(base, b -> b.start < t.end and t.start < b.end))"))
+    free = F.filter(F.zip_with("token", "_hits", lambda t, hit: F.struct(t.alias("span"), hit.alias("hit"))), lambda x: ~x["hit"])
+    return with_hits(found, "token", "base", "_hits").withColumn("token", F.transform(free, lambda x: x["span"])).drop("_hits")
 
 
 def ownership(found: DataFrame) -> DataFrame:
