@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def brightness(pixels: DataFrame) -> DataFrame:
+def brightness(pixels: DataFrame, roi: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Mean and median gray value of each frame, or of its region (x, y, width, height); a frame without pixels there has none."""
+    if roi:
+        x, y, w, h = roi
+        pixels = pixels.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
     return pixels.groupBy("frame").agg(F.avg("v").alias("mean_v"), F.percentile("v", F.lit(0.5)).alias("med_v"), F.count("*").alias("n"))
 
 
@@ -67,12 +71,18 @@ def temporal_overlap(frames: DataFrame, on: DataFrame, keys: list[str]) -> DataF
     return pairs.join(each, "frame", "left").groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(F.coalesce("iou", F.lit(1.0))).alias("mean_iou"), F.stddev_pop(F.coalesce("iou", F.lit(1.0))).alias("std_iou"))
 
 
-def edge_rows(pixels: DataFrame, expected: float, sigma: float) -> DataFrame:
-    """Of each frame the row where the mean absolute vertical step, weighed by a prior around the expected row and smoothed over three rows, is largest."""
+def edge_rows(pixels: DataFrame, expected: float, sigma: float, taps: int = 3, least: float | None = None) -> DataFrame:
+    """Of each frame the row where the mean absolute vertical step, weighed by a prior around the expected row and smoothed over `taps` rows, is largest.
+
+    With `least`, success says whether the signal reaches it; the row is null where it does not.
+    """
     column = Window.partitionBy("frame", "x").orderBy("y")
     steps = pixels.withColumn("d", F.abs(F.lead("v").over(column) - F.lag("v").over(column)) / 2).where("d is not null")
     prior = F.exp(-0.5 * ((F.col("y") - expected) / sigma) ** 2)
     profile = steps.groupBy("frame", "y").agg(F.avg("d").alias("d")).withColumn("s", F.col("d") * prior)
-    near = Window.partitionBy("frame").orderBy("y").rowsBetween(-1, 1)
+    near = Window.partitionBy("frame").orderBy("y").rowsBetween(-(taps // 2), taps // 2)
     profile = profile.withColumn("s", F.avg("s").over(near))
-    return profile.groupBy("frame").agg(F.max_by("y", F.struct(F.round("s", 6), -F.col("y"))).alias("edge"), F.max("s").alias("signal"))
+    out = profile.groupBy("frame").agg(F.max_by("y", F.struct(F.round("s", 6), -F.col("y"))).alias("edge"), F.max("s").alias("signal"))
+    if least is None:
+        return out
+    return out.withColumn("success", F.col("signal") >= least).withColumn("edge", F.when(F.col("success"), F.col("edge")))

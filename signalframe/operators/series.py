@@ -38,6 +38,15 @@ def differences(signals: DataFrame, keys: list[str] = KEYS, size: int = 100_000)
     return rows.withColumns({"dt": F.col("t") - F.col("_t"), "dv": F.col("value") - F.col("_v")}).drop("_t", "_v")
 
 
+def blocks_of_times(rows: DataFrame, keys: list[str], span: float) -> DataFrame:
+    """Rows (keys, t; each time once) with dt, the time since the one before in the series, worked out in slices of `span` of time."""
+    sliced = rows.withColumn("_slice", F.floor(F.col("t") / span))
+    inside = F.lag("t").over(Window.partitionBy(*keys, "_slice").orderBy("t"))
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max("t").alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")))
+    return sliced.withColumn("_in", inside).join(ends, [*keys, "_slice"]).withColumn("dt", F.col("t") - F.coalesce("_in", "_end")).drop("_in", "_end", "_slice")
+
+
 def rates(signals: DataFrame) -> DataFrame:
     """Of each series: samples, start, end, and the sampling rate as one over the median positive step."""
     steps = differences(signals).withColumn("dt", F.when(F.col("dt") > 0, F.col("dt")))
