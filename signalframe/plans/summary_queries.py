@@ -11,21 +11,22 @@ from signalframe.plans.point_queries import rounded
 from signalframe.plans.recording_queries import SPECTRA
 from signalframe.plans.series_queries import GRID, STEP, grid
 
-RUN = (F.col("frame") % 20).alias("run")
+def run_of():
+    return (F.col("frame") % 20).alias("run")
 
 
 def frame_times(spark, sf):
     """Frames of twenty runs with a computing time each, and whether they have a detection of 0.6 or more."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("frame"), ((F.col("c_acctbal") + 1000) / 1e6).alias("compute_time"))
     found = detections(spark, sf).where("score >= 0.6").select("frame").distinct().withColumn("_d", F.lit(1))
-    return rows.join(found, "frame", "left").select(RUN, "frame", "compute_time", F.coalesce("_d", F.lit(0)).alias("has_detection"))
+    return rows.join(found, "frame", "left").select(run_of(), "frame", "compute_time", F.coalesce("_d", F.lit(0)).alias("has_detection"))
 
 
 TIMES = "times AS (SELECT c_custkey % 20 AS run, c_custkey AS frame, (c_acctbal + 1000) / 1e6::DOUBLE AS compute_time, (c_custkey IN (SELECT frame FROM detections WHERE score >= 0.6))::INT AS has_detection FROM customer)"
 
 
 def detector_runs(spark, sf):
-    objects = detections(spark, sf).where("score >= 0.6").select(RUN, "score", "area")
+    objects = detections(spark, sf).where("score >= 0.6").select(run_of(), "score", "area")
     return rounded(summaries.detector_run(frame_times(spark, sf), objects, ["run"]), 6)
 
 
