@@ -104,7 +104,7 @@ QUERIES = {
         round(1 / mean_time, 6) AS fps, coalesce(objects, 0) AS objects, round(mean_score, 6) AS mean_score, round(median_score, 6) AS median_score, round(mean_area, 6) AS mean_area FROM f LEFT JOIN o USING (run)"""),
     "run_benchmarks": (run_benchmarks, f"""WITH {DETECTIONS}, {TIMES}, s AS (SELECT run, count(*) AS source_frames, sum(compute_time) AS runtime, CASE WHEN run % 3 = 0 THEN 10 ELSE 0 END::BIGINT AS start_frame FROM times GROUP BY 1),
         d AS (SELECT run, count(*) AS processed, sum(has_detection)::BIGINT AS with_detections FROM times WHERE run % 4 <> 1 OR frame > 100 GROUP BY 1), j AS (SELECT s.*, source_frames AS end_frame, source_frames - start_frame AS expected, coalesce(processed, 0) AS processed, coalesce(with_detections, 0) AS with_detections FROM s LEFT JOIN d USING (run))
-        SELECT run, source_frames, round(runtime, 6) AS runtime, start_frame, end_frame, expected, processed, with_detections, processed - with_detections AS without_detections, round(CASE WHEN processed > 0 THEN 100.0::DOUBLE * processed / expected ELSE 0 END, 6) AS coverage,
+        SELECT run, source_frames, round(runtime, 6) AS runtime, start_frame, end_frame, expected, processed, with_detections, processed - with_detections AS without_detections, round(CASE WHEN processed > 0 AND expected > 0 THEN 100.0::DOUBLE * processed / expected ELSE 0 END, 6) AS coverage,
         round(CASE WHEN processed > 0 THEN 100.0::DOUBLE * with_detections / processed END, 6) AS output_rate, round(CASE WHEN processed > 0 THEN runtime / processed END, 6) AS frame_time, round(CASE WHEN processed > 0 THEN processed / runtime END, 6) AS fps, start_frame = 0 AND processed = source_frames AS full_length FROM j"""),
     "run_time_base": (run_time_base, f"""WITH {SIGNALS}, d AS (SELECT source_id, t - lag(t) OVER (PARTITION BY source_id ORDER BY t) AS dt FROM (SELECT DISTINCT source_id, t FROM signals)) SELECT source_id, round(quantile_cont(dt, 0.5), 6) AS median_step, round(CASE WHEN quantile_cont(dt, 0.5) > 0 THEN 1 / quantile_cont(dt, 0.5) END, 6) AS fps
         FROM d WHERE dt IS NOT NULL GROUP BY 1"""),
