@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import materialize
+from signalframe.llm.common import discard, materialize
 
 K = 5
 #: Distinct vectors of a shard, links of a node, width of the beam while building and searching, and how much longer than a detour a link may be.
@@ -199,7 +199,9 @@ def index(vectors: DataFrame, members: int = K + 1, shard_vectors: int = SHARD_V
         return table.append_column("node", pa.array(np.arange(len(links), dtype=np.int32))).append_column("links", lists).append_column("entry", pa.array(entry))
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartition(2 * shards, "dims", "shard")
-    return materialize(dealt.groupBy("dims", "shard").applyInArrow(build, "v array<double>, ids array<long>, dims int, shard int, node int, links array<int>, entry boolean"))
+    table = materialize(dealt.groupBy("dims", "shard").applyInArrow(build, "v array<double>, ids array<long>, dims int, shard int, node int, links array<int>, entry boolean"))
+    discard(nodes)
+    return table
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import materialize
+from signalframe.llm.common import discard, materialize
 
 COMPONENTS = 16
 #: Vectors become whole numbers: floor(SCALE * c) + SHIFT.
@@ -225,9 +225,11 @@ def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     covariance = np.stack([summed_squares[i] for i in range(dims)]) / n
     values, vectors = components((covariance + covariance.T) / 2, k)
     if not len(values):
+        discard(fit)
         return spark.createDataFrame([], SCHEMA)
     projection = spark.sparkContext.broadcast((vectors / np.sqrt(values)[:, None]).T.copy())
     again = products(fit, lambda block: centred(block)[0] @ projection.value)
+    discard(fit)
     error = float(np.abs(np.stack([again[i] for i in range(len(values))]) / n - np.eye(len(values))).max())
     explained = values / np.trace(covariance)
     found = len(values)
