@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.operators.series import best_lag, lag_products
+from signalframe.operators.blocks import neighbours
+from signalframe.operators.series import best_lag, lag_products, normalised_envelope
 
 
 def as_of(targets: DataFrame, series: DataFrame, keys: list[str], span: float, t: str = "t", value: str = "value", out: str = "value") -> DataFrame:
@@ -63,3 +64,38 @@ def synchronised(reference: DataFrame, moving: DataFrame, lags: DataFrame, keys:
     grid = grid.select(*keys, "k", "lag_s", "_start", (F.col("_start") + F.col("k") / rate).alias("t"))
     found = as_of(as_of(grid, reference, keys, span, out="a"), late, keys, span, out="b")
     return found.select(*keys, "k", (F.col("t") - F.col("_start")).alias("t"), "lag_s", "a", "b")
+
+
+def common_points(a: DataFrame, b: DataFrame, keys: list[str], span: float, least: int = 50) -> DataFrame:
+    """Both series (keys, t, value) at evenly spaced times from the later start to the earlier end: keys, k, t, a, b.
+
+    There are as many times as the shorter series has samples, `least` at least, both ends among them. Keys that one series lacks or whose series
+    do not overlap fall away. Times of a series differ.
+    """
+    ends = lambda rows, n: rows.where("t is not null and value is not null").groupBy(*keys).agg(F.min("t").alias(f"_s{n}"), F.max("t").alias(f"_e{n}"), F.count("*").alias(f"_n{n}"))
+    both = ends(a, "a").join(ends(b, "b"), keys).select(*keys, F.greatest("_sa", "_sb").alias("_start"), F.least("_ea", "_eb").alias("_end"), (F.greatest(F.lit(least), F.least("_na", "_nb")) - 1).cast("long").alias("_last")).where("_end > _start")
+    grid = both.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(10_000).cast("long")))).withColumn("k", F.explode(F.sequence("_b", F.least(F.col("_b") + 9999, "_last"))))
+    t = F.when(F.col("k") == F.col("_last"), F.col("_end")).otherwise(F.least("_end", F.col("_start") + F.col("k") * ((F.col("_end") - F.col("_start")) / F.col("_last"))))
+    return as_of(as_of(grid.select(*keys, "k", t.alias("t")), a, keys, span, out="a"), b, keys, span, out="b")
+
+
+def envelope_agreement(a: DataFrame, b: DataFrame, keys: list[str], span: float, least: int = 50, size: int = 100_000) -> DataFrame:
+    """Of each pair of envelopes on their common points, each divided by its start: n, correlation, rmse, mae and residual_lag1.
+
+    The correlations are null where a side is flat, that of the residual with itself one point later also under four points.
+    """
+    points = common_points(a, b, keys, span, least)
+    long = points.unpivot([*keys, "k"], ["a", "b"], "_side", "value")
+    scaled = normalised_envelope(long, [*keys, "_side"])
+    wide = scaled.groupBy(*keys, "k").agg(*[F.max(F.when(F.col("_side") == c, F.col("value"))).alias(c) for c in "ab"])
+    rows = neighbours(wide.withColumn("_e", F.col("a") - F.col("b")), keys, "k", {"_next": ("_e", 1)}, size)
+    flat = 2.220446049250313e-16
+
+    def correlation(x: Column, y: Column) -> Column:
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        deviations = F.stddev_pop(x), F.stddev_pop(y)
+        return F.when((F.count(x) >= 3) & (deviations[0] > flat) & (deviations[1] > flat), F.covar_pop(x, y) / (deviations[0] * deviations[1]))
+
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), correlation(F.col("a"), F.col("b")).alias("correlation"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), correlation(F.col("_e"), F.col("_next")).alias("residual_lag1")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,29 @@ def edge_rows(pixels: DataFrame, expected: float, sigma: float, taps: int = 3, l
     if least is None:
         return out
     return out.withColumn("success", F.col("signal") >= least).withColumn("edge", F.when(F.col("success"), F.col("edge")))
+
+
+def same_aspect(tolerance: float = 1e-3) -> Column:
+    """Whether height x width and to_height x to_width have one ratio of width to height but for a relative tolerance; false for sides that are null or not above 0."""
+    sides = F.least("height", "width", "to_height", "to_width") > 0
+    wanted, given = F.col("to_width") / F.when(sides, F.col("to_height")), F.col("width") / F.when(sides, F.col("height"))
+    known = F.col("height").isNotNull() & F.col("width").isNotNull() & F.col("to_height").isNotNull() & F.col("to_width").isNotNull()
+    return known & F.coalesce(F.abs(wanted - given) <= 1e-8 + tolerance * given, F.lit(False))
+
+
+def fitted(masks: DataFrame, sizes: DataFrame, keys: list[str], tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """Masks (keys, y, x, value) brought to the size of those that they are compared with by nearest neighbours, and the masks that cannot be.
+
+    sizes has one row a mask: keys, height, width, to_height, to_width. Pixel y of the new mask is pixel floor(y * height / to_height) of the old
+    one, and is on where that one is above 0 (null: off). The first table has keys, y, x, on; the second the sizes of masks of another
+    aspect or without a size. Every old pixel is sent to the new ones that it is, so no table of new pixels is joined.
+    """
+    sizes = sizes.withColumn("_good", same_aspect(tolerance))
+    rows = masks.select(*keys, "y", "x", "value").join(sizes.where("_good"), keys)
+
+    def first(c: str, size: str, to: str, more: int) -> Column:
+        return F.expr(f"cast((({c} + {more}) * {to} + {size} - 1) div {size} as long)")
+
+    rows = rows.withColumns({"_y0": first("y", "height", "to_height", 0), "_y1": first("y", "height", "to_height", 1) - 1, "_x0": first("x", "width", "to_width", 0), "_x1": first("x", "width", "to_width", 1) - 1})
+    rows = rows.where("_y0 <= _y1 and _x0 <= _x1").select(*keys, F.explode(F.sequence("_y0", "_y1")).alias("y"), "_x0", "_x1", F.coalesce(F.col("value") > 0, F.lit(False)).alias("on"))
+    return rows.select(*keys, "y", F.explode(F.sequence("_x0", "_x1")).alias("x"), "on"), sizes.where(~F.col("_good")).drop("_good")

@@ -14,11 +14,15 @@ from signalframe.operators.spectral import dominant, prepared, spectrum
 KEYS = ["source_id", "axis"]
 
 
-def by_region(vectors: DataFrame, regions: DataFrame) -> DataFrame:
-    """Of each frame and region (roi, x_from, x_to; a few rows) the mean, median and largest motion of the vectors in it."""
-    magnitude = F.hypot("dx", "dy")
+def by_region(vectors: DataFrame, regions: DataFrame, width: float = 100.0) -> DataFrame:
+    """Of each frame and region (roi, x_from, x_to) the mean, median and largest motion of the vectors in it.
+
+    Regions and vectors meet by strips of `width`, so any number of regions is an equi-join.
+    """
+    strip = lambda c: F.floor(c / width)
+    cut = regions.where("x_from < x_to").withColumn("_strip", F.explode(F.sequence(strip(F.col("x_from")), strip(F.col("x_to")))))
     inside = (F.col("x") >= F.col("x_from")) & (F.col("x") < F.col("x_to"))
-    rows = vectors.join(F.broadcast(regions), inside).withColumn("_m", magnitude)
+    rows = vectors.withColumn("_strip", strip(F.col("x"))).join(cut, "_strip").where(inside).withColumn("_m", F.hypot("dx", "dy"))
     return rows.groupBy("frame", "roi").agg(
         F.avg("dx").alias("mean_dx"), F.avg("dy").alias("mean_dy"), F.percentile("dx", F.lit(0.5)).alias("med_dx"), F.avg("_m").alias("mean_m"), F.percentile("_m", F.lit(0.5)).alias("med_m"), F.max("_m").alias("max_m"), F.count("*").alias("n")
     )
@@ -55,9 +59,10 @@ def damping(peaks: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def decay_ratio(envelopes: DataFrame, share: float = 0.05, keys: list[str] = KEYS) -> DataFrame:
     """Medians of the first and last share of samples (at least one) and their ratio."""
-    n = F.count("*").over(Window.partitionBy(*keys))
+    n = F.col("_n")
     part = F.greatest(F.lit(1), F.ceil(n * share))
-    rows = envelopes.withColumns({"_a": F.col("idx") < part, "_b": F.col("idx") >= n - part})
+    rows = envelopes.join(envelopes.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    rows = rows.withColumns({"_a": F.col("idx") < part, "_b": F.col("idx") >= n - part})
     med = lambda c: F.percentile(F.when(F.col(c), F.col("value")), F.lit(0.5))
     out = rows.groupBy(*keys).agg(med("_a").alias("start"), med("_b").alias("end"))
     return out.withColumns({"ratio": F.when(F.col("start") != 0, F.col("end") / F.col("start")), "decaying": F.col("end") < F.col("start")})
@@ -132,8 +137,8 @@ def edge_metrics(rows: DataFrame, keys: list[str], order: str, value: str, jump:
 
 def first_frame_gain(brightness: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
     """Gain that brings each frame to the brightness of its series' first frame."""
-    first = F.min_by(value, frame).over(Window.partitionBy(*keys))
-    return brightness.withColumn("gain", F.when(F.col(value) > 0, first / F.col(value)).otherwise(1.0))
+    first = brightness.groupBy(*keys).agg(F.min_by(value, frame).alias("_first"))
+    return brightness.join(first, keys).withColumn("gain", F.when(F.col(value) > 0, F.col("_first") / F.col(value)).otherwise(1.0)).drop("_first")
 
 
 def polygon_area(xs: Column, ys: Column, width: int, height: int) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalframe.plans import alignment_queries, archive_queries, evaluation_queries, point_queries, recording_queries, series_queries, spectral_queries, study_queries, summary_queries
+from signalframe.plans import alignment_queries, archive_queries, evaluation_queries, point_queries, recording_queries, series_queries, spectral_queries, stage_queries, study_queries, summary_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = {**point_queries.QUERIES, **series_queries.QUERIES, **archive_queries.QUERIES, **spectral_queries.QUERIES, **study_queries.QUERIES, **evaluation_queries.QUERIES, **recording_queries.QUERIES, **alignment_queries.QUERIES, **summary_queries.QUERIES}
+ALL = {**point_queries.QUERIES, **series_queries.QUERIES, **archive_queries.QUERIES, **spectral_queries.QUERIES, **study_queries.QUERIES, **evaluation_queries.QUERIES, **recording_queries.QUERIES, **alignment_queries.QUERIES, **summary_queries.QUERIES, **stage_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

@@ -170,6 +170,45 @@ def with_time(df: DataFrame, candidates: Iterable[str | tuple[str, str]] = SENSO
     raise ValueError("no time column, and no rate for frames or rows")
 
 
+#: Fixed names under which a mapping holds its times and its values.
+MAPPED_TIMES = ("time", "time_s", "timestamps", "timestamp", "t")
+MAPPED_VALUES = ("values", "signal", "data", "displacement", "acceleration")
+
+
+def to_signal(spark: SparkSession, loaded: object, name: str, time_column: str | None = None, value_column: str | None = None, rate: float | None = None, order: str | None = None, relative: bool = False) -> DataFrame:
+    """What a loader returned, as one table of finite samples: axis (the name), t, value.
+
+    A DataFrame keeps its rows: t by with_time, which measures numbers from the smallest with `relative` and time stamps always; the value is value_column, else the first column with two numbers that is
+    neither time nor `order`. A mapping with times and values under a fixed name, value_column or the signal's name, a pair (times, values),
+    or an object with both as attributes is a local sample and must be of equal lengths. Anything else is a TypeError.
+    """
+    if isinstance(loaded, DataFrame):
+        rows, source = with_time(loaded, requested=time_column, rate=rate, order=order, relative=relative, out="_t")
+        taken = {*(source or "").split("+"), order}
+        if value_column:
+            chosen = require(loaded, value_column) and value_column
+        else:
+            free = [c for c in loaded.columns if c not in taken and c.lower() not in {str(x).lower() for x in taken}]
+            seen = loaded.agg(*[F.count(number(F.col(f"`{c}`").cast("string"))).alias(f"n{i}") for i, c in enumerate(free)]).first() if free else []
+            chosen = next((c for c, n in zip(free, seen, strict=True) if n >= 2), None)
+            if chosen is None:
+                raise ValueError(f"no column of numbers among {loaded.columns}")
+        rows = rows.select(F.col("_t").alias("t"), number(F.col(f"`{chosen}`").cast("string")).alias("value"))
+    else:
+        if isinstance(loaded, Mapping):
+            pick = lambda names: next((loaded[k] for k in names if k and k in loaded), None)
+            times, values = pick(MAPPED_TIMES), pick((value_column, *MAPPED_VALUES, name))
+        elif isinstance(loaded, tuple | list) and len(loaded) >= 2:
+            times, values = loaded[:2]
+        else:
+            times, values = getattr(loaded, "time", None), getattr(loaded, "values", None)
+        if times is None or values is None or callable(values):
+            raise TypeError(f"{name}: no times and values in a {type(loaded).__name__}")
+        pairs = [(None if t is None else float(t), None if v is None else float(v)) for t, v in zip(times, values, strict=True)]
+        rows = spark.createDataFrame(pairs, "t double, value double")
+    return rows.where(finite(F.col("t")) & finite(F.col("value"))).select(F.lit(name).alias("axis"), "t", "value")
+
+
 #: Fixed aliases of the columns of video metadata.
 METADATA = {"video_id": ("video_id", "video", "stem", "name", "filename", "file_name"), "num_frames": ("num_frames", "nb_frames", "frames", "frame_count"), "fps": ("fps", "frame_rate", "sampling_rate")}
 
