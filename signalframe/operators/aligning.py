@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.operators.blocks import neighbours
-from signalframe.operators.series import best_lag, lag_products, normalised_envelope
+from signalframe.operators.series import best_lag, lag_products
 
 
 def as_of(targets: DataFrame, series: DataFrame, keys: list[str], span: float, t: str = "t", value: str = "value", out: str = "value") -> DataFrame:
@@ -67,7 +67,7 @@ def synchronised(reference: DataFrame, moving: DataFrame, lags: DataFrame, keys:
 
 
 def common_points(a: DataFrame, b: DataFrame, keys: list[str], span: float, least: int = 50) -> DataFrame:
-    """Both series (keys, t, value) at evenly spaced times from the later start to the earlier end: keys, k, t, a, b.
+    """Both series (keys, t, value) at evenly spaced times from the later start to the earlier end: keys, k, t, n (of these times), a, b.
 
     There are as many times as the shorter series has samples, `least` at least, both ends among them. Keys that one series lacks or whose series
     do not overlap fall away. Times of a series differ.
@@ -76,7 +76,10 @@ def common_points(a: DataFrame, b: DataFrame, keys: list[str], span: float, leas
     both = ends(a, "a").join(ends(b, "b"), keys).select(*keys, F.greatest("_sa", "_sb").alias("_start"), F.least("_ea", "_eb").alias("_end"), (F.greatest(F.lit(least), F.least("_na", "_nb")) - 1).cast("long").alias("_last")).where("_end > _start")
     grid = both.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"), F.lit(10_000).cast("long")))).withColumn("k", F.explode(F.sequence("_b", F.least(F.col("_b") + 9999, "_last"))))
     t = F.when(F.col("k") == F.col("_last"), F.col("_end")).otherwise(F.least("_end", F.col("_start") + F.col("k") * ((F.col("_end") - F.col("_start")) / F.col("_last"))))
-    return as_of(as_of(grid.select(*keys, "k", t.alias("t")), a, keys, span, out="a"), b, keys, span, out="b")
+    sides = grid.select(*keys, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("_side"), "k", (F.col("_last") + 1).alias("n"), t.alias("t"))
+    samples = a.select(*keys, F.lit("a").alias("_side"), "t", "value").unionByName(b.select(*keys, F.lit("b").alias("_side"), "t", "value"))
+    found = as_of(sides, samples, [*keys, "_side"], span)
+    return found.groupBy(*keys, "k").agg(F.max("t").alias("t"), F.max("n").alias("n"), *[F.max(F.when(F.col("_side") == c, F.col("value"))).alias(c) for c in "ab"])
 
 
 def envelope_agreement(a: DataFrame, b: DataFrame, keys: list[str], span: float, least: int = 50, size: int = 100_000) -> DataFrame:
@@ -84,12 +87,13 @@ def envelope_agreement(a: DataFrame, b: DataFrame, keys: list[str], span: float,
 
     The correlations are null where a side is flat, that of the residual with itself one point later also under four points.
     """
+    flat = 2.220446049250313e-16
     points = common_points(a, b, keys, span, least)
-    long = points.unpivot([*keys, "k"], ["a", "b"], "_side", "value")
-    scaled = normalised_envelope(long, [*keys, "_side"])
-    wide = scaled.groupBy(*keys, "k").agg(*[F.max(F.when(F.col("_side") == c, F.col("value"))).alias(c) for c in "ab"])
+    first = F.col("k") < F.greatest(F.lit(3.0), F.bround(0.05 * F.col("n"), 0))
+    scales = points.groupBy(*keys).agg(*[f.alias(f"_{n}{c}") for c in "ab" for n, f in (("s", F.percentile(F.when(first, F.col(c)), F.lit(0.5))), ("t", F.max(F.abs(c))))])
+    by = lambda c: F.when(F.col(f"_s{c}") > flat, F.col(f"_s{c}")).when(F.col(f"_t{c}") > flat, F.col(f"_t{c}"))
+    wide = points.join(scales, keys).select(*keys, "k", *[(F.col(c) / by(c)).alias(c) for c in "ab"])
     rows = neighbours(wide.withColumn("_e", F.col("a") - F.col("b")), keys, "k", {"_next": ("_e", 1)}, size)
-    flat = 2.220446049250313e-16
 
     def correlation(x: Column, y: Column) -> Column:
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
