@@ -139,6 +139,7 @@ def percentiles(df: DataFrame, keys: list[str], columns: list[str], shares: list
             same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
         return left.join(other, same).drop(*[f"_r{c}" for c in on])
 
+    counts = counts.where("n > 0")  # true of all; keeps n where only v is read, so that one exchange of the counts serves all readers
     cuts = counts.groupBy(*names).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("cuts"))
     placed = beside(counts, cuts, names).select(*names, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bucket"))
     whole = Window.partitionBy(*names)

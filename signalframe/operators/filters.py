@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.scalars import finite
@@ -18,12 +18,17 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def good_points(points: DataFrame, max_fb: float = 1.0, max_jump: float = 20.0, ids: list[int] | None = None) -> DataFrame:
-    """Points with a good status, finite values and errors within the limits; only of the given ids, if any."""
+def good_test(max_fb: float = 1.0, max_jump: float = 20.0, ids: list[int] | None = None) -> Column:
+    """Whether a point has a good status, finite values and errors within the limits, and one of the given ids, if any."""
     test = (F.col("status") == 1) & (F.col("fb_error") <= max_fb) & (F.col("jump_px") <= max_jump)
     for c in ("x", "y", "fb_error", "jump_px"):
         test = test & finite(F.col(c))
-    return points.where(test & F.col("point_id").isin(ids) if ids else test)
+    return test & F.col("point_id").isin(ids) if ids else test
+
+
+def good_points(points: DataFrame, max_fb: float = 1.0, max_jump: float = 20.0, ids: list[int] | None = None) -> DataFrame:
+    """Points that pass good_test."""
+    return points.where(good_test(max_fb, max_jump, ids))
 
 
 def gated(points: DataFrame, max_jump: float, max_fb: float) -> DataFrame:

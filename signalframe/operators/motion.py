@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalframe.operators.blocks import first_rows, percentiles
@@ -43,13 +43,14 @@ def diagnostics(points: DataFrame, ids: list[int], measures: tuple[str, ...] = (
     return points.groupBy("frame", "t").agg(*cells)
 
 
-def point_statistics(points: DataFrame, good: DataFrame) -> DataFrame:
-    """Of each point: rows, valid rows and share, error medians and maxima, first and last frame."""
-    total = points.groupBy("point_id").agg(F.count("*").alias("n_rows"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
-    valid = good.groupBy("point_id").agg(F.count("*").alias("n_valid"), F.max("fb_error").alias("max_fb"), F.max("jump_px").alias("max_jump"))
-    medians = percentiles(good, ["point_id"], ["fb_error", "jump_px"], [0.5]).select("point_id", F.col("fb_error")[0].alias("med_fb"), F.col("jump_px")[0].alias("med_jump"))
-    out = total.join(valid, "point_id", "left").join(medians, "point_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
-    return out.withColumn("valid_share", F.col("n_valid") / F.col("n_rows"))
+def point_statistics(points: DataFrame, ok: Column) -> DataFrame:
+    """Of each point: rows, rows that pass the test and their share, error medians and maxima of these, first and last frame."""
+    out = points.groupBy("point_id").agg(
+        F.count("*").alias("n_rows"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
+        F.count_if(ok).alias("n_valid"), F.max(F.when(ok, F.col("fb_error"))).alias("max_fb"), F.max(F.when(ok, F.col("jump_px"))).alias("max_jump"),
+    )
+    medians = percentiles(points.where(ok), ["point_id"], ["fb_error", "jump_px"], [0.5]).select("point_id", F.col("fb_error")[0].alias("med_fb"), F.col("jump_px")[0].alias("med_jump"))
+    return out.join(medians, "point_id", "left").withColumn("valid_share", F.col("n_valid") / F.col("n_rows"))
 
 
 def motion_summary(points: DataFrame) -> DataFrame:

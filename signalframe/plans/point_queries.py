@@ -57,7 +57,7 @@ def point_diagnostics_wide(spark, sf):
 
 
 def point_statistics(spark, sf):
-    return rounded(motion.point_statistics(points(spark, sf), good(spark, sf)))
+    return rounded(motion.point_statistics(points(spark, sf), filters.good_test(max_fb=0.8)))
 
 
 def point_motion_summary(spark, sf):
