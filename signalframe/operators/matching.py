@@ -72,7 +72,7 @@ def measurements(signals: DataFrame, peaks: DataFrame, video: tuple[float, float
         F.count("*").alias("n"), F.min("t").alias("_s"), F.max("t").alias("_e"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.sqrt(F.avg(v * v)).alias("rms"), F.min(v).alias("low"), F.max(v).alias("high"),
         F.percentile(v, F.array(F.lit(0.05), F.lit(0.95))).alias("_q"),
     )
-    rows = by_axis.join(peaks, [key, axis], "left").withColumn("status", F.when(F.size("peaks") > 0, "ok").otherwise("no_peaks"))
+    rows = by_axis.hint("merge").join(peaks, [key, axis], "left").withColumn("status", F.when(F.size("peaks") > 0, "ok").otherwise("no_peaks"))
     nested = F.struct(F.col(axis).alias("axis"), "status", "n", "mean", "std", "rms", "low", "high", (F.col("_q")[1] - F.col("_q")[0]).alias("span90"), "peaks")
     out = rows.groupBy(key).agg(F.sum("n").alias("rows"), F.min("_s").alias("start"), F.max("_e").alias("end"), F.array_sort(F.collect_list(nested)).alias("axes"))
     ends = (F.col("start"), F.col("end"), start, end)

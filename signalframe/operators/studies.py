@@ -93,7 +93,7 @@ def anti_aliased(grid: DataFrame, factors: list[int], step: float, within: float
     """As downsampled_dominant, but filtered below share of the new Nyquist frequency before samples are left out, with the relative errors in percent of
     dominant frequency and amplitude ((q95 - q05) / 2) against factor 1, and whether each is at most `within`. Series k are dense."""
     starts = grid.groupBy(*keys).agg(F.min("k").alias("_k"))
-    rows = grid.join(starts, keys).select(*keys, (F.col("k") - F.col("_k")).alias("k"), F.col("value").cast("double").alias("value"))
+    rows = grid.join(starts.hint("merge"), keys).select(*keys, (F.col("k") - F.col("_k")).alias("k"), F.col("value").cast("double").alias("value")).hint("merge")
     thinned = None
     for f in factors:
         one = rows if f == 1 else decimated_low_pass(rows, keys, "k", "value", low_pass(taps, share / (2 * f)), f, "_y").withColumn("value", F.col("_y")).drop("_y")
@@ -105,8 +105,8 @@ def anti_aliased(grid: DataFrame, factors: list[int], step: float, within: float
     found = amplitudes.join(dominant(spectrum(samples, 1.0, 0.0, 0.5, keys=names), names).select(*names, "frequency"), names, "left")
     rate = 1 / (step * F.col("factor"))
     found = found.select(*names, "n", rate.alias("rate"), (F.col("frequency") * rate).alias("dominant"), ((F.col("_q")[1] - F.col("_q")[0]) / 2).alias("amplitude"))
-    base = found.where("factor = 1").select(*keys, F.col("dominant").alias("_f"), F.col("amplitude").alias("_a"))
-    found = found.join(base, keys, "left").withColumns({"frequency_error": relative_error(F.col("dominant"), F.col("_f")), "amplitude_error": relative_error(F.col("amplitude"), F.col("_a"))})
+    base = lambda c: F.max(F.when(F.col("factor") == 1, F.col(c))).over(Window.partitionBy(*keys))
+    found = found.withColumns({"_f": base("dominant"), "_a": base("amplitude")}).withColumns({"frequency_error": relative_error(F.col("dominant"), F.col("_f")), "amplitude_error": relative_error(F.col("amplitude"), F.col("_a"))})
     return found.withColumns({"frequency_ok": F.coalesce(F.col("frequency_error") <= within, F.lit(False)), "amplitude_ok": F.coalesce(F.col("amplitude_error") <= within, F.lit(False)), "below_nyquist": F.coalesce(F.col("_f") < F.col("rate") / 2, F.lit(False))}).drop("_f", "_a")
 
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalframe.operators import aligning, colours, masks, series, stages, studies
+from signalframe.operators import aligning, colours, masks, series, spectral, stages, studies
+from signalframe.plans import queries as base
 from signalframe.sources import tables
 
 
@@ -145,3 +146,23 @@ def test_regions_meet_vectors_by_strips(spark, width):
                 n, m = want.get((f, roi), (0, 0.0))
                 want[f, roi] = (n + 1, max(m, math.hypot(a, b)))
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+@pytest.mark.parametrize("name", ["spectrum_symmetric_detrended", "spectrum_dominant_unwindowed", "series_downsampled_dominant", "series_antialiased", "archive_measurements", "archive_conclusion"])
+def test_resampled_series_are_not_broadcast(spark, name):
+    """The plan's sizes come from the compressed table, of which a resampled series or its spectra are many times."""
+    assert broadcasts(base.queries()[name](spark, "/root/testdata/sf0.001")) == 0
+
+
+def test_trend_of_a_grid_in_one_join(spark):
+    rows = [("a", "x", 100 + k, v) for k, v in enumerate((1.0, 4.0, 2.0, 9.0))] + [("b", "x", 7, 3.0)]
+    found = spectral.prepared(spark.createDataFrame(rows, "source_id string, axis string, k long, value double"), detrend="linear")
+    got = {(r.source_id, r.i): r.x for r in found.collect()}
+    y = np.array([1.0, 4.0, 2.0, 9.0])
+    s, c = np.polyfit(np.arange(4), y, 1)
+    assert np.allclose([got["a", i] for i in range(4)], y - s * np.arange(4) - c)
+    assert got["b", 0] == 0
