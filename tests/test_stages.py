@@ -3,6 +3,7 @@ import datetime
 import math
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,13 @@ def test_trend_of_a_grid_in_one_join(spark):
     s, c = np.polyfit(np.arange(4), y, 1)
     assert np.allclose([got["a", i] for i in range(4)], y - s * np.arange(4) - c)
     assert got["b", 0] == 0
+
+
+def test_spectra_of_single_samples(spark):
+    """Their Hann window is 0 throughout."""
+    rows = [("a", "x", 3, 5.0)] + [("b", "x", k, v) for k, v in enumerate((1.0, 4.0, 2.0, 9.0))]
+    grid = spark.createDataFrame(rows, "source_id string, axis string, k long, value double")
+    for detrend, kind in (("mean", "periodic"), ("linear", "symmetric")):
+        found = {(r.source_id, r.bin): r.amplitude for r in spectral.spectrum(spectral.prepared(grid, detrend=detrend), 1.0, 0.0, 0.5, kind).collect()}
+        assert sorted(found) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
+        assert math.isnan(found["a", 0]) and found["b", 1] > 0
