@@ -115,7 +115,7 @@ QUERIES = {
         SELECT point_id, total_samples, num_samples, round(num_samples / total_samples, 5) AS success_rate, round((x1 - x0) / 2, 5) AS amp_x, round((y1 - y0) / 2, 5) AS amp_y, round(rms_x, 5) AS rms_x, round(rms_y, 5) AS rms_y, round(mean_x, 5) AS mean_x, round(mean_y, 5) AS mean_y, round(mean_jump, 5) AS mean_jump,
         round(max_jump, 5) AS max_jump, round(frequency, 5) AS dominant, num_samples / total_samples >= 0.8 AND mean_jump <= 3 AND frequency IS NOT NULL AS valid, CASE WHEN num_samples < 10 THEN 'too_few_valid_samples' WHEN num_samples / total_samples >= 0.8 AND mean_jump <= 3 AND frequency IS NOT NULL THEN 'ok' ELSE 'low_quality_tracking' END AS reason
         FROM m LEFT JOIN d USING (point_id)"""),
-    "frame_objects": (frame_objects, f"WITH {DETECTIONS} SELECT c_custkey AS frame, count(object_id)::INT AS n, coalesce(string_agg(concat(object_id, '/', class_id), ';' ORDER BY object_id, class_id), '') AS objects FROM customer LEFT JOIN detections ON frame = c_custkey GROUP BY 1"),
+    "frame_objects": (frame_objects, f"WITH {DETECTIONS} SELECT c_custkey AS frame, count(object_id)::INT AS n, coalesce(string_agg(object_id || '/' || class_id, ';' ORDER BY object_id, class_id), '') AS objects FROM customer LEFT JOIN detections ON frame = c_custkey GROUP BY 1"),
     "trail_rows": (trail_rows, f"WITH {DETECTIONS}, r AS (SELECT * FROM detections WHERE score > 0.5) SELECT r.class_id, f.frame AS \"at\", r.frame, object_id, x, y FROM r JOIN (SELECT DISTINCT class_id, frame FROM r) f ON f.class_id = r.class_id AND r.frame > f.frame - 5 AND r.frame <= f.frame"),
     "manifest_flags": (manifest_flags, f"""WITH {DETECTIONS}, {PIXELS}, m AS (SELECT c_custkey AS frame, c_custkey IN (SELECT s_suppkey FROM supplier) AS found_frames, c_custkey IN (SELECT frame FROM detections WHERE score > 0.9) AS found_predictions, c_custkey IN (SELECT frame FROM pixels WHERE "on") AS found_truth FROM customer)
         SELECT *, concat_ws(',', CASE WHEN NOT found_frames THEN 'frames' END, CASE WHEN NOT found_predictions THEN 'predictions' END, CASE WHEN NOT found_truth THEN 'truth' END) AS missing FROM m"""),

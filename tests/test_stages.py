@@ -177,3 +177,20 @@ def test_spectra_of_single_samples(spark):
         found = {(r.source_id, r.bin): r.amplitude for r in spectral.spectrum(spectral.prepared(grid, detrend=detrend), 1.0, 0.0, 0.5, kind).collect()}
         assert sorted(found) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
         assert math.isnan(found["a", 0]) and found["b", 1] > 0
+
+
+def against_sql(spark, folder, name, **tables):
+    """Rows of a query and of its SQL over small tables, each a DuckDB SELECT."""
+    con = duckdb.connect()
+    for table, sql in tables.items():
+        con.execute(f"copy ({sql}) to '{folder}/{table}.parquet' (format parquet)")
+        con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    found, want = base.queries()[name](spark, str(folder)), con.execute(base.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    return sorted(map(tuple, found.select(*names).collect())), sorted(want.fetchall()), names
+
+
+def test_objects_of_an_empty_frame(spark, tmp_path):
+    orders = "select 7::BIGINT as o_orderkey, 1::BIGINT as o_custkey, '5-LOW' as o_orderpriority, 100.0::DOUBLE as o_totalprice"
+    found, want, _ = against_sql(spark, tmp_path, "frame_objects", customer="select unnest([1, 2])::BIGINT as c_custkey", orders=orders)
+    assert found == want == [(1, 1, "7/5-LOW"), (2, 0, "")]
