@@ -97,7 +97,7 @@ QUERIES = {
         p AS (SELECT source_id, k, l.z AS a, r.z AS b, l.z - r.z AS e FROM (SELECT * FROM z WHERE axis = 'click') l JOIN (SELECT * FROM z WHERE axis = 'view') r USING (source_id, k)), d AS (SELECT *, lead(e) OVER (PARTITION BY source_id ORDER BY k) AS f FROM p)
         SELECT source_id, count(*) AS n, round(CASE WHEN stddev_pop(a) > 2.3e-16::DOUBLE AND stddev_pop(b) > 2.3e-16::DOUBLE THEN corr(a, b) END, 4) + 0.0 AS correlation, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae,
           round(CASE WHEN stddev_pop(e) FILTER (f IS NOT NULL) > 2.3e-16::DOUBLE AND stddev_pop(f) > 2.3e-16::DOUBLE THEN corr(e, f) END, 4) + 0.0 AS residual_lag1 FROM d GROUP BY 1"""),
-    "series_staged": (series_staged, f"""WITH {SIGNALS}, m AS (SELECT source_id, axis, regr_slope(value, t) AS s, regr_intercept(value, t) AS i FROM signals GROUP BY 1, 2), d AS (SELECT source_id, axis, idx, t, value - s * t - i AS value FROM signals JOIN m USING (source_id, axis)),
+    "series_staged": (series_staged, f"""WITH {SIGNALS}, m AS (SELECT source_id, axis, regr_slope(value, t) AS s, regr_intercept(value, t) AS i, max(abs(value)) AS v, max(abs(t)) AS u FROM signals GROUP BY 1, 2), d AS (SELECT source_id, axis, idx, t, CASE WHEN abs(value - s * t - i) <= 1e-12::DOUBLE * (v + abs(s) * u) THEN 0 ELSE value - s * t - i END AS value FROM signals JOIN m USING (source_id, axis)),
         w AS (SELECT source_id, axis, avg(value) AS m, stddev_pop(value) AS s, min(value) AS a, max(value) AS b FROM d GROUP BY 1, 2)
         SELECT source_id, axis, idx, round(t, 4) AS t, round(value, 4) + 0.0 AS value, round(CASE WHEN s > 0 THEN (value - m) / s ELSE value END, 4) + 0.0 AS z, round(CASE WHEN b > a THEN (value - a) / (b - a) ELSE value END, 4) + 0.0 AS unit FROM d JOIN w USING (source_id, axis) WHERE idx % 3 = 0"""),
     "signal_loaded": (signal_loaded, """WITH f AS (SELECT min(ts) AS first FROM events), s AS (SELECT date_diff('microsecond', first, ts) / 1e6::DOUBLE AS t, value FROM events, f WHERE ts IS NOT NULL AND isfinite(value))

@@ -194,3 +194,11 @@ def test_objects_of_an_empty_frame(spark, tmp_path):
     orders = "select 7::BIGINT as o_orderkey, 1::BIGINT as o_custkey, '5-LOW' as o_orderpriority, 100.0::DOUBLE as o_totalprice"
     found, want, _ = against_sql(spark, tmp_path, "frame_objects", customer="select unnest([1, 2])::BIGINT as c_custkey", orders=orders)
     assert found == want == [(1, 1, "7/5-LOW"), (2, 0, "")]
+
+
+def test_two_samples_have_no_score(spark, tmp_path):
+    """A line through two samples leaves nothing, so no rounding may be standardised."""
+    events = "select i as event_id, TIMESTAMP '2024-01-01' + to_microseconds((i * 7919 % 1000 * 2592000017) // 1) as ts, i // 2 as user_id, 'view' as event_type, i * 37 % 1009 / 7.0::DOUBLE as value from range(400) r(i)"
+    found, want, names = against_sql(spark, tmp_path, "series_staged", events=events)
+    assert found == want and len(found) == 200
+    assert {r[names.index(c)] for r in found for c in ("value", "z", "unit")} == {0.0}
