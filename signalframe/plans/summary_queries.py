@@ -126,7 +126,7 @@ QUERIES = {
         m AS (SELECT frame, y, avg(s) OVER (PARTITION BY frame ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM p) SELECT frame, CASE WHEN max(s) >= 5 THEN arg_max(y, (round(s, 6), -y)) END AS edge, round(max(s), 4) AS signal, max(s) >= 5 AS success FROM m GROUP BY 1"""),
     "spectrum_profile": (spectrum_profile, f"""WITH {SIGNALS}, {GRID}, {SPECTRA.format(keys='source_id, axis', source='grid')}, r AS (SELECT source_id, axis, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS peak_to_peak FROM grid GROUP BY 1, 2),
         p AS (SELECT source_id, axis, sum(amplitude^2) AS p, sum(amplitude^2 * bin / (n * {STEP}::DOUBLE)) AS pf, sum(amplitude^2 * (bin / (n * {STEP}::DOUBLE))^2) AS pff, max(amplitude^2) AS top, quantile_cont(amplitude^2, 0.5) AS mid FROM a WHERE bin > 0 GROUP BY 1, 2)
-        SELECT source_id, axis, round(pf / p, 4) AS centroid, round(sqrt(greatest(0, pff / p - (pf / p)^2)), 4) AS bandwidth, round(top / mid, 4) AS prominence, round(frequency / {STEP}::DOUBLE, 4) AS dominant, round(rms, 4) AS rms, round(peak_to_peak, 4) AS peak_to_peak FROM p JOIN d USING (source_id, axis) JOIN r USING (source_id, axis)"""),
+        SELECT source_id, axis, round(pf / p, 4) AS centroid, round(sqrt(greatest(0, pff / p - (pf / p)^2)), 4) AS bandwidth, round(top / mid, 4) AS prominence, round(round(frequency * n) / (n * {STEP}::DOUBLE), 4) AS dominant, round(rms, 4) AS rms, round(peak_to_peak, 4) AS peak_to_peak FROM p JOIN d USING (source_id, axis) JOIN r USING (source_id, axis)"""),
     "agreement_labels": (agreement_labels, f"""WITH {SIGNALS}, g AS (SELECT source_id, axis, count(*) AS n, avg(value) % 60 AS e, CASE WHEN count(*) % 7 <> 0 THEN stddev_pop(value) % 1 END AS c FROM signals GROUP BY 1, 2)
         SELECT source_id, axis, CASE WHEN n < 9 THEN 'analysis_failed' WHEN n % 5 = 0 THEN 'decay_not_confirmed' WHEN n % 11 = 0 THEN 'insufficient_metrics' WHEN e <= 10 AND e / 3 <= 5 AND coalesce(c, -1) >= 0.8 THEN 'strong_physical_agreement'
           WHEN e <= 25 AND e / 3 <= 10 AND coalesce(c, -1) >= 0.5 THEN 'moderate_physical_agreement' WHEN e <= 50 AND e / 3 <= 20 THEN 'weak_physical_agreement' ELSE 'no_physical_agreement' END AS physical,

@@ -202,3 +202,10 @@ def test_two_samples_have_no_score(spark, tmp_path):
     found, want, names = against_sql(spark, tmp_path, "series_staged", events=events)
     assert found == want and len(found) == 200
     assert {r[names.index(c)] for r in found for c in ("value", "z", "unit")} == {0.0}
+
+
+def test_dominant_frequency_on_a_rounding_step(spark, tmp_path):
+    """Bin 3 of 80 samples each 6 hours is 0.00625."""
+    events = "select k as event_id, TIMESTAMP '2024-01-01' + to_hours(6 * k) as ts, 1::BIGINT as user_id, 'view' as event_type, 10 * sin(2 * pi() * 3 * k / 80) as value from range(81) r(k)"
+    found, want, names = against_sql(spark, tmp_path, "spectrum_profile", events=events)
+    assert found[0][names.index("dominant")] == want[0][names.index("dominant")] == 0.0063
