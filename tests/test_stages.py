@@ -209,3 +209,25 @@ def test_dominant_frequency_on_a_rounding_step(spark, tmp_path):
     events = "select k as event_id, TIMESTAMP '2024-01-01' + to_hours(6 * k) as ts, 1::BIGINT as user_id, 'view' as event_type, 10 * sin(2 * pi() * 3 * k / 80) as value from range(81) r(k)"
     found, want, names = against_sql(spark, tmp_path, "spectrum_profile", events=events)
     assert found[0][names.index("dominant")] == want[0][names.index("dominant")] == 0.0063
+
+
+@pytest.mark.parametrize("held", [7, 100_000])
+def test_spectrum_of_long_and_short_series_in_parts(spark, held):
+    """A direct sum over samples and bins of 60 000 samples would be 1.8e9 terms."""
+    rng = np.random.default_rng(5)
+    data = {("a", n): rng.normal(size=n) for n in ((9, 9, 16, 31) if held < 10 else (60_000, 12, 3))}
+    rows = [(key, n, k, float(v)) for (key, n), x in data.items() for k, v in enumerate(x)]
+    grid = spark.createDataFrame(rows, "source_id string, axis int, k long, value double").repartition(3)
+    found = {}
+    for r in spectral.spectrum(spectral.prepared(grid), 1.0, 0.0, 0.5, held=held).collect():
+        found.setdefault((r.source_id, r.axis), {})[r.bin] = r.amplitude
+    for (key, n), x in data.items():
+        w = spectral.hann("periodic", np.arange(n), n)
+        want = abs(np.fft.rfft((x - x.mean()) * w)) / w.sum() * 2
+        want[[0] + ([n // 2] if n % 2 == 0 else [])] /= 2
+        assert np.allclose([found[key, n][b] for b in range(n // 2 + 1)], want, atol=1e-12)
+
+
+def test_harmonics_make_their_spectra_once(spark):
+    plan = base.queries()["harmonics_compared"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
