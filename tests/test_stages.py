@@ -6,9 +6,10 @@ from types import SimpleNamespace
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from signalframe.operators import aligning, colours, masks, series, spectral, stages, studies
+from signalframe.operators import aligning, colours, masks, ranking, series, spectral, stages, studies
 from signalframe.plans import queries as base
 from signalframe.sources import tables
 
@@ -231,3 +232,20 @@ def test_spectrum_of_long_and_short_series_in_parts(spark, held):
 def test_harmonics_make_their_spectra_once(spark):
     plan = base.queries()["harmonics_compared"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_partners_by_blocks_and_tiles(spark):
+    """The pairs stay in their tasks: one shuffle of each side and one of the best."""
+    rng = np.random.default_rng(2)
+    columns = ("frequency", "centroid", "bandwidth", "duration", "quality")
+    data = [(f"{i}/x", *[float(v) for v in rng.integers(1, 5, 5)]) for i in range(60)] + [("n/x", 1.0, None, 2.0, 3.0, 4.0)]
+    rows = spark.createDataFrame(data, "id string, " + ", ".join(f"{c} double" for c in columns))
+    left, right = (rows.select(F.col("id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in ("left", "right"))
+    left = left.where("left_id in ('0/x', '7/x', '31/x', 'n/x')")
+    pairs = left.crossJoin(right).where("left_id <> right_id").withColumn("score", ranking.pair_similarity())
+    order = Window.partitionBy("left_id").orderBy(F.desc(F.round("score", 9)), "right_id")
+    want = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    found = ranking.ranked_partners(left, right, 3, block=2, tiles=3)
+    assert "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+    plain = lambda df: sorted((r.left_id, r.rank, r.right_id, r.score and round(r.score, 9)) for r in df.collect())
+    assert plain(found) == plain(want) and len(plain(found)) == 12
