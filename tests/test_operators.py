@@ -168,6 +168,23 @@ def test_references_use_the_first_valid_rows(spark):
     assert motion.references(rows, 20).first().ref_x == pytest.approx(10.5)
 
 
+def test_frames_meet_references_where_they_lie(spark):
+    none, nan = None, float("nan")
+    rows = [(f, f / 2, i, x, float(i), 0.1, none, 0.0, nan if i else 1.0) for f, xs in enumerate([[3.0, 1.0, 8.0], [2.0, 9.0, none, 4.0, 6.0], [5.0]]) for i, x in enumerate(xs)]
+    df = spark.createDataFrame([*rows, rows[0]], "frame int, t double, point_id int, x double, y double, dx double, dy double, jump_px double, fb_error double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = motion.by_frame(motion.displaced(df, motion.references(df)))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = {r.frame: r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # no task holds all rows of a point
+    assert {f: (r.n_points, r.med_x, r.med_y, r.med_dy) for f, r in found.items()} == {0: (3, 3.0, 0.5, none), 1: (5, 5.0, 2.0, none)}
+    assert math.isnan(found[1].med_fb_error) and found[0].med_dx == 0.1
+
+
 def moving_object(frames, gap=(), speed=3.0):
     return [("v", f, None if f in gap else 10 + speed * f, None if f in gap else 20.0, 100.0) for f in range(frames)]
 
