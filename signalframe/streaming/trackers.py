@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from math import hypot
 
 import numpy as np
 import pandas as pd
@@ -17,28 +18,39 @@ from signalframe.operators.blocks import with_halo
 from signalframe.operators.flicker import newest_part
 from signalframe.sources.scratch import dropped, kept
 
-F_MATRIX = np.array([[1.0, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]])
-H_MATRIX = np.eye(2, 4)
-
-
-@dataclass
+@dataclass(slots=True)
 class Kalman:
-    """Constant-velocity filter of one object's centre; fixed covariances 10, 5 and 0.01."""
+    """Constant-velocity filter of one object's centre; fixed covariances 10, 5 and 0.01.
+
+    Both axes see the same noise and meet in no matrix, so they share one covariance of place and speed: p, c and q.
+    """
 
-    state: np.ndarray
-    cover: np.ndarray = field(default_factory=lambda: np.eye(4) * 10.0)
+    x: float
+    y: float
+    vx: float = 0.0
+    vy: float = 0.0
+    p: float = 10.0
+    c: float = 0.0
+    q: float = 10.0
 
     def predict(self) -> None:
-        self.state = F_MATRIX @ self.state
-        self.cover = F_MATRIX @ self.cover @ F_MATRIX.T + np.eye(4) * 0.01
+        self.x += self.vx
+        self.y += self.vy
+        self.p += 2 * self.c + self.q + 0.01
+        self.c += self.q
+        self.q += 0.01
 
     def update(self, x: float, y: float) -> None:
-        gain = self.cover @ H_MATRIX.T @ np.linalg.inv(H_MATRIX @ self.cover @ H_MATRIX.T + np.eye(2) * 5.0)
-        self.state = self.state + gain @ (np.array([x, y]) - H_MATRIX @ self.state)
-        self.cover = (np.eye(4) - gain @ H_MATRIX) @ self.cover
+        place, speed = self.p / (self.p + 5.0), self.c / (self.p + 5.0)
+        dx, dy = x - self.x, y - self.y
+        self.x += place * dx
+        self.y += place * dy
+        self.vx += speed * dx
+        self.vy += speed * dy
+        self.p, self.c, self.q = (1 - place) * self.p, (1 - place) * self.c, self.q - speed * self.c
 
     def numbers(self) -> list[float]:
-        return [*self.state.tolist(), *self.cover.ravel().tolist()]
+        return [self.x, self.y, self.vx, self.vy, self.p, self.c, self.q]
 
 
 @dataclass
@@ -54,13 +66,13 @@ class Single:
         if self.filter is None:
             if best is None:
                 return []
-            self.filter = Kalman(np.array([x[best], y[best], 0.0, 0.0]))
+            self.filter = Kalman(float(x[best]), float(y[best]))
         else:
             self.filter.predict()
             if best is not None:
-                self.filter.update(x[best], y[best])
+                self.filter.update(float(x[best]), float(y[best]))
         self.missed = 0 if best is not None else self.missed + 1
-        return [] if self.missed > self.coast else [(frame, 1, float(self.filter.state[0]), float(self.filter.state[1]), self.missed)]
+        return [] if self.missed > self.coast else [(frame, 1, self.filter.x, self.filter.y, self.missed)]
 
     def numbers(self) -> list[float]:
         return [] if self.filter is None else [*self.filter.numbers(), self.missed]
@@ -81,9 +93,12 @@ class Multi:
         alive = []
         for ident, kalman, missed in self.tracks:
             kalman.predict()
-            distance = [float(np.hypot(px - kalman.state[0], py - kalman.state[1])) for px, py in free]
-            k = int(np.argmin(distance)) if distance else -1
-            if k >= 0 and distance[k] < self.reach:
+            at_x, at_y, k, nearest = kalman.x, kalman.y, -1, self.reach
+            for i, (px, py) in enumerate(free):
+                distance = hypot(px - at_x, py - at_y)
+                if distance < nearest:
+                    k, nearest = i, distance
+            if k >= 0:
                 kalman.update(*free.pop(k))
                 missed = 0
             else:
@@ -91,10 +106,10 @@ class Multi:
             if missed <= self.age:
                 alive.append((ident, kalman, missed))
         for px, py in free:
-            alive.append((self.next_id, Kalman(np.array([px, py, 0.0, 0.0])), 0))
+            alive.append((self.next_id, Kalman(px, py), 0))
             self.next_id += 1
         self.tracks = alive
-        return [(frame, i, float(k.state[0]), float(k.state[1]), m) for i, k, m in alive]
+        return [(frame, i, k.x, k.y, m) for i, k, m in alive]
 
     def numbers(self) -> list[float]:
         return [n for _, k, m in self.tracks for n in (*k.numbers(), m)]

@@ -192,6 +192,19 @@ def moving_object(frames, gap=(), speed=3.0):
 DETECTED = "video string, frame long, x double, y double, area double"
 
 
+def test_filter_of_numbers_equals_that_of_matrices():
+    move, see = np.array([[1.0, 0, 1, 0], [0, 1, 0, 1], [0, 0, 1, 0], [0, 0, 0, 1]]), np.eye(2, 4)
+    state, cover, found = np.array([3.0, 7.0, 0.0, 0.0]), np.eye(4) * 10.0, trackers.Kalman(3.0, 7.0)
+    for i, (x, y) in enumerate(zip(noise(80, 1) * 9, noise(80, 2) * 9, strict=True)):
+        state, cover = move @ state, move @ cover @ move.T + np.eye(4) * 0.01
+        found.predict()
+        if i % 7 > 2:
+            gain = cover @ see.T @ np.linalg.inv(see @ cover @ see.T + np.eye(2) * 5.0)
+            state, cover = state + gain @ (np.array([x, y]) - see @ state), (np.eye(4) - gain @ see) @ cover
+            found.update(float(x), float(y))
+        assert np.allclose(found.numbers(), [*state, cover[0, 0], cover[0, 2], cover[2, 2]], rtol=1e-9, atol=1e-9)
+
+
 def test_single_tracker_coasts_and_loses(spark):
     df = spark.createDataFrame(moving_object(60, set(range(20, 25)) | set(range(40, 55))), DETECTED)
     found = {r.frame: (r.x, r.missed) for r in trackers.track(df, ["video"], trackers.Single).collect()}
