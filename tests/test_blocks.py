@@ -47,6 +47,28 @@ def test_scans_do_not_depend_on_blocks(spark, size):
     assert column(blocks.numbered(df.drop("idx"), series.KEYS, "t", "idx", size / 3), "value").tolist() == x.tolist()
 
 
+@pytest.mark.parametrize("size", [1, 4, 100_000])
+@pytest.mark.parametrize("alpha", [0.3, 1.0])
+def test_means_of_many_short_series(spark, size, alpha):
+    inf, nan = float("inf"), float("nan")
+    series_of = {(f"s{n}", a): [float((n * k) % 5) for k in range(1 + n % 9)] for n in range(40) for a in "ab"}
+    if alpha < 1:
+        series_of |= {("nan", None): [1.0, 2.0, nan, 4.0, 5.0, 6.0, 7.0], (None, "a"): [1.0, inf, 3.0, 4.0, 5.0, 6.0], (None, "b"): [2.0, 3.0]}
+    df = spark.createDataFrame([(*k, i, 0.0, v) for k, x in series_of.items() for i, v in enumerate(x)], SERIES)
+    out = series.ema(df, alpha, size=size)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Join" not in plan  # Python groups for the ends of full blocks alone
+    found = {(r.source_id, r.axis, r.idx): r.ema for r in out.collect()}
+    want = {}
+    for k, x in series_of.items():
+        y = x[0]
+        for i, v in enumerate(x):
+            y = (1 - alpha) * y + alpha * v
+            want[*k, i] = y
+    assert found.keys() == want.keys()
+    assert np.allclose([found[k] for k in want], list(want.values()), rtol=1e-12, equal_nan=True)
+
+
 @pytest.mark.parametrize("span", [0.7, 30.0, 1e6])
 def test_as_of_values_are_linear_between_neighbours(spark, span):
     rows, df = table(spark, gaps=True)
