@@ -64,25 +64,37 @@ def overlap_counts(truth: DataFrame, predicted: DataFrame, total: int) -> DataFr
     })
 
 
-def temporal_overlap(frames: DataFrame, on: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and population deviation of the IoU of the foreground pixels (frame, px) of consecutive frames; 1.0 where both are empty."""
-    pairs = frames.select("frame", *keys).join(frames.select((F.col("frame") - 1).alias("frame")), "frame")
-    each = overlap_counts(on.select("frame", "px"), on.select((F.col("frame") - 1).alias("frame"), "px"), 0).select("frame", "iou")
-    return pairs.join(each, "frame", "left").groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(F.coalesce("iou", F.lit(1.0))).alias("mean_iou"), F.stddev_pop(F.coalesce("iou", F.lit(1.0))).alias("std_iou"))
+def temporal_overlap(frames: DataFrame, on: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of the IoU of the foreground pixels (frame, px) of consecutive frames; 1.0 where both are empty.
 
-
-def edge_rows(pixels: DataFrame, expected: float, sigma: float, taps: int = 3, least: float | None = None) -> DataFrame:
+    With `by` a frame has a mask for each value of these columns, and masks of one value are compared. px is a whole number; 64 pixels of a
+    mask become the bits of one number where they lie, so no table of pixels is joined.
+    """
+    name = ["frame", *(by or [])]
+    before = (F.col("frame") - 1).alias("frame")
+    pairs = frames.select(*dict.fromkeys([*name, *keys])).join(frames.select(before, *name[1:]), name)
+    bits = on.groupBy(*name, F.floor(F.col("px") / 64).alias("_part")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(px, 64) as int)))").alias("_bits"))
+    none, own = F.lit(0).cast("long"), F.col("_bits")
+    sides = F.array(F.struct(F.col("frame"), own.alias("a"), none.alias("b")), F.struct(before, none.alias("a"), own.alias("b")))
+    parts = bits.select(*name[1:], "_part", F.explode(sides).alias("_s")).select(*name[1:], "_part", "_s.*").groupBy(*name, "_part").agg(F.bit_or("a").alias("a"), F.bit_or("b").alias("b"))
+    shared, either = F.col("a").bitwiseAND(F.col("b")), F.col("a").bitwiseOR(F.col("b"))
+    each = parts.groupBy(*name).agg((F.sum(F.bit_count(shared)) / F.sum(F.bit_count(either))).alias("iou"))
+    return pairs.join(each, name, "left").groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(F.coalesce("iou", F.lit(1.0))).alias("mean_iou"), F.stddev_pop(F.coalesce("iou", F.lit(1.0))).alias("std_iou"))
+
+
+def edge_rows(pixels: DataFrame, expected: float, sigma: float, taps: int = 3, least: float | None = None, by: list[str] | None = None) -> DataFrame:
     """Of each frame the row where the mean absolute vertical step, weighed by a prior around the expected row and smoothed over `taps` rows, is largest.
 
-    With `least`, success says whether the signal reaches it; the row is null where it does not.
+    With `least`, success says whether the signal reaches it; the row is null where it does not. With `by` a frame has an image for each value of these columns.
     """
-    column = Window.partitionBy("frame", "x").orderBy("y")
+    name = ["frame", *(by or [])]
+    column = Window.partitionBy(*name, "x").orderBy("y")
     steps = pixels.withColumn("d", F.abs(F.lead("v").over(column) - F.lag("v").over(column)) / 2).where("d is not null")
     prior = F.exp(-0.5 * ((F.col("y") - expected) / sigma) ** 2)
-    profile = steps.groupBy("frame", "y").agg(F.avg("d").alias("d")).withColumn("s", F.col("d") * prior)
-    near = Window.partitionBy("frame").orderBy("y").rowsBetween(-(taps // 2), taps // 2)
+    profile = steps.groupBy(*name, "y").agg(F.avg("d").alias("d")).withColumn("s", F.col("d") * prior)
+    near = Window.partitionBy(*name).orderBy("y").rowsBetween(-(taps // 2), taps // 2)
     profile = profile.withColumn("s", F.avg("s").over(near))
-    out = profile.groupBy("frame").agg(F.max_by("y", F.struct(F.round("s", 6), -F.col("y"))).alias("edge"), F.max("s").alias("signal"))
+    out = profile.groupBy(*name).agg(F.max_by("y", F.struct(F.round("s", 6), -F.col("y"))).alias("edge"), F.max("s").alias("signal"))
     if least is None:
         return out
     return out.withColumn("success", F.col("signal") >= least).withColumn("edge", F.when(F.col("success"), F.col("edge")))

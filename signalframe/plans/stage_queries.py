@@ -13,7 +13,7 @@ SPAN = 48.0  # hours
 
 
 def coloured(spark, sf):
-    rows = pixels(spark, sf)
+    rows = pixels(spark, sf, dealt=True)
     return rows.select("frame", "px", "y", "x", *[((F.col("v") * k) % 256).alias(c) for c, k in zip("rgb", (1, 2, 3), strict=True)])
 
 
@@ -27,12 +27,10 @@ MEASURES = ("mean_bed_edge_y", "std_bed_edge_y", "mean_temporal_iou")
 
 def colour_modes_compared(spark, sf):
     rows = colours.by_mode(coloured(spark, sf))
-    top = 1_000_000_000_000  # the frames of each mode under numbers of their own
-    frame = (F.col("place") * F.lit(top) + F.col("frame")).alias("frame")
-    rows = rows.select(frame, F.col("mode").alias("configuration"), "px", "y", "x", "v")
-    edges = masks.edge_rows(rows, 3.5, 2.0).withColumn("configuration", F.element_at(F.array(*[F.lit(m) for m in colours.MODES]), (F.floor(F.col("frame") / top) + 1).cast("int")))
+    rows = rows.select("frame", F.col("mode").alias("configuration"), "px", "y", "x", "v")
+    edges = masks.edge_rows(rows, 3.5, 2.0, by=["configuration"])
     edges = edges.groupBy("configuration").agg(F.avg("edge").alias("mean_bed_edge_y"), F.stddev_pop("edge").alias("std_bed_edge_y")).unpivot("configuration", list(MEASURES[:2]), "metric", "value")
-    overlaps = masks.temporal_overlap(rows.select("frame", "configuration").distinct(), rows.where("v > 127"), ["configuration"])
+    overlaps = masks.temporal_overlap(rows.where("px = 0").select("frame", "configuration").distinct(), rows.where("v > 127"), ["configuration"], ["configuration"])
     overlaps = overlaps.select("configuration", F.lit(MEASURES[2]).alias("metric"), F.col("mean_iou").alias("value"))
     return rounded(colours.configurations(edges.unionByName(overlaps), colours.MODES, MEASURES), 6)
 

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from signalframe.operators import masks, summaries
+from signalframe.plans import queries as base
 
 
 def test_runs_with_and_without_frames(spark):
@@ -64,6 +67,27 @@ def test_region_and_gate_of_masks(spark):
     assert all(r.edge is None and not r.success for r in masks.edge_rows(df, 3.0, 2.0, 7, 1e4).collect())
 
 
+def test_masks_of_consecutive_frames(spark):
+    masks_of = {(1, "a"): {0, 63, 64, 700}, (2, "a"): {63, 64, 65}, (3, "a"): set(), (4, "a"): set(), (6, "a"): {1}, (1, "b"): {5}, (2, "b"): {5}, (3, "b"): {5}}
+    frames = spark.createDataFrame(list(masks_of), "frame long, mode string")
+    on = spark.createDataFrame([(*k, p) for k, px in masks_of.items() for p in [*px, *px]], "frame long, mode string, px int")  # each pixel twice
+    found = masks.temporal_overlap(frames, on, ["mode"], ["mode"])
+    assert {r["mode"]: (r.pairs, round(r.mean_iou, 9)) for r in found.collect()} == {"a": (3, round((2 / 5 + 0 + 1) / 3, 9)), "b": (2, 1.0)}
+    one = masks.temporal_overlap(frames.where("mode = 'a'"), on.where("mode = 'a'"), ["mode"]).first()
+    assert (one.pairs, round(one.mean_iou, 9)) == (3, round((2 / 5 + 0 + 1) / 3, 9))
+
+
+def test_edges_of_several_images_a_frame(spark):
+    df = spark.createDataFrame([(0, m, y, x, 200 if y >= 3 + m else 10) for m in range(2) for y in range(8) for x in range(4)], "frame int, mode int, y int, x int, v int")
+    assert {(r.frame, r["mode"]): r.edge for r in masks.edge_rows(df, 3.0, 2.0, by=["mode"]).collect()} == {(0, 0): 2, (0, 1): 3}
+
+
+def test_pixels_of_colour_modes_stay_where_their_frame_is(spark):
+    plan = base.queries()["colour_modes_compared"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    deals = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("REPARTITION_BY_NUM" in line for line in deals) and not any(re.search(r"\b(x|y|px|v)#", line) for line in deals)
+
+
 def test_labels_of_agreement(spark):
     rows = [(True, True, 1.0, 1.0, 1.0), (None, False, 1.0, 1.0, 1.0), (False, True, None, 1.0, 1.0), (False, True, 10.0, 5.0, 0.8), (False, True, 10.0, 5.0, 0.6), (False, True, 10.0, 5.0, None), (False, True, 60.0, 5.0, 1.0)]
     df = spark.createDataFrame(rows, "f boolean, d boolean, a double, e double, c double").coalesce(1)
