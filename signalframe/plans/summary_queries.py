@@ -84,7 +84,7 @@ def mask_edges_gated(spark, sf):
 
 def spectrum_profile(spark, sf):
     rows = grid(spark, sf)
-    spectra = spectral.spectrum(spectral.prepared(rows), STEP, 0.0, 0.0834)
+    spectra = spectral.spectrum(spectral.prepared(rows).where("n >= 3"), STEP, 0.0, 0.0834)
     shape = spectral.features(spectra).join(spectral.dominant(spectra).select(*series.KEYS, F.col("frequency").alias("dominant")), series.KEYS)
     size = rows.groupBy(*series.KEYS).agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), (F.max("value") - F.min("value")).alias("peak_to_peak"))
     return rounded(shape.join(size, series.KEYS), 4)

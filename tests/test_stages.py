@@ -212,6 +212,13 @@ def test_dominant_frequency_on_a_rounding_step(spark, tmp_path):
     assert found[0][names.index("dominant")] == want[0][names.index("dominant")] == 0.0063
 
 
+def test_profiles_of_three_samples_and_more(spark, tmp_path):
+    """Users 0 .. 3 have 1 .. 4 samples on the grid of 6 hours; the SQL has no spectrum of fewer than three."""
+    events = "select 10 * u + k as event_id, TIMESTAMP '2024-01-01' + to_hours(6 * (u + 1) * k) as ts, u as user_id, 'view' as event_type, 1.0::DOUBLE + k * (u + 3) as value from range(4) r(u), range(2) s(k)"
+    found, want, names = against_sql(spark, tmp_path, "spectrum_profile", events=events)
+    assert found == want and [r[names.index("source_id")] for r in found] == [2, 3]
+
+
 @pytest.mark.parametrize("held", [7, 100_000])
 def test_spectrum_of_long_and_short_series_in_parts(spark, held):
     """A direct sum over samples and bins of 60 000 samples would be 1.8e9 terms."""
