@@ -64,6 +64,20 @@ def savitzky_golay(window: int, degree: int, derivative: int = 0, step: float =
     return (np.linalg.pinv(powers)[derivative] * math.factorial(derivative) / step**derivative).tolist()
 
 
+def mirrored_dot(x: np.ndarray, here: np.ndarray, at: np.ndarray, top: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Dot products around the samples x[here], which are number `at` of 0 .. top in their series (in order and without gaps in x).
+
+    Neighbours beyond a series' ends are mirrored at the end sample as far as the series reaches, and 0 from there on.
+    """
+    out, half = np.zeros(len(here)), len(weights) // 2
+    for o, w in zip(range(-half, half + 1), weights[::-1], strict=True):
+        k = at + o
+        k = np.where(k < 0, -k, np.where(k > top, 2 * top - k, k))
+        there = (k >= 0) & (k <= top)
+        out += np.where(there, x[np.where(there, here + k - at, 0)], 0.0) * w
+    return out
+
+
 def decimated_low_pass(df: DataFrame, keys: list[str], index: str, value: str, weights: list[float], factor: int, out: str, size: int = 100_000) -> DataFrame:
     """Every factor-th sample of the filtered series and no other: rows with index % factor = 0, index / factor as the new index, and `out`.
 
@@ -75,20 +89,12 @@ def decimated_low_pass(df: DataFrame, keys: list[str], index: str, value: str, w
     rows = with_halo(df.join(counts, keys), index, size, half, half)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {out} double"
 
-    def mirrored(x: np.ndarray, missing: int) -> np.ndarray:
-        """`missing` values before x[0], oldest first."""
-        back = x[1 : missing + 1][::-1]
-        return np.concatenate([np.zeros(missing - len(back)), back])
-
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(index)
-        x, at, top = table.column(value).to_numpy().astype(np.float64), table.column(index).to_numpy(), table.column("_top")[0].as_py()
+        x, at = table.column(value).to_numpy().astype(np.float64), table.column(index).to_numpy()
         own = ~table.column("halo").to_numpy(zero_copy_only=False)
-        left, right = max(0, half - int(at[own][0])) if own.any() else 0, max(0, int(at[own][-1]) + half - top) if own.any() else 0
-        whole = np.concatenate([mirrored(x, left), x, mirrored(x[::-1], right)[::-1]])
         keep = np.flatnonzero(own & (at % factor == 0))
-        first = keep + left - half
-        y = np.lib.stride_tricks.sliding_window_view(whole, len(h))[first] @ h[::-1] if len(keep) else np.empty(0)
+        y = mirrored_dot(x, keep, at[keep], table.column("_top")[0].as_py(), h)
         kept = table.take(pa.array(keep)).drop_columns(["block", "halo", "_top"])
         return kept.append_column(out, pa.array(y, pa.float64()))
 

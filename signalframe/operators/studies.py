@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalframe.functions.scalars import relative_error
 from signalframe.operators.blocks import cumulative
-from signalframe.operators.filtering import decimated_low_pass, low_pass
+from signalframe.operators.filtering import low_pass, mirrored_dot
 from signalframe.operators.series import resampled
-from signalframe.operators.spectral import dominant, prepared, spectrum
+from signalframe.operators.spectral import dominant, dominant_bins, prepared, spectrum
 
 KEYS = ["source_id", "axis"]
 
@@ -89,22 +94,67 @@ def downsampled_dominant(grid: DataFrame, factors: list[int], step: float, keys:
     return found.withColumn("difference", F.col("dominant") - reference)
 
 
-def anti_aliased(grid: DataFrame, factors: list[int], step: float, within: float, taps: int = 101, share: float = 0.9, keys: list[str] = KEYS) -> DataFrame:
+def anti_aliased(grid: DataFrame, factors: list[int], step: float, within: float, taps: int = 101, share: float = 0.9, keys: list[str] = KEYS, held: int = 1_000_000) -> DataFrame:
     """As downsampled_dominant, but filtered below share of the new Nyquist frequency before samples are left out, with the relative errors in percent of
-    dominant frequency and amplitude ((q95 - q05) / 2) against factor 1, and whether each is at most `within`. Series k are dense."""
-    starts = grid.groupBy(*keys).agg(F.min("k").alias("_k"))
-    rows = grid.join(starts.hint("merge"), keys).select(*keys, (F.col("k") - F.col("_k")).alias("k"), F.col("value").cast("double").alias("value")).hint("merge")
-    thinned = None
-    for f in factors:
-        one = rows if f == 1 else decimated_low_pass(rows, keys, "k", "value", low_pass(taps, share / (2 * f)), f, "_y").withColumn("value", F.col("_y")).drop("_y")
-        one = one.select(*keys, F.lit(f).alias("factor"), "k", "value")
-        thinned = one if thinned is None else thinned.unionByName(one)
-    names = [*keys, "factor"]
-    samples = prepared(thinned, names).where("n >= 3")
-    amplitudes = samples.groupBy(*names).agg(F.first("n").alias("n"), F.percentile("value", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
-    found = amplitudes.join(dominant(spectrum(samples, 1.0, 0.0, 0.5, keys=names), names).select(*names, "frequency"), names, "left")
-    rate = 1 / (step * F.col("factor"))
-    found = found.select(*names, "n", rate.alias("rate"), (F.col("frequency") * rate).alias("dominant"), ((F.col("_q")[1] - F.col("_q")[0]) / 2).alias("amplitude"))
+    dominant frequency and amplitude ((q95 - q05) / 2) against factor 1, and whether each is at most `within`. Series k are dense, values not null.
+
+    The samples are shuffled once. Sorted series go through Python many at a time and give one row a factor; a task holds about `held` samples and a few times
+    the length of its longest series.
+    """
+    kinds = dict(grid.dtypes)
+    filters = {f: np.array([1.0] if f == 1 else low_pass(taps, share / (2 * f))) for f in factors}
+
+    def begins(table: pa.Table) -> np.ndarray:
+        """The rows at which a series begins."""
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in keys:
+            code = table.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def measured(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        x, starts = table.column("value").to_numpy(), begins(table)
+        lengths = np.diff(np.append(starts, len(x)))
+        for f, weights in filters.items():
+            n = -(-lengths // f)
+            first = np.cumsum(n) - n
+            at = (np.arange(n.sum()) - np.repeat(first, n)) * f
+            y = mirrored_dot(x, np.repeat(starts, n) + at, at, np.repeat(lengths - 1, n), weights)
+            for size in np.unique(n[n >= 3]).tolist():
+                alike = np.flatnonzero(n == size)
+                for some in np.array_split(alike, min(len(alike), -(-len(alike) * size // held))):
+                    values = y[first[some][:, None] + np.arange(size)]
+                    frequency = dominant_bins(values) / size
+                    values.sort(1)
+                    columns = [table.column(c).combine_chunks().take(pa.array(starts[some])) for c in keys]
+                    columns += [pa.array(np.full(len(some), f, np.int32)), pa.array(np.full(len(some), size)), pa.array(frequency), pa.array((quantile(values, 0.95) - quantile(values, 0.05)) / 2)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, "factor", "n", "frequency", "amplitude"])
+
+    def quantile(ordered: np.ndarray, q: float) -> np.ndarray:
+        place = (ordered.shape[1] - 1) * q
+        low, high = math.floor(place), math.ceil(place)
+        return ordered[:, low] if low == high else (high - place) * ordered[:, low] + (place - low) * ordered[:, high]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, count, enough = [], 0, held
+        for batch in batches:
+            some.append(batch)
+            count += len(batch)
+            if count >= enough:
+                table = pa.Table.from_batches(some)
+                last = int(begins(table)[-1])
+                if last:
+                    yield from measured(table.slice(0, last))
+                some, count = table.slice(last).to_batches(), len(table) - last
+                enough = max(held, 2 * count)  # a long series is not looked through again with each batch
+        if count:
+            yield from measured(pa.Table.from_batches(some))
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "factor int, n long, frequency double, amplitude double"])
+    rows = grid.select(*keys, "k", F.col("value").cast("double").alias("value")).repartition(*keys).sortWithinPartitions(*keys, "k")
+    period = step * F.col("factor")
+    found = rows.select(*keys, "value").mapInArrow(run, schema).select(*keys, "factor", "n", (1 / period).alias("rate"), (F.col("frequency") / period).alias("dominant"), "amplitude")
     base = lambda c: F.max(F.when(F.col("factor") == 1, F.col(c))).over(Window.partitionBy(*keys))
     found = found.withColumns({"_f": base("dominant"), "_a": base("amplitude")}).withColumns({"frequency_error": relative_error(F.col("dominant"), F.col("_f")), "amplitude_error": relative_error(F.col("amplitude"), F.col("_a"))})
     return found.withColumns({"frequency_ok": F.coalesce(F.col("frequency_error") <= within, F.lit(False)), "amplitude_ok": F.coalesce(F.col("amplitude_error") <= within, F.lit(False)), "below_nyquist": F.coalesce(F.col("_f") < F.col("rate") / 2, F.lit(False))}).drop("_f", "_a")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from signalframe.operators import aligning, colours, masks, ranking, series, spectral, stages, studies
+from signalframe.operators import aligning, colours, filtering, masks, ranking, series, spectral, stages, studies
 from signalframe.plans import queries as base
 from signalframe.sources import tables
 
@@ -241,6 +241,36 @@ def test_harmonics_make_their_spectra_once(spark):
     assert plan.count("MapInArrow") == 1
 
 
+def test_anti_aliasing_goes_through_python_once(spark):
+    """Neither a Python group a series and factor nor a second pass over the samples."""
+    plan = base.queries()["series_antialiased"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("held", [1, 40, 1_000_000])
+def test_anti_aliased_series_of_all_lengths(spark, held):
+    rng = np.random.default_rng(8)
+    data = {(f"s{i}", axis): rng.normal(size=n) + 5 for i, n in enumerate((1, 2, 3, 4, 5, 9, 12, 12, 13, 30_000)) for axis in "ab"}
+    rows = [(*key, k - 7, float(v)) for key, x in data.items() for k, v in enumerate(x)]
+    grid = spark.createDataFrame(rows, "source_id string, axis string, k long, value double").repartition(5, "k")
+    found = {(r.source_id, r.axis, r.factor): r for r in studies.anti_aliased(grid, [1, 2, 4], 6.0, 10.0, taps=11, held=held).collect()}
+    want = {}
+    for key, x in data.items():
+        for f in (1, 2, 4):
+            pad = min(len(x) - 1, 5)
+            whole = np.pad(np.pad(x, pad, mode="reflect"), 5 - pad)
+            y = (np.convolve(whole, filtering.low_pass(11, 0.9 / (2 * f)), "valid") if f > 1 else x)[::f]
+            if len(y) >= 3:
+                w = spectral.hann("periodic", np.arange(len(y)), len(y))
+                a = abs(np.fft.rfft((y - y.mean()) * w))[1:] * np.where(2 * np.arange(1, len(y) // 2 + 1) == len(y), 0.5, 1)
+                want[*key, f] = (len(y), (1 + a.argmax()) / len(y) / (6.0 * f), np.subtract(*np.quantile(y, [0.95, 0.05])) / 2)
+    assert found.keys() == want.keys()
+    for key, (n, dominant, amplitude) in want.items():
+        r, first = found[key], want[*key[:2], 1]
+        assert r.n == n and [r.dominant, r.amplitude, r.rate] == pytest.approx([dominant, amplitude, 1 / (6 * key[2])], rel=1e-9)
+        assert [r.frequency_error, r.amplitude_error] == pytest.approx([100 * abs(x - y) / y for x, y in zip((dominant, amplitude), first[1:], strict=True)], rel=1e-6, abs=1e-9)
+
+
 def test_partners_by_blocks_and_tiles(spark):
     """The pairs stay in their tasks: one shuffle of each side and one of the best."""
     rng = np.random.default_rng(2)
